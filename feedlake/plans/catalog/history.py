@@ -36,6 +36,8 @@ select doc_id, text_hash from h where not exists (select 1 from stored s where s
 )
 def new_rows_anti(spark, sf_dir):
     h = with_hash(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text_hash")
+    # the stored side filters the same hashed rows (a semi join on the small id column), so
+    # no text moves through a shuffle
     stored = h.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     return new_rows(h, stored, "text_hash")
 
