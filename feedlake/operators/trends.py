@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.numbers import change, direction, pct
 from feedlake.functions.timeparts import canonical_unit, date_bound, period_label, period_start
+from feedlake.operators.filters import between_dates  # noqa: F401  (re-exported)
 
 
 def with_period(df: DataFrame, unit: str = "month", ts: str = "ts") -> DataFrame:
@@ -24,17 +25,6 @@ def with_period(df: DataFrame, unit: str = "month", ts: str = "ts") -> DataFrame
     )
 
 
-def between_dates(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts", end_of_day: bool = False) -> DataFrame:
-    """Both ends inclusive and optional; a date-only end means midnight unless ``end_of_day``."""
-    out = df.filter(F.col(ts).isNotNull())
-    lo, hi = date_bound(start), date_bound(end, end_of_day)
-    if lo is not None:
-        out = out.filter(F.col(ts) >= lo)
-    if hi is not None:
-        out = out.filter(F.col(ts) <= hi)
-    return out
-
-
 def trend(df: DataFrame, unit: str = "month", ts: str = "ts", level: str | None = "level") -> DataFrame:
     """Per period: entries and mean / min / max level (level stats omitted without a level)."""
     aggs = [F.count(F.lit(1)).alias("n")]
