@@ -29,8 +29,15 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(m.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def _is_star_forest(e: DataFrame) -> bool:
+    """True when every node has at most one outgoing edge and no node has both outgoing and
+    incoming edges: the edges are then disjoint stars (node -> root), one per component,
+    because every round keeps connectivity.  One aggregate job, exact."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    )
+    deg = ends.groupBy("n").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    return deg.filter((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("i") > 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -38,13 +45,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     component.  Nodes without edges are not listed (they are their own root)."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    e = e.checkpoint()
+    e = _small_star(e).checkpoint()
     for _ in range(max_rounds):
-        nxt = _small_star(_large_star(e)).checkpoint()
-        if _same(nxt, e):
-            e = nxt
+        if _is_star_forest(e):
             break
-        e = nxt
+        e = _small_star(_large_star(e)).checkpoint()
     else:
         raise RuntimeError("connected components did not converge")
     # at the fixed point every edge is (node, root) with root < node

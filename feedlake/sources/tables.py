@@ -22,25 +22,27 @@ TABLES = (
 
 # tables whose rows carry long free text: per-row text work (normalise, hash, tokenise)
 # dominates their cost
-TEXT_TABLES = {"documents", "pages", "conversations"}
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin the rows over ``factor x`` the cluster's cores when the scan yields fewer
-    partitions than there are cores (e.g. one large row group).  Decided at plan time from
-    the partition count (no job); on a cluster reading many files the scan already has more
-    splits than cores and this is a no-op, so no shuffle is added there."""
+def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
+    """Hash-partition the rows on their id over ``factor x`` the cluster's cores when the scan
+    yields fewer partitions than there are cores (e.g. one large row group).  Decided at plan
+    time from the partition count (no job); on a cluster reading many files the scan already
+    has more splits than cores and this is a no-op, so no shuffle is added there.  Hashing
+    on the id (not round-robin) keeps a retried task's output identical without the
+    per-row sort Spark adds before a round-robin shuffle."""
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want * factor)
+    return df.repartition(want * factor, F.col(key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
