@@ -95,3 +95,27 @@ def history_json_fields(spark, sf_dir):
 def history_json_roundtrip(spark, sf_dir):
     """Rows-only: JSON of each first-per-hash feedback row."""
     return history_rows(feedback(spark, sf_dir), STORED_AT).select("text_hash", "row_json").filter(F.col("row_json").isNotNull())
+
+
+@register(
+    "history_summary",
+    f"""
+with r as (select text_hash, level, ts, timestamp '{STORED_AT}' as stored_at from ({_FIRST_F}) h
+           where coalesce(ts, timestamp '{STORED_AT}') >= timestamp '2024-01-01'
+             and coalesce(ts, timestamp '{STORED_AT}') <= timestamp '2024-01-31'
+           order by stored_at desc, text_hash limit 1000)
+select count(*) as n_rows, avg(cast(level as double)) as avg_level, min(level) as min_level,
+       max(level) as max_level, min(ts) as first_ts, max(ts) as last_ts from r
+""",
+    "E15 A5 E2 E4",
+)
+def history_summary_q(spark, sf_dir):
+    rows = read_history(history_rows(feedback(spark, sf_dir), STORED_AT), "2024-01-01", "2024-01-31", limit=1000)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.avg(F.col("level").cast("double")).alias("avg_level"),
+        F.min("level").alias("min_level"),
+        F.max("level").alias("max_level"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+    )

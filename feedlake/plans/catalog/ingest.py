@@ -78,3 +78,15 @@ def csv_roundtrip(spark, sf_dir):
     f = feedback(spark, sf_dir).select("row_id", "text", "level", "ts", "lang")
     write_report(f, path)
     return read_feedback_csv(spark, path)
+
+
+@register("attach_embeddings", None, "D2 H1")
+def attach_embeddings_q(spark, sf_dir):
+    """Every non-blank feedback row with its vector, reusing stored vectors by hash: the
+    table is first filled from the labelled documents, then the rest are encoded once."""
+    from feedlake.sources.embeddings import attach_embeddings
+
+    path = scratch_path(spark, "attach")
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    append_new_embeddings(labelled.select(F.col("doc_id").alias("row_id"), "text"), path)
+    return attach_embeddings(feedback(spark, sf_dir), path).select("row_id", "text_hash", "embedding")
