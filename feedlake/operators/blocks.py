@@ -84,17 +84,21 @@ def similar_pairs(
     """All unordered pairs ``(a < b, similarity)`` with similarity >= ``threshold``
     (or, with ``by_distance``, cosine distance ``1 - similarity <= threshold``)."""
     nb = n_blocks or n_blocks_for(df, rows_per_block)
-    blk = df.select(
-        F.col(id_col).cast("long").alias("__id"),
-        F.col(vec_col).alias("__vec"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("__blk"),
-    )
-    exploded = blk.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select(
-        "__id", "__vec", "__blk", F.least("__blk", "__other").alias("__bi"), F.greatest("__blk", "__other").alias("__bj")
-    )
+    blk = df.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__vec"))
+    exploded = explode_block_pairs(blk, "__id", nb)
     return exploded.groupBy("__bi", "__bj").applyInPandas(_pair_task(threshold, metric, by_distance), PAIR_SCHEMA)
 
 
+def explode_block_pairs(df: DataFrame, id_col: str, nb: int) -> DataFrame:
+    """Add ``__blk`` (hash block of the row) and one row per unordered block pair
+    ``(__bi <= __bj)`` the row belongs to: ``nb`` copies of every row."""
+    blk = df.withColumn("__blk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+    return blk.withColumn("__other", other).withColumn("__bi", F.least("__blk", "__other")).withColumn(
+        "__bj", F.greatest("__blk", "__other")
+    ).drop("__other")
+
+
 HIT_SCHEMA = "query_id long, row_id long, level int, similarity double"
 
 
