@@ -23,17 +23,21 @@ def row_to_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def json_schema_of(df: DataFrame, column: str) -> T.StructType:
+def json_schema_of(df: DataFrame, column: str, max_keys: int = 10_000) -> T.StructType:
     """Union of keys over all JSON objects of ``column``, each typed as string.
 
-    Runs one distributed job (explode keys, distinct) whose result is bounded by the
-    number of distinct keys, not rows."""
+    Runs one distributed job (explode keys, distinct); at most ``max_keys`` key names come
+    back to the driver - more raises, since a schema with that many columns is not a table
+    layout (pass an explicit schema instead)."""
     keys = (
         df.select(F.explode(F.json_object_keys(F.col(column))).alias("k"))
         .distinct()
         .orderBy("k")
+        .limit(max_keys + 1)
     )
     names = [r.k for r in keys.toLocalIterator()]
+    if len(names) > max_keys:
+        raise ValueError(f"more than {max_keys} distinct JSON keys in {column}; pass a schema")
     return T.StructType([T.StructField(k, T.StringType(), True) for k in names])
 
 

@@ -187,3 +187,28 @@ where r.rank <= case when r.cluster = -1 then 3 else 5 end""",
 def cluster_samples_q(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("row_id", "level")
     return cluster_samples(_labels(spark, sf_dir), rows).select("row_id", "cluster", "rank", "level")
+
+
+@register(
+    "similarity_to_first",
+    f"""
+with v as {VECTORS}, f as (select embedding as e0 from v order by row_id limit 1)
+select row_id, round(list_cosine_similarity(embedding, e0), 6) as cosine,
+       round(1 - list_sum(list_transform(list_zip(embedding, e0), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) as l2_similarity
+from v, f
+""",
+    "C12",
+)
+def similarity_to_first(spark, sf_dir):
+    """Row-level similarity columns (JVM higher-order functions) of every vector to the first."""
+    from feedlake.functions.vectors import cosine, l2_similarity
+
+    v = vectors(spark, sf_dir)
+    # the first vector enters as a scalar subquery (one value, no join)
+    e0 = v.orderBy("row_id").limit(1).select("embedding").scalar()
+    with_first = v.withColumn("e0", e0)
+    return with_first.select(
+        "row_id",
+        F.round(cosine("embedding", "e0"), 6).alias("cosine"),
+        F.round(l2_similarity("embedding", "e0"), 6).alias("l2_similarity"),
+    )
