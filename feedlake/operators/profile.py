@@ -65,9 +65,12 @@ def _other_columns(df: DataFrame, exclude: list[str] | None):
     return [f for f in df.schema.fields if f.name not in exclude]
 
 
-def profile_numeric(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+def profile_numeric(df: DataFrame, exclude: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, dtype, n_non_null, pct_non_null, min, max, mean, n_distinct) for every numeric
-    (and boolean) column other than the role columns."""
+    (and boolean) column other than the role columns.
+
+    ``approx=True`` estimates the distinct counts with HyperLogLog++ inside the same single
+    aggregate pass (no shuffle of values) - the choice for very large tables."""
     fields = [f for f in _other_columns(df, exclude) if isinstance(f.dataType, NUMERIC)]
     schema = "column_name string, dtype string, n_non_null long, pct_non_null double, min double, max double, mean double, n_distinct long"
     if not fields:
@@ -77,7 +80,16 @@ def profile_numeric(df: DataFrame, exclude: list[str] | None = None) -> DataFram
     for i, f in enumerate(fields):
         c = quoted(f.name).cast("double")
         aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.avg(c).alias(f"av{i}")]
+        if approx:
+            aggs.append(F.approx_count_distinct(c).alias(f"nd{i}"))
     wide = df.agg(*aggs)
+    if approx:
+        stack = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', n{i}, lo{i}, hi{i}, av{i}, nd{i}" for i, f in enumerate(fields))
+        stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, dtype, n_non_null, min, max, mean, n_distinct)")
+        return stats.select(
+            "column_name", "dtype", "n_non_null", pct(F.col("n_non_null"), F.col("__rows")).alias("pct_non_null"),
+            "min", "max", "mean", F.col("n_distinct").cast("long").alias("n_distinct"),
+        )
     stack = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', n{i}, lo{i}, hi{i}, av{i}" for i, f in enumerate(fields))
     stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, dtype, n_non_null, min, max, mean)")
     # distinct counts: unpivot once, group by (column, value) once
