@@ -26,17 +26,17 @@ def first_per_key(df: DataFrame, key: str = "text_hash", order: str = "row_id")
     return picked.select(*[quoted(key) if c == key else F.col("__first").getField(c).alias(c) for c in df.columns])
 
 
-def new_rows(df: DataFrame, stored: DataFrame, key: str = "text_hash", max_probe_keys: int = 1_000_000) -> DataFrame:
+def new_rows(df: DataFrame, stored: DataFrame, key: str = "text_hash", probe: bool = False, max_probe_keys: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose key is not among ``stored``'s keys (left anti join).
 
-    An incoming batch is usually small next to the stored table.  When ``df`` has at most
-    ``max_probe_keys`` rows (a bounded count), its distinct keys are broadcast to keep only
-    the matching stored keys inside the stored table's scan - the stored side is read but
-    never shuffled - and the anti join then runs against that small remainder.  Otherwise
-    Catalyst picks the strategy (broadcast by statistics, else a sort-merge anti join whose
-    skewed keys AQE splits)."""
+    By default Catalyst picks the strategy (broadcast by statistics, else a sort-merge anti
+    join whose skewed keys AQE splits).  ``probe=True`` is for a small incoming batch against
+    a large stored table (ingest): when ``df`` has at most ``max_probe_keys`` rows (a bounded
+    count), its distinct keys are broadcast to keep only the matching stored keys inside the
+    stored table's scan - the stored side is read but never shuffled - and the anti join
+    then runs against that small remainder."""
     stored_keys = stored.select(quoted(key))
-    if max_probe_keys and df.limit(max_probe_keys + 1).count() <= max_probe_keys:
+    if probe and df.limit(max_probe_keys + 1).count() <= max_probe_keys:
         probe = F.broadcast(df.select(quoted(key)).distinct())
         stored_keys = stored_keys.join(probe, key, "left_semi")
     return df.join(stored_keys, key, "left_anti")

@@ -46,7 +46,7 @@ def embedding_rows(df: DataFrame, existing: DataFrame | None, encoder: Encoder |
     cols = ["text_hash", order, roles.text] + [c for c in (roles.level, roles.timestamp) if c]
     first = first_per_key(base.select(*[quoted(c) for c in dict.fromkeys(cols)]), "text_hash", order)
     if existing is not None:
-        first = new_rows(first, existing, "text_hash")
+        first = new_rows(first, existing, "text_hash", probe=True)
     level = lenient_int(quoted(roles.level)) if roles.level else F.lit(None).cast("int")
     ts = parse_ts(quoted(roles.timestamp), df.schema[roles.timestamp].dataType.simpleString()) if roles.timestamp else F.lit(None).cast("timestamp_ntz")
     shaped = first.select("text_hash", quoted(roles.text).alias("__text"), snippet(quoted(roles.text), 500).alias("snippet"), level.alias("level"), ts.alias("ts"))

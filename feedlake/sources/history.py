@@ -41,7 +41,7 @@ def history_rows(df: DataFrame, stored_at: str, existing: DataFrame | None = Non
     base = with_hash(df, roles.text)
     first = first_per_key(base, "text_hash", order)
     if existing is not None:
-        first = new_rows(first, existing, "text_hash")
+        first = new_rows(first, existing, "text_hash", probe=True)
     level = lenient_int(quoted(roles.level)) if roles.level else F.lit(None).cast("int")
     if roles.timestamp:
         ts = parse_ts(quoted(roles.timestamp), df.schema[roles.timestamp].dataType.simpleString())
