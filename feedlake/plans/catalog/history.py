@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.jsonrow import json_to_columns
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
-from feedlake.plans.catalog.views import FEEDBACK, hash_sql
+from feedlake.plans.catalog.views import FEEDBACK, NON_SPACE_SQL, hash_sql
 from feedlake.plans.registry import register
 from feedlake.sources.history import history_rows, read_history
 from feedlake.sources.tables import feedback, table
@@ -45,7 +45,7 @@ def new_rows_anti(spark, sf_dir):
 _FIRST_F = f"""select text_hash, level, ts from (
   select {hash_sql('text')} as text_hash, level, ts,
          row_number() over (partition by {hash_sql('text')} order by row_id) as rn
-  from {FEEDBACK} f) t where rn = 1"""
+  from {FEEDBACK} f where regexp_matches(text, {NON_SPACE_SQL})) t where rn = 1"""
 
 
 @register("history_rows", _FIRST_F, "A4 G3 C11")

@@ -16,7 +16,7 @@ from feedlake.functions.jsonrow import json_to_columns, row_to_json
 from feedlake.functions.numbers import lenient_int
 from feedlake.functions.timeparts import parse_ts
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
-from feedlake.operators.filters import two_clock_range
+from feedlake.operators.filters import non_blank, two_clock_range
 from feedlake.sources.roles import quoted, resolve_roles
 
 HISTORY_SCHEMA = T.StructType(
@@ -33,12 +33,12 @@ HISTORY_SCHEMA = T.StructType(
 
 
 def history_rows(df: DataFrame, stored_at: str, existing: DataFrame | None = None, order: str = "row_id") -> DataFrame:
-    """Rows to append: non-blank-agnostic, first row per text hash (in ``order``), minus hashes
+    """Rows to append: non-blank texts, first row per text hash (in ``order``), minus hashes
     already in ``existing``; projected to the history layout."""
     roles = resolve_roles(df)
     roles.require("text")
     src_cols = [c for c in df.columns if c != order]
-    base = with_hash(df, roles.text)
+    base = with_hash(non_blank(df, roles.text), roles.text)
     first = first_per_key(base, "text_hash", order)
     if existing is not None:
         first = new_rows(first, existing, "text_hash", probe=True)

@@ -83,3 +83,11 @@ def test_category_entries_and_summary(spark):
     assert (e.n_rows, e.n_entries) == (2, 1)
     rep = with_summary_row(tagged).collect()
     assert rep[-1].row_id == "SUMMARY_TOTAL_COUNTS" and rep[-1].Category_Performance == "1" and rep[-1].text == ""
+
+
+def test_history_skips_blank_texts(spark):
+    df = spark.createDataFrame([(1, "ok", 3), (2, "   ", 4), (3, None, 5), (4, " ", 1)], "row_id long, text string, level int")
+    hist = scratch_path(spark, "t-blank")
+    append_new_history(df, hist, "2024-04-01 00:00:00")
+    rows = spark.read.schema(HISTORY_SCHEMA).parquet(hist).collect()
+    assert [r.text for r in rows] == ["ok"]
