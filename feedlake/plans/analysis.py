@@ -104,11 +104,16 @@ def semantic_search(
     row; a reference row is left out of its own hits."""
     spark = corpus.sparkSession
     bounds = dict(eq=eq, at_most=at_most, at_least=at_least) if filter_by_level else {}
-    exclude_self = False
+    exclude_self, exclude_ids = False, None
     if reference_index is not None:
         ref = reference_row(corpus, reference_index)
         queries = ref.select(F.col("row_id").alias("query_id"), "embedding")
-        exclude_self = True
+        # the reference row leaves its own hits: before ranking (k hits remain), or with
+        # ``post_filter`` after it, as the studied application does (k - 1 remain)
+        if post_filter:
+            exclude_ids = ref.select("row_id")
+        else:
+            exclude_self = True
     else:
         text = reference_text if reference_text is not None else query
         if text is None:
@@ -119,7 +124,10 @@ def semantic_search(
             queries = corpus.join(nearest, "row_id", "left_semi").select(F.col("row_id").alias("query_id"), "embedding")
         else:
             queries = q
-    hits = search(queries, corpus, k=top_k, threshold=similarity_threshold, metric=metric, post_filter=post_filter, exclude_self=exclude_self, **bounds)
+    hits = search(
+        queries, corpus, k=top_k, threshold=similarity_threshold, metric=metric, post_filter=post_filter,
+        exclude_ids=exclude_ids, exclude_self=exclude_self, **bounds,
+    )
     # one query, so at most ``top_k`` hits: a proven bound, broadcast them to pick up texts
     # without shuffling the corpus
     shown = corpus.select("row_id", shorten("text", 300).alias("text")).join(F.broadcast(hits), "row_id")

@@ -38,6 +38,8 @@ def test_search_modes(spark, fb):
     assert by_index.count() == 5
     ref_id = corpus.orderBy("row_id").collect()[3].row_id
     assert ref_id not in {r.row_id for r in by_index.collect()}
+    post = A.semantic_search(corpus, reference_index=3, top_k=5, similarity_threshold=-1.0, post_filter=True)["hits"]
+    assert post.count() == 4 and ref_id not in {r.row_id for r in post.collect()}
     with pytest.raises(ValueError):
         A.semantic_search(corpus)
 

@@ -91,3 +91,11 @@ def test_history_skips_blank_texts(spark):
     append_new_history(df, hist, "2024-04-01 00:00:00")
     rows = spark.read.schema(HISTORY_SCHEMA).parquet(hist).collect()
     assert [r.text for r in rows] == ["ok"]
+
+
+def test_ragged_json_rows(spark):
+    from feedlake.functions.jsonrow import json_to_columns
+
+    df = spark.createDataFrame([(1, '{"a": "1"}'), (2, '{"b": "x", "a": "2"}'), (3, "not json"), (4, "[1, 2]")], "id long, j string")
+    got = sorted((r.id, r.a, r.b) for r in json_to_columns(df, "j").collect())
+    assert got == [(1, "1", None), (2, "2", "x")]
