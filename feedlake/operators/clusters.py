@@ -35,17 +35,33 @@ def density_clusters(
 ) -> DataFrame:
     """``(row_id, cluster, is_core)`` for every input row.
 
-    ``candidates`` (optional) is a DataFrame of ``(a, b)`` id pairs to test instead of all
-    pairs (an approximate mode, e.g. from LSH); by default all pairs are tested exactly."""
-    ids = df.select(F.col(id_col).cast("long").alias("row_id"))
+    Identical vectors are collapsed first (an aggregate, combined map-side) into one point
+    with a multiplicity, so a group of copies - however large - yields no pairs among
+    itself; copies still count towards ``min_size`` through the multiplicity, and all copies
+    get the same label.  ``candidates`` (optional) is a DataFrame of ``(a, b)`` pairs of
+    representative ids to test instead of all pairs (an approximate mode, e.g. from LSH);
+    by default all pairs are tested exactly."""
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(vec_col).alias("embedding"))
+    # one point per distinct vector: id = smallest row id of its copies
+    points = (
+        rows.filter(F.col("embedding").isNotNull())
+        .groupBy("embedding")
+        .agg(F.min("row_id").alias("vid"), F.count(F.lit(1)).alias("mult"))
+        .checkpoint()
+    )
+    mult = points.select("vid", "mult")
     if candidates is None:
-        pairs = similar_pairs(df, id_col, vec_col, eps, "cosine", rows_per_block, by_distance=True).select("a", "b")
+        pairs = similar_pairs(points, "vid", "embedding", eps, "cosine", rows_per_block, by_distance=True).select("a", "b")
     else:
         pairs = candidates.select(F.col("a").cast("long"), F.col("b").cast("long"))
     both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).union(pairs.select(F.col("b").alias("p"), F.col("a").alias("q")))
     both = both.checkpoint()
-    degree = both.groupBy("p").agg((F.count(F.lit(1)) + F.lit(1)).alias("n_neighbours"))
-    core = degree.filter(F.col("n_neighbours") >= min_size).select(F.col("p").alias("row_id"))
+    # neighbours of a point: its own copies plus every copy of each neighbouring point
+    nbr = both.join(mult.withColumnRenamed("vid", "q"), "q").groupBy("p").agg(F.sum("mult").alias("others"))
+    degree = mult.join(nbr.withColumnRenamed("p", "vid"), "vid", "left").select(
+        "vid", (F.col("mult") + F.coalesce("others", F.lit(0))).alias("n_neighbours")
+    )
+    core = degree.filter(F.col("n_neighbours") >= min_size).select(F.col("vid").alias("row_id"))
     core_edges = both.join(core.withColumnRenamed("row_id", "p"), "p", "left_semi").join(
         core.withColumnRenamed("row_id", "q"), "q", "left_semi"
     )
@@ -62,15 +78,21 @@ def density_clusters(
         .groupBy(F.col("p").alias("row_id"))
         .agg(F.min("cluster").alias("border_cluster"))
     )
-    return (
-        ids.join(core_label.withColumn("is_core", F.lit(True)), "row_id", "left")
+    point_label = (
+        points.select(F.col("vid").alias("row_id"), "embedding")
+        .join(core_label.withColumn("is_core", F.lit(True)), "row_id", "left")
         .join(border, "row_id", "left")
         .select(
-            "row_id",
+            "embedding",
             F.coalesce("cluster", "border_cluster", F.lit(NOISE)).cast("int").alias("cluster"),
             F.coalesce("is_core", F.lit(False)).alias("is_core"),
         )
     )
+    # back to rows: one label row per distinct vector; AQE splits a hot vector's rows.  Rows
+    # without a vector are kept, as noise.
+    return rows.join(point_label, "embedding", "left").select(
+        "row_id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core")
+    )
 
 
 def cluster_summary(labels: DataFrame) -> DataFrame:

@@ -93,3 +93,18 @@ def test_too_few_rows_is_all_noise(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "row_id long, embedding array<double>")
     assert {r.cluster for r in density_clusters(df, eps=0.4, min_size=3).collect()} == {-1}
     assert F  # keep import used
+
+
+def test_copies_count_towards_min_size(spark):
+    # three copies of one vector form a core group alone; a fourth distinct point is noise
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.7071, 0.7071])]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    got = {r.row_id: (r.cluster, r.is_core) for r in density_clusters(df, eps=0.05, min_size=3).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, True), 4: (-1, False), 5: (-1, False)}
+
+
+def test_missing_vector_is_noise(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    got = {r.row_id: r.cluster for r in density_clusters(df, eps=0.05, min_size=2).collect()}
+    assert got == {1: 0, 2: 0, 3: -1}
