@@ -239,3 +239,27 @@ def knn(
         cand = knn_blocked(queries, corpus, k, metric, threshold, exclude_self, rows_per_block)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("row_id"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def vector_copies(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding") -> DataFrame:
+    """``(row_id, rep)``: every row with the smallest id among rows holding an identical vector
+    (an aggregate over the vector value, combined map-side, joined back; AQE splits a hot
+    vector's rows in the join)."""
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(vec_col).alias("__vec"))
+    reps = rows.filter(F.col("__vec").isNotNull()).groupBy("__vec").agg(F.min("row_id").alias("rep"))
+    return rows.join(reps, "__vec", "left").select("row_id", F.coalesce("rep", "row_id").alias("rep"))
+
+
+def near_duplicate_vectors(
+    df: DataFrame, threshold: float = 0.95, id_col: str = "row_id", vec_col: str = "embedding", metric: str = "cosine", rows_per_block: int = 2048
+) -> DataFrame:
+    """Pairs ``(a < b, similarity)`` of distinct vectors with similarity >= ``threshold``.
+
+    Identical vectors are collapsed first to their smallest id (see ``vector_copies``), so a
+    large group of copies yields no pairs among itself."""
+    points = (
+        df.filter(F.col(vec_col).isNotNull())
+        .groupBy(F.col(vec_col).alias("__vec"))
+        .agg(F.min(F.col(id_col).cast("long")).alias("vid"))
+    )
+    return similar_pairs(points, "vid", "__vec", threshold, metric, rows_per_block)

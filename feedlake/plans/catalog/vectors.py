@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from feedlake.operators.blocks import similar_pairs
+from feedlake.operators.blocks import near_duplicate_vectors, similar_pairs, vector_copies
 from feedlake.operators.clusters import cluster_samples, cluster_sizes, cluster_summary, density_clusters
 from feedlake.operators.search import reference_row, search
 from feedlake.plans.catalog.views import VECTORS
@@ -103,12 +103,21 @@ where list_cosine_similarity(a.embedding, b.embedding) >= {threshold}
 
 @register("near_duplicates", _pairs_sql(0.40), "D3 pair stage")
 def near_duplicates(spark, sf_dir):
-    return _rounded(similar_pairs(vectors(spark, sf_dir), "row_id", "embedding", 0.40, rows_per_block=256))
+    return _rounded(near_duplicate_vectors(vectors(spark, sf_dir), 0.40, rows_per_block=256))
 
 
 @register("near_duplicates_strict", _pairs_sql(0.95), "D3 at the default 0.95")
 def near_duplicates_strict(spark, sf_dir):
-    return _rounded(similar_pairs(vectors(spark, sf_dir), "row_id", "embedding", 0.95))
+    return _rounded(near_duplicate_vectors(vectors(spark, sf_dir), 0.95))
+
+
+@register(
+    "vector_copies",
+    f"with v as {VECTORS} select row_id, min(row_id) over (partition by embedding) as rep from v",
+    "D3 (exact copies)",
+)
+def vector_copies_q(spark, sf_dir):
+    return vector_copies(vectors(spark, sf_dir))
 
 
 @register(

@@ -108,3 +108,12 @@ def test_missing_vector_is_noise(spark):
     df = spark.createDataFrame(rows, "row_id long, embedding array<double>")
     got = {r.row_id: r.cluster for r in density_clusters(df, eps=0.05, min_size=2).collect()}
     assert got == {1: 0, 2: 0, 3: -1}
+
+
+def test_vector_copies_give_no_pairs(spark):
+    from feedlake.operators.blocks import near_duplicate_vectors, vector_copies
+
+    rows = [(i, [1.0, 0.0]) for i in range(1, 6)] + [(9, [0.99, 0.14])]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    assert {(r.a, r.b) for r in near_duplicate_vectors(df, 0.95).collect()} == {(1, 9)}
+    assert {r.row_id: r.rep for r in vector_copies(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9}
