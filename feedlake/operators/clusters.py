@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from feedlake.operators.blocks import similar_pairs
 from feedlake.operators.components import connected_components
 from feedlake.operators.ranking import dense_index
+from feedlake.session import ensure_checkpoint_dir
 
 NOISE = -1
 
@@ -41,6 +42,7 @@ def density_clusters(
     get the same label.  ``candidates`` (optional) is a DataFrame of ``(a, b)`` pairs of
     representative ids to test instead of all pairs (an approximate mode, e.g. from LSH);
     by default all pairs are tested exactly."""
+    ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(vec_col).alias("embedding"))
     # one point per distinct vector: id = smallest row id of its copies
     points = (

@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.session import ensure_checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1
 
 
 def dense_index(values: DataFrame, col: str, out: str = "index") -> DataFrame:
     """``(col, out)``: 0-based rank of every distinct non-null value of ``col`` in ascending order."""
+    ensure_checkpoint_dir(values.sparkSession)
     ordered = values.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
     # monotonically_increasing_id = partition index << 33 | position inside the partition;
     # computed right after the range sort, so it follows the sort order.  Written once so
