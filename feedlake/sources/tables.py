@@ -32,8 +32,12 @@ def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     has more splits than cores and this is a no-op, so no shuffle is added there.  Hashing
     on the id (not round-robin) keeps a retried task's output identical without the
     per-row sort Spark adds before a round-robin shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave the scan as is
+        return df
+    if have >= want:
         return df
     return df.repartition(want * factor, F.col(key))
 
