@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.text import is_non_blank
 from feedlake.functions.timeparts import date_bound
-from feedlake.sources.roles import find_column, project, quoted
+from feedlake.sources.roles import find_column, project, quoted  # noqa: F401  (project re-exported)
 
 __all__ = [
     "by_level",

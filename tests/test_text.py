@@ -3,8 +3,6 @@
 import hashlib
 import re
 
-from pyspark.sql import functions as F
-
 from feedlake.functions.text import content_hash, is_non_blank, normalize_text, shorten
 
 # a plain-Python statement of the normalisation, used as the differential reference
