@@ -50,3 +50,26 @@ def test_knn_broadcast_path_has_no_corpus_exchange(spark):
     p = plan(df)
     # the only exchange is the small per-query ranking after the local top-k
     assert "MapInPandas" in p and p.count("Exchange") == 1
+
+
+def test_first_per_hash_combines_before_exchange(spark):
+    from pyspark.sql import functions as F
+
+    from feedlake.operators.dedupe import first_per_key
+
+    # a third of the rows share one key
+    df = spark.range(300).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    out = first_per_key(df, "k", "row_id")
+    p = out._jdf.queryExecution().executedPlan().toString()
+    head, _, tail = p.partition("Exchange")
+    assert "Aggregate" in head and "Aggregate" in tail  # final above, partial below the exchange
+    assert out.filter("k = 'hot'").first().row_id == 0
+
+
+def test_per_group_top_n_is_limited_before_exchange(spark):
+    from feedlake.operators.profile import profile_top_values
+
+    df = profile_top_values(table(spark, SF_SMALL, "documents"))
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert p.count("WindowGroupLimit") >= 2
