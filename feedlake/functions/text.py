@@ -56,8 +56,8 @@ def snippet(c, n: int = 500) -> Column:
 
 
 def text_length(c) -> Column:
-    """Length in Unicode code points."""
-    return F.char_length(_col(c).cast("string"))
+    """Length in Unicode code points (64-bit, like SQL ``length``)."""
+    return F.char_length(_col(c).cast("string")).cast("long")
 
 
 def is_non_blank(c) -> Column:

@@ -238,7 +238,7 @@ def knn(
     if cand is None:
         cand = knn_blocked(queries, corpus, k, metric, threshold, exclude_self, rows_per_block)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("row_id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def vector_copies(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding") -> DataFrame:

@@ -117,5 +117,5 @@ def cluster_samples(labels: DataFrame, rows: DataFrame, per_cluster: int = 5, no
     (which may hold most rows) never moves whole."""
     w = Window.partitionBy("cluster").orderBy("row_id")
     limit = F.when(F.col("cluster") == NOISE, F.lit(noise)).otherwise(F.lit(per_cluster))
-    top = labels.select("row_id", "cluster").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(max(per_cluster, noise)))
+    top = labels.select("row_id", "cluster").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= F.lit(max(per_cluster, noise)))
     return top.filter(F.col("rank") <= limit).join(rows, "row_id")

@@ -162,7 +162,7 @@ def profile_top_values(df: DataFrame, exclude: list[str] | None = None, max_dist
     total = df.agg(F.count(F.lit(1)).alias("__rows"))
     nd = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")).filter(F.col("n_distinct") <= max_distinct)
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value"))
-    ranked = counts.join(nd, "column_name", "left_semi").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    ranked = counts.join(nd, "column_name", "left_semi").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
     # the table's row count enters as a scalar subquery (one aggregate, no join)
     return ranked.select("column_name", "rank", "value", "n", pct(F.col("n"), total.scalar()).alias("pct"))
 
@@ -175,7 +175,7 @@ def profile_samples(df: DataFrame, order: str, exclude: list[str] | None = None,
     w = Window.partitionBy("column_name").orderBy(F.col("first_row"))
     return (
         counts.join(nd, "column_name", "left_semi")
-        .withColumn("rank", F.row_number().over(w))
+        .withColumn("rank", F.row_number().over(w).cast("long"))
         .filter(F.col("rank") <= n)
         .select("column_name", "rank", "value")
     )

@@ -90,7 +90,7 @@ def date_range_whole_days(spark, sf_dir):
 )
 def normalized_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.char_length(normalize_text("text")).alias("n_norm_chars"), content_hash("text").alias("text_hash"))
+    return d.select("doc_id", text_length(normalize_text("text")).alias("n_norm_chars"), content_hash("text").alias("text_hash"))
 
 
 @register(
