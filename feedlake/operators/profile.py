@@ -138,6 +138,8 @@ def profile_strings(df: DataFrame, exclude: list[str] | None = None) -> DataFram
     """(column, dtype, n_non_null, pct_non_null, n_distinct) for every string column other
     than the role columns."""
     fields = [f for f in _other_columns(df, exclude) if isinstance(f.dataType, T.StringType)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string, dtype string, n_non_null long, pct_non_null double, n_distinct long")
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         aggs += [F.count(quoted(f.name)).alias(f"n{i}")]
@@ -159,6 +161,8 @@ def profile_top_values(df: DataFrame, exclude: list[str] | None = None, max_dist
     """For string columns with at most ``max_distinct`` distinct values: the ``top`` most
     frequent values (ties by value) with count and % of all rows."""
     counts, _ = _string_value_counts(df, exclude, None)
+    if counts is None:
+        return df.sparkSession.createDataFrame([], "column_name string, rank long, value string, n long, pct double")
     total = df.agg(F.count(F.lit(1)).alias("__rows"))
     nd = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")).filter(F.col("n_distinct") <= max_distinct)
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value"))
@@ -171,6 +175,8 @@ def profile_samples(df: DataFrame, order: str, exclude: list[str] | None = None,
     """For string columns with more than ``max_distinct`` distinct values: the first ``n``
     distinct non-null values in table order."""
     counts, _ = _string_value_counts(df, exclude, order)
+    if counts is None:
+        return df.sparkSession.createDataFrame([], "column_name string, rank long, value string")
     nd = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")).filter(F.col("n_distinct") > max_distinct)
     w = Window.partitionBy("column_name").orderBy(F.col("first_row"))
     return (

@@ -56,3 +56,18 @@ def test_overlapping_and_empty_periods(spark):
     assert share[("p2", 5)] == pytest.approx(50.0)
     empty = T.compare_periods(df, ("2023-01-01", "2023-01-31"), ("2024-01-01", "2024-01-31")).first()
     assert empty.n_p1 == 0 and empty.volume_change_pct == 0.0
+
+
+def test_profile_without_string_or_numeric_columns(spark):
+    from feedlake.operators import profile as P
+
+    nums = spark.createDataFrame([(1, 2.0), (2, None)], "row_id long, x double")
+    assert P.profile_strings(nums, exclude=["row_id"]).count() == 0
+    assert P.profile_top_values(nums, exclude=["row_id"]).count() == 0
+    assert P.profile_samples(nums, "row_id", exclude=["row_id"]).count() == 0
+    got = P.profile_numeric(nums, exclude=["row_id"]).first()
+    assert (got.n_non_null, got.pct_non_null, got.n_distinct) == (1, 50.0, 1)
+    approx = P.profile_numeric(nums, exclude=["row_id"], approx=True).first()
+    assert approx.n_distinct == 1
+    strs = spark.createDataFrame([(1, "a")], "row_id long, s string")
+    assert P.profile_numeric(strs, exclude=["row_id"]).count() == 0
