@@ -23,8 +23,8 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 
 
 def level_distribution(df: DataFrame, level: str = "level") -> DataFrame:
-    """(level, n) per non-null level."""
-    return df.filter(F.col(level).isNotNull()).groupBy(F.col(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    """(level, n) per non-null level, sorted by level (one row per level, so the sort is tiny)."""
+    return df.filter(F.col(level).isNotNull()).groupBy(F.col(level).alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy("level")
 
 
 def level_summary(df: DataFrame, level: str = "level") -> DataFrame:

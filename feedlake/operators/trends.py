@@ -34,7 +34,8 @@ def trend(df: DataFrame, unit: str = "month", ts: str = "ts", level: str | None
             F.min(level).alias("min_level"),
             F.max(level).alias("max_level"),
         ]
-    return with_period(df, unit, ts).groupBy("period_start", "period").agg(*aggs)
+    # one row per period: sorting the result is cheap
+    return with_period(df, unit, ts).groupBy("period_start", "period").agg(*aggs).orderBy("period_start")
 
 
 def level_trend_long(df: DataFrame, unit: str = "month", ts: str = "ts", level: str = "level") -> DataFrame:

@@ -42,7 +42,7 @@ def append_embeddings(spark, sf_dir):
     return append_new_embeddings(f, path)
 
 
-@register("history_ingest_twice", None, "A4 D1 G3")
+@register("history_ingest_twice", None, "A4 A8 D1 G3")
 def history_ingest_twice(spark, sf_dir):
     path = scratch_path(spark, "history")
     f = feedback(spark, sf_dir)

@@ -8,7 +8,7 @@ from feedlake.plans.registry import register
 from feedlake.sources.tables import feedback, table
 
 
-@register("level_distribution", f"select level, count(*) as n from {FEEDBACK} f where level is not null group by 1", "E1")
+@register("level_distribution", f"select level, count(*) as n from {FEEDBACK} f where level is not null group by 1", "E1 F7")
 def level_distribution(spark, sf_dir):
     return E.level_distribution(feedback(spark, sf_dir))
 

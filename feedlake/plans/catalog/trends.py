@@ -33,7 +33,7 @@ def _make_trend(unit: str):
 
 
 for _unit in ("day", "week", "month", "quarter", "year"):
-    register(f"trend_{_unit}", _trend_sql(_unit), "C6 E9")(_make_trend(_unit))
+    register(f"trend_{_unit}", _trend_sql(_unit), "C6 E9 F7")(_make_trend(_unit))
 
 
 @register(

@@ -176,7 +176,7 @@ def density_clusters_q(spark, sf_dir):
     _CLUSTER_SQL
     + """select count(*) as n_rows, count(distinct case when cluster <> -1 then cluster end) as n_clusters,
        count(*) filter (where cluster = -1) as n_noise, count(*) filter (where is_core) as n_core from lab""",
-    "E14",
+    "E14 G4",
 )
 def cluster_summary_q(spark, sf_dir):
     return cluster_summary(_labels(spark, sf_dir))
