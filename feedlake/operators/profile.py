@@ -134,16 +134,26 @@ def _string_value_counts(df: DataFrame, exclude: list[str] | None, order: str |
     return counts, fields
 
 
-def profile_strings(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+def profile_strings(df: DataFrame, exclude: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, dtype, n_non_null, pct_non_null, n_distinct) for every string column other
-    than the role columns."""
+    than the role columns.  ``approx=True`` estimates the distinct counts with
+    HyperLogLog++ in the same single aggregate pass (no shuffle of values)."""
     fields = [f for f in _other_columns(df, exclude) if isinstance(f.dataType, T.StringType)]
     if not fields:
         return df.sparkSession.createDataFrame([], "column_name string, dtype string, n_non_null long, pct_non_null double, n_distinct long")
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         aggs += [F.count(quoted(f.name)).alias(f"n{i}")]
+        if approx:
+            aggs.append(F.approx_count_distinct(quoted(f.name)).alias(f"nd{i}"))
     wide = df.agg(*aggs)
+    if approx:
+        stack = ", ".join(f"'{f.name}', n{i}, nd{i}" for i, f in enumerate(fields))
+        stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, n_non_null, n_distinct)")
+        return stats.select(
+            "column_name", F.lit("string").alias("dtype"), "n_non_null",
+            pct(F.col("n_non_null"), F.col("__rows")).alias("pct_non_null"), F.col("n_distinct").cast("long").alias("n_distinct"),
+        )
     stack = ", ".join(f"'{f.name}', n{i}" for i, f in enumerate(fields))
     stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, n_non_null)")
     counts, _ = _string_value_counts(df, exclude, None)

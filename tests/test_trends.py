@@ -69,5 +69,8 @@ def test_profile_without_string_or_numeric_columns(spark):
     assert (got.n_non_null, got.pct_non_null, got.n_distinct) == (1, 50.0, 1)
     approx = P.profile_numeric(nums, exclude=["row_id"], approx=True).first()
     assert approx.n_distinct == 1
-    strs = spark.createDataFrame([(1, "a")], "row_id long, s string")
+    strs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "row_id long, s string")
     assert P.profile_numeric(strs, exclude=["row_id"]).count() == 0
+    exact = P.profile_strings(strs, exclude=["row_id"]).first()
+    est = P.profile_strings(strs, exclude=["row_id"], approx=True).first()
+    assert (exact.n_non_null, exact.n_distinct) == (3, 2) and (est.n_non_null, est.n_distinct) == (3, 2)
