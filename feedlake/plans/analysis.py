@@ -52,7 +52,9 @@ def feedback_by_level(df: DataFrame, level: int, sample: int = 10) -> Result:
     return Result({"rows": rows, "count": rows.agg(F.count(F.lit(1)).alias("n")), "sample": first_rows(rows, sample, order)})
 
 
-def statistics(df: DataFrame, order: str = "row_id") -> Result:
+def statistics(df: DataFrame, order: str = "row_id", approx: bool = False) -> Result:
+    """Profile of the table; ``approx=True`` estimates distinct counts (HyperLogLog++) for
+    very large tables."""
     c = _canon(df)
     roles = ["text", "level", "ts", order]
     out = {"shape": P.table_shape(df)}
@@ -63,9 +65,9 @@ def statistics(df: DataFrame, order: str = "row_id") -> Result:
         out["text_summary"] = P.text_summary(c)
     if "ts" in c.columns:
         out["time_coverage"] = P.time_coverage(c)
-    out["numeric"] = P.profile_numeric(c, exclude=roles)
+    out["numeric"] = P.profile_numeric(c, exclude=roles, approx=approx)
     if any(t == "string" for n, t in c.dtypes if n not in roles):
-        out["strings"] = P.profile_strings(c, exclude=roles)
+        out["strings"] = P.profile_strings(c, exclude=roles, approx=approx)
         out["top_values"] = P.profile_top_values(c, exclude=roles)
         if order in c.columns:
             out["samples"] = P.profile_samples(c, order, exclude=roles)
