@@ -96,3 +96,23 @@ def read_feedback_csv(
     if row_id and row_id not in typed.columns:
         typed = typed.withColumn(row_id, F.monotonically_increasing_id())
     return typed
+
+
+def read_feedback_csvs(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", row_id: str | None = "row_id") -> DataFrame:
+    """Several CSV files whose columns differ: each is read with its own header and the
+    results are stacked by column name, missing columns null-filled (a ragged union).
+    Column types are inferred per file; a column typed differently across files is kept
+    as text."""
+    from functools import reduce
+
+    parts = [read_feedback_csv(spark, p, encoding=encoding, row_id=None) for p in paths]
+    kinds: dict[str, set] = {}
+    for df in parts:
+        for name, dtype in df.dtypes:
+            kinds.setdefault(name, set()).add(dtype)
+    mixed = {n for n, k in kinds.items() if len(k) > 1}
+    parts = [df.select(*[(quoted(c).cast("string") if c in mixed else quoted(c)).alias(c) for c in df.columns]) for df in parts]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if row_id and row_id not in out.columns:
+        out = out.withColumn(row_id, F.monotonically_increasing_id())
+    return out

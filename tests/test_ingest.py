@@ -99,3 +99,14 @@ def test_ragged_json_rows(spark):
     df = spark.createDataFrame([(1, '{"a": "1"}'), (2, '{"b": "x", "a": "2"}'), (3, "not json"), (4, "[1, 2]")], "id long, j string")
     got = sorted((r.id, r.a, r.b) for r in json_to_columns(df, "j").collect())
     assert got == [(1, "1", None), (2, "2", "x")]
+
+
+def test_ragged_csv_union(spark):
+    from feedlake.sources.csv import read_feedback_csvs
+
+    d = tempfile.mkdtemp(prefix="feedlake-test-")
+    write(d + "/a", "a.csv", "Level,Text\n5,good\n")
+    write(d + "/b", "b.csv", "Text,Source,Level\nslow,app,x\n")
+    df = read_feedback_csvs(spark, [d + "/a", d + "/b"])
+    rows = sorted((r.Text, r.Level, r.Source) for r in df.collect())
+    assert rows == [("good", "5", None), ("slow", "x", "app")]
