@@ -110,3 +110,25 @@ def test_ragged_csv_union(spark):
     df = read_feedback_csvs(spark, [d + "/a", d + "/b"])
     rows = sorted((r.Text, r.Level, r.Source) for r in df.collect())
     assert rows == [("good", "5", None), ("slow", "x", "app")]
+
+
+def test_history_json_expanded_and_empty_report(spark):
+    from feedlake.sources.reports import ensure_csv_suffix, report_name, write_report
+
+    d = tempfile.mkdtemp(prefix="feedlake-test-")
+    write(d, "a.csv", CSV1)
+    hist = scratch_path(spark, "t-json")
+    append_new_history(read_feedback_csv(spark, d), hist, "2024-04-01 00:00:00")
+    h = spark.read.schema(HISTORY_SCHEMA).parquet(hist)
+    wide = read_history(h, limit=None, expand_json=True)
+    assert {"Level", "Text", "Timestamp", "stored_at"} <= set(wide.columns)
+    assert "Ref" not in wide.columns  # only null values: left out of the JSON, so no key
+    assert sorted(r.Level for r in wide.collect()) == ["3", "5"]
+    # a report with no rows writes nothing
+    out = scratch_path(spark, "t-empty")
+    assert write_report(h.filter("level = 99"), out) is False
+    assert not os.path.exists(out)
+    import datetime as dt
+
+    assert report_name({"Level": [4, 5]}, dt.date(2024, 5, 1)) == "feedback_report_Level_4__5_2024-05-01.csv"
+    assert ensure_csv_suffix("x") == "x.csv"
