@@ -54,8 +54,8 @@ def embedding_rows(df: DataFrame, existing: DataFrame | None, encoder: Encoder |
 
 
 def append_new_embeddings(df: DataFrame, path: str, encoder: Encoder | None = None, order: str = "row_id") -> DataFrame:
-    """Encode and append the texts whose hash is not stored yet; returns the appended rows
-    (read back from the written files)."""
+    """Encode and append the texts whose hash is not stored yet; returns the whole table as
+    written (a replayed load appends nothing)."""
     spark = df.sparkSession
     rows = embedding_rows(df, open_embeddings(spark, path), encoder, order)
     rows.write.mode("append").parquet(path)
