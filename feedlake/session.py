@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,11 +44,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder shared by all executors (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="feedlake-ckpt-", dir=os.environ.get("FEEDLAKE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: functions that run in tasks
+    are pickled by reference, and a worker need not find the package on its own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_feedlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="feedlake-"), "feedlake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.join("feedlake", os.path.relpath(file, root)))
+    sc.addPyFile(path)
+    sc._feedlake_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
