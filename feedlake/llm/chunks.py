@@ -19,7 +19,7 @@ import regex
 from feedlake.llm.arrow_text import SLICE_BYTES, spread
 
 SAFE_CUT = regex.compile(r"(?<!\s) (?!\s)")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 class TwoGenerations:

@@ -54,3 +54,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -31,7 +31,7 @@ from feedlake.llm.arrow_text import column, text_slices
 from feedlake.llm.chunks import ChunkEncoder, TwoGenerations
 from feedlake.llm.vocab import PATTERN, SYMBOL, load_merges
 
-MAX_STATES = 400_000
+MAX_STATES = 200_000
 PIECE_CHARS = 1 << 16
 INNER_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -115,7 +115,7 @@ class CountTransducer:
                 i += 1
             if y_end <= x_end:
                 j += 1
-        if len(self.stable_pairs) > 1_000_000:
+        if len(self.stable_pairs) > 500_000:
             self.stable_pairs.clear()
         self.stable_pairs[key] = good
         return good

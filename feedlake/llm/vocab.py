@@ -68,7 +68,7 @@ def library_encoder(name: str, end_of_word: bool):
     def piece(text: str) -> bytes:
         found = pieces.get(text)
         if found is None:
-            if len(pieces) > 400_000:
+            if len(pieces) > 200_000:
                 pieces.clear()
             found = pieces[text] = np.array([t.id for t in model.tokenize(text.translate(SYMBOL_TABLE))], "<u4").tobytes()
         return found
