@@ -68,3 +68,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.substring_dedup import substring_digests
+
+    return substring_digests(table(spark, sf_dir, "documents"), length=13)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.suffix_index import suffix_digests
+
+    return suffix_digests(table(spark, sf_dir, "documents"), length=100, batches=2)
