@@ -82,3 +82,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm.suffix_index import suffix_digests
 
     return suffix_digests(table(spark, sf_dir, "documents"), length=100, batches=2)
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
