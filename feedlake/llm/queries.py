@@ -89,3 +89,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
