@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.arrow_text import column, text_slices
@@ -118,10 +118,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
 
-def read_parts(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+def read_parts(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True, only: Column | None = None) -> DataFrame:
     """One row per document and block: ``doc_id, part, start, n, crc32`` and, if asked for,
-    ``ids array<int>``.  ``doc_ids`` reads only the blocks that may hold those documents."""
+    ``ids array<int>``.  ``doc_ids`` reads only the blocks that may hold those documents,
+    ``only`` those that a condition on the block's columns chooses."""
     blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = blocks if only is None else blocks.filter(only)
     wanted = None
     if doc_ids is not None:
         wanted = set(doc_ids)
@@ -162,12 +164,11 @@ def read_parts(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files.
 
-    A document's first part fixes its start.  Parts of documents longer than a block meet by
-    (shard, start of the document); their checksums join without their ids.
+    Blocks that hold whole documents only are read on their own.  A document in parts has a
+    block to itself at first; parts meet by document, and their checksums join without ids.
     """
-    parts = read_parts(spark, path, with_ids=False)
-    whole = F.col("n") < BLOCK_IDS  # such a part is a whole document or the last one of a long document
-    single = parts.filter((F.col("part") == 0) & whole).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+    long_block = F.exists("parts", lambda p: p > 0) | (F.size("counts") == 1)
+    single = read_parts(spark, path, with_ids=False, only=~long_block).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
 
     def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,6 +187,6 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
                         open_ = (open_[0], open_[1] + p["n"], crc_join(open_[2], p["crc32"], 4 * p["n"]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    long_parts = parts.filter((F.col("part") > 0) | ~whole)
+    long_parts = read_parts(spark, path, with_ids=False, only=long_block)
     grouped = long_parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "part", "n", "crc32"))).alias("some"))
     return single.unionByName(grouped.mapInArrow(join_parts, "doc_id long, start long, n_tokens long, ids_crc32 long"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 import base64
 import json
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import regex
 
@@ -53,36 +53,43 @@ def load_merges(name: str) -> tuple[dict[str, int], list[tuple[str, str]], list[
     return spec["model"]["vocab"], merges, [t["content"] for t in spec["added_tokens"]]
 
 
+#: ASCII and the precomposed letters of Latin-1: classified alike by every version of Unicode,
+#: normalised to themselves and lower-cased one by one.
+PLAIN = regex.compile(r"[\x00-\x7f\u00c0-\u00ff]*")
+PIECE_ENTRIES = 300_000
+
+
 def library_encoder(name: str, end_of_word: bool):
     """``make`` for :class:`~feedlake.llm.chunks.ChunkEncoder` over the tokenizers library.
 
-    ASCII chunks without a special string are cut into words here and go to the library's
-    BPE model, each distinct word once; other chunks go through its whole pipeline.
+    Plain chunks without a special string are cut into words here and go to the library's BPE
+    model, each distinct word once; other chunks go through its whole pipeline.
     """
     tok = load_tokenizer(name)
-    model = tok.model
+    tokenize = tok.model.tokenize
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    split = PATTERN if not end_of_word else regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    split = (PATTERN if not end_of_word else regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")).findall
     pieces: dict[str, bytes] = {}
 
-    def piece(text: str) -> bytes:
-        found = pieces.get(text)
-        if found is None:
-            if len(pieces) > 200_000:
-                pieces.clear()
-            found = pieces[text] = np.array([t.id for t in model.tokenize(text.translate(SYMBOL_TABLE))], "<u4").tobytes()
-        return found
-
     def make(chunks: list[str]) -> list[bytes]:
         out, rest = [b""] * len(chunks), []
+        if len(pieces) > PIECE_ENTRIES:
+            pieces.clear()
         for i, c in enumerate(chunks):
-            if c.isascii() and not ("<" in c and any(s in c for s in special)):
-                out[i] = b"".join([piece(p) for p in split.findall(c.lower() if end_of_word else c)])
-            else:
+            if not (c.isascii() or PLAIN.fullmatch(c)) or ("<" in c and any(s in c for s in special)):
                 rest.append(i)
+                continue
+            ids = b""
+            for p in split(c.lower() if end_of_word else c):
+                found = pieces.get(p)
+                if found is None:
+                    symbols = p.encode().decode("latin-1").translate(SYMBOL_TABLE)
+                    found = pieces[p] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
+                ids += found
+            out[i] = ids
         if rest:
             for i, e in zip(rest, tok.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
+                out[i] = array("I", e.ids).tobytes()
         return out
 
     return make
