@@ -1,6 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of character 3-, 4- and 5-grams of the lower-cased whole text, hashed
+Features are the presence of character 4-, 5- and 6-grams of the lower-cased whole text (white
+space as one space, also before and after it), hashed
 into ``2 ** BITS`` buckets.  For each bucket the ratio of its smoothed document counts in toxic
 and other training texts gives a log-count ratio; a bucket's feature value is that ratio (Wang
 and Manning, 2012).  A logistic model with L2 penalty on the scaled features gives the score.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.arrow_text import column, gram_codes, mix, text_slices
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 BITS = 20
 MIN_DOCS = 4
 MAX_FEATURES = 1 << 15
@@ -97,14 +98,15 @@ def fit(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Model:
     row, col = owner[keep], number[bucket[keep]]
     value = ratio[strong][col]
     rows, cols = len(label), len(strong)
-    weight, bias = np.zeros(cols), float(np.log((n_toxic + 1) / (n_rest + 1)))
-    scale = np.bincount(col, value * value, cols) / rows
+    share = np.where(label == 1, rows / (2 * n_toxic), rows / (2 * n_rest))  # both classes weigh the same
+    weight, bias = np.zeros(cols), 0.0
+    scale = np.bincount(col, value * value * share[row], cols) / rows
     speed, last = np.zeros(cols), 0.0
     for _ in range(400):
         z = np.bincount(row, value * weight[col], rows) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = p - label
-        grad = np.bincount(col, value * error[row], cols) / rows + PENALTY * weight / rows * 100
+        error = (p - label) * share
+        grad = np.bincount(col, value * error[row], cols) / rows + PENALTY * weight / np.sqrt(rows)
         speed = 0.9 * speed - 0.05 * grad / (scale * 0.25 + 1e-3)
         weight += 0.2 * speed
         last = 0.9 * last - 0.05 * error.mean() / 0.25
@@ -112,8 +114,13 @@ def fit(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Model:
     return Model(strong, weight * ratio[strong], bias)
 
 
+def plain(text: str | None) -> str:
+    """Lower case, white space as one space, a space at both ends."""
+    return f" {' '.join((text or '').lower().split())} "
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
-    return [(t or "").lower() for t in column(batch, name).to_pylist()]
+    return [plain(t) for t in column(batch, name).to_pylist()]
 
 
 def held_out(doc_id: Column) -> Column:
