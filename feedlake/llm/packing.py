@@ -202,6 +202,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             last, seen = length[-1], int(place[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), shard, np.int32)), pa.array(place)], [*batch.schema.names, "shard", "place"])
 
+    # Range partitioning reads its input twice, so texts are tokenized into a table before.
+    path = scratch_path(spark, "tokenized")
+    pieces.write.parquet(path)
+    pieces = spark.read.schema(pieces.schema).parquet(path)
     path = scratch_path(spark, "pieces")
     ordered = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     ordered.mapInArrow(number, f"{schema}, shard int, place long").write.parquet(path)
