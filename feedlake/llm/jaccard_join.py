@@ -1,8 +1,10 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 A document's set holds the hashes of its distinct ``k``-word shingles.  Hashing shingles into
-``GROUPS`` groups gives a vector of group counts, and the overlap of two sets is at most the sum
-of the coordinate minima of their vectors.  The join links every pair of documents whose sets
+groups gives a vector of group counts, and the overlap of two sets is at most the sum of the
+coordinate minima of their vectors.  The number of groups is a power of two that grows with
+the set, about one for every four shingles, because a vector of few large counts bounds
+nothing; vectors of two sizes meet by folding the longer one.  The join links every pair of documents whose sets
 have a Jaccard similarity of ``percent`` or more, and returns the components of the links:
 
 1. Documents with equal sets are one class, linked to its smallest id; classes never meet pair
@@ -36,9 +38,10 @@ from feedlake.llm.arrow_text import column, gram_codes, mix, text_bytes, text_sl
 from feedlake.operators.components import connected_components
 from feedlake.session import scratch_path
 
-GROUPS = 128
+LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 128, 1 << 14, 4
 HEAVY = 1 << 16
 LEAF, FANOUT = 16, 16
+NO_BOUND = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +68,22 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return code, np.searchsorted(of, np.arange(len(count) + 1))
 
 
+def group_count(n: np.ndarray) -> np.ndarray:
+    """Groups of a set of ``n`` shingles."""
+    want = np.clip(n // PER_GROUP, LEAST_GROUPS, MOST_GROUPS)
+    return (1 << np.ceil(np.log2(want)).astype(np.int64)).astype(np.int64)
+
+
+def folded(vectors: list[bytes], width: int) -> np.ndarray:
+    """Vectors as rows of ``width`` groups (a divisor of their own numbers), counts added up; 255
+    stands for 255 or more and stays infinite."""
+    out = np.zeros((len(vectors), width), np.int32)
+    for i, v in enumerate(vectors):
+        x = np.frombuffer(v, np.uint8).reshape(-1, width).astype(np.int32)
+        out[i] = x.sum(0) + NO_BOUND * (x == 255).any(0)
+    return np.minimum(out, NO_BOUND)
+
+
 def _sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
     return total[first[1:]] - total[first[:-1]]
@@ -81,10 +100,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             n = np.diff(first)
             rows = batch.num_rows
             owner = np.repeat(np.arange(rows), n)
-            vector = np.bincount(owner * GROUPS + (code >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=rows * GROUPS)
-            packed = np.minimum(vector, 65535).astype("<u2").reshape(rows, GROUPS)
+            width = group_count(n)
+            begin = np.cumsum(width) - width
+            vector = np.bincount(begin[owner] + (code >> np.uint64(7)).astype(np.int64) % width[owner], minlength=int(width.sum()))
+            packed = np.minimum(vector, 255).astype(np.uint8)
             s1, s2 = _sums(mix(code), first), _sums(mix(code ^ np.uint64(0x5851F42D4C957F2D)), first)
-            yield _signature_rows(column(batch, "doc_id"), n, s1, s2, pa.array([v.tobytes() for v in packed], pa.binary()))
+            yield _signature_rows(column(batch, "doc_id"), n, s1, s2, pa.array([packed[a : a + m].tobytes() for a, m in zip(begin, width, strict=True)], pa.binary()))
             shared, times = np.unique(code, return_counts=True)
             many = times >= max(8, rows // 100)
             shared, times = shared[many], times[many]
@@ -179,9 +200,7 @@ def blocks(postings: DataFrame, percent: int) -> DataFrame:
 
 def _bound_ok(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """True where the summed coordinate minima allow the overlap that a link needs."""
-    least = np.minimum(a, b).sum(-1, dtype=np.int64)
-    full = (a.max(-1) == 65535) | (b.max(-1) == 65535)  # a capped count bounds nothing
-    return full | ((100 + percent) * least >= percent * (na + nb))
+    return (100 + percent) * np.minimum(a, b).sum(-1, dtype=np.int64) >= percent * (na + nb)
 
 
 def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -191,9 +210,15 @@ def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            va, vb = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("va", "vb"))
+            va, vb = (column(batch, c).to_pylist() for c in ("va", "vb"))
             na, nb = (column(batch, c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            at = pa.array(np.flatnonzero(_bound_ok(va, vb, na, nb, percent)))
+            width = np.minimum(group_count(na), group_count(nb))
+            keep = []
+            for w in np.unique(width).tolist():
+                for some in np.array_split(np.flatnonzero(width == w), -(-int((width == w).sum()) * w // (1 << 21))):
+                    x, y = (folded([v[i] for i in some], w) for v in (va, vb))
+                    keep.append(some[_bound_ok(x, y, na[some], nb[some], percent)])
+            at = pa.array(np.sort(np.concatenate(keep)) if keep else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([column(batch, "a").take(at), column(batch, "b").take(at)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
@@ -224,8 +249,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 class CountTree:
-    """Packed R-tree over count vectors.  Points are sorted by set size; every node keeps the
-    coordinate maxima and the least and largest size below it."""
+    """Packed R-tree over count vectors of one width.  Points are sorted by set size; every node
+    keeps the coordinate maxima and the least and largest size below it."""
 
     def __init__(self, vectors: np.ndarray, n: np.ndarray):
         self.order = np.lexsort((vectors[:, 0], n))
@@ -253,6 +278,32 @@ class CountTree:
         return self.order[nodes[_bound_ok(self.vectors[nodes], vector, self.n[nodes], np.int64(n), percent)]]
 
 
+def block_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a block, members of other components that the bound lets through.
+
+    There is a tree for each vector width.  A member asks the tree of its width, unless it is in
+    the block's largest component (the others find those), and the tree of half its width, where
+    smaller sets that may still link with it are.
+    """
+    names, size = np.unique(comp, return_counts=True)
+    largest = names[np.argmax(size)]
+    width = group_count(n)
+    trees = {}
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        trees[w] = (own, CountTree(folded([vectors[i] for i in own], w), n[own]))
+    for i in range(len(n)):
+        w = int(width[i])
+        for want in (w, w // 2):
+            if want not in trees or (want == w and comp[i] == largest):
+                continue
+            own, tree = trees[want]
+            hits = own[tree.search(folded([vectors[i]], want)[0], int(n[i]), percent)]
+            hits = hits[comp[hits] != comp[i]]
+            if len(hits):
+                yield i, hits
+
+
 def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in a block that the tree lets through.  ``members``:
     ``(key, doc_id, n, comp, vector)``."""
@@ -272,19 +323,13 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
         if not table.num_rows:
             return
         key, doc, n, comp = (table[c].to_numpy().astype(np.int64) for c in ("key", "doc_id", "n", "comp"))
-        vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), "<u2").reshape(-1, GROUPS)
+        vectors = table["vector"].to_pylist()
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         left, right = [], []
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-            tree = CountTree(vectors[a:b], n[a:b])
-            # The largest component asks nothing: the others find its members.
-            names, size = np.unique(comp[a:b], return_counts=True)
-            asks = np.flatnonzero(comp[a:b] != names[np.argmax(size)])
-            for i in asks.tolist():
-                hits = tree.search(vectors[a + i], int(n[a + i]), percent) + a
-                hits = hits[comp[hits] != comp[a + i]]
+            for i, hits in block_pairs(n[a:b], comp[a:b], vectors[a:b], percent):
                 left.append(np.full(len(hits), doc[a + i]))
-                right.append(doc[hits])
+                right.append(doc[a + hits])
         if left:
             x, y = np.concatenate(left), np.concatenate(right)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
