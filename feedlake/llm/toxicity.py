@@ -34,7 +34,7 @@ BITS = 20
 MIN_DOCS = 4
 MAX_FEATURES = 1 << 15
 MIN_RATIO = 1.0
-PENALTY = 0.02
+PENALTY = 0.5
 MAX_ROWS = 3000
 
 
