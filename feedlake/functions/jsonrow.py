@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlake.sources.roles import quoted
+
 
 def row_to_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """JSON object of the row's non-null values, every value as a string
@@ -14,7 +16,7 @@ def row_to_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     fields = []
     for name in cols:
         dtype = df.schema[name].dataType
-        c = F.col(f"`{name}`")
+        c = quoted(name)
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             v = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
         else:
@@ -49,4 +51,4 @@ def json_to_columns(df: DataFrame, column: str, schema: T.StructType | None = No
     parsed = df.withColumn("__obj", F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}))
     if drop_bad:
         parsed = parsed.filter(F.json_object_keys(F.col(column)).isNotNull())
-    return parsed.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *[F.col("__obj").getField(f.name).alias(f.name) for f in schema.fields])
+    return parsed.select(*[quoted(c) for c in df.columns if c != column], *[F.col("__obj").getField(f.name).alias(f.name) for f in schema.fields])

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted textual timestamp layouts, tried in order.
+# Accepted textual layouts besides the ISO forms, tried in order.
 TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
+    "yyyy/M/d H:m[:s]",
+    "yyyy/M/d",
+    "M/d/yyyy H:m[:s]",
+    "M/d/yyyy",
 )
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
 
 PERIOD_UNITS = ("day", "week", "month", "quarter", "year")
 
@@ -25,7 +22,11 @@ def _col(c) -> Column:
 
 
 def parse_ts(c, source_type: str | None = None) -> Column:
-    """Timestamp of a column; strings are tried against ``TIMESTAMP_FORMATS``, failures -> null.
+    """Timestamp of a column; failures -> null.
+
+    Strings that begin with an ISO date go to Spark's own parser: one-digit months and days,
+    fractions of a second and zones (``Z``, ``+02:00``) are fine, and a time with a zone is
+    converted to the session's time zone.  Others are tried against ``TIMESTAMP_FORMATS``.
 
     Columns that already hold timestamps or dates are passed through (as timestamps)."""
     col = _col(c)
@@ -33,8 +34,12 @@ def parse_ts(c, source_type: str | None = None) -> Column:
         if source_type.startswith("date"):
             return col.cast("timestamp_ntz")
         return col
-    s = F.trim(col.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
+    return _parsed(F.trim(col.cast("string")))
+
+
+def _parsed(s: Column) -> Column:
+    iso = F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
 
 
 def canonical_unit(unit: str) -> str:
@@ -75,8 +80,7 @@ def date_bound(value: str | None, end_of_day: bool = False) -> Column | None:
     ``end_of_day`` is set, in which case the whole day is included."""
     if value is None:
         return None
-    lit = F.lit(value).cast("string")
-    ts = F.coalesce(*[F.try_to_timestamp(lit, F.lit(f)) for f in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
+    ts = _parsed(F.lit(value.strip()))
     if end_of_day and len(value.strip()) <= 10:
         return ts + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
     return ts

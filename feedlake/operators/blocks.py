@@ -99,12 +99,16 @@ def explode_block_pairs(df: DataFrame, id_col: str, nb: int) -> DataFrame:
     ).drop("__other")
 
 
+#: Similarities are rounded before ranking: the last bits of a dot product depend on where a
+#: vector stands in its matrix, and equal vectors must tie so that ``row_id`` decides.
+SIMILARITY_DIGITS = 12
 HIT_SCHEMA = "query_id long, row_id long, level int, similarity double"
 
 
 def _local_topk(q_ids: np.ndarray, c_ids: np.ndarray, sims: np.ndarray, k: int, threshold: float | None, exclude_self: bool, levels=None):
     """Per query row of ``sims``: the best k corpus columns by (similarity desc, row_id asc)."""
     out_q, out_c, out_s, out_l = [], [], [], []
+    sims = np.round(sims, SIMILARITY_DIGITS)
     for i in range(sims.shape[0]):
         s = sims[i]
         mask = np.ones(len(c_ids), dtype=bool)
@@ -178,7 +182,7 @@ def knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, metric: str, th
 
 def _with_level(corpus: DataFrame) -> DataFrame:
     level = F.col("level").cast("int") if "level" in corpus.columns else F.lit(None).cast("int")
-    return corpus.select(F.col("row_id").cast("long").alias("row_id"), "embedding", level.alias("level"))
+    return corpus.filter(F.col("embedding").isNotNull()).select(F.col("row_id").cast("long").alias("row_id"), "embedding", level.alias("level"))
 
 
 def _merge_topk(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -229,9 +233,10 @@ def knn(
     ``queries`` has ``query_id, embedding``; ``corpus`` has ``row_id, embedding`` and
     optionally ``level`` (carried along, so no join back to the corpus is needed).  Hits below
     ``threshold`` are dropped before ranking; ``exclude_self`` drops ``row_id == query_id``.
-    Ties are broken by ``row_id``.  Local candidates (at most k per query per task) are
+    Rows without an embedding neither ask nor answer.  Ties are broken by ``row_id``.  Local candidates (at most k per query per task) are
     ranked globally with ``row_number``, which Spark limits per partition before the
     exchange (``WindowGroupLimit``)."""
+    queries = queries.filter(F.col("embedding").isNotNull())
     cand = None
     if max_broadcast_queries:
         cand = knn_broadcast(queries, corpus, k, metric, threshold, exclude_self, max_broadcast_queries)

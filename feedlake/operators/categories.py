@@ -49,7 +49,7 @@ def categorize(
     for i, c in enumerate(cats):
         flag = F.lit(0)
         if c in rules:
-            flag = F.coalesce(quoted(text).cast("string").rlike("(?i)" + rules[c]).cast("int"), F.lit(0))
+            flag = F.coalesce(quoted(text).cast("string").rlike("(?iu)" + rules[c]).cast("int"), F.lit(0))
         if assignments is not None:
             flag = F.greatest(flag, F.coalesce(F.col(f"__a_{i}"), F.lit(0)))
         cols.append(flag.cast("int").alias(category_column(c)))
@@ -65,8 +65,8 @@ def category_counts(tagged: DataFrame) -> DataFrame:
     """(category, n, pct): rows tagged with each category and their % of all rows (one pass)."""
     cats = category_names(tagged)
     wide = tagged.agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(quoted(category_column(c))).cast("long").alias(f"n{i}") for i, c in enumerate(cats)])
-    stack = ", ".join(f"'{c}', n{i}" for i, c in enumerate(cats))
-    longf = wide.selectExpr("__rows", f"stack({len(cats)}, {stack}) as (category, n)")
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"n{i}").alias("n")) for i, c in enumerate(cats)])
+    longf = wide.select("__rows", F.inline(each))
     return longf.select("category", "n", pct(F.col("n"), F.col("__rows")).alias("pct"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import functools
 import operator
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlake.functions.text import is_non_blank
 from feedlake.functions.timeparts import date_bound
@@ -67,12 +69,26 @@ def level_bounds(df: DataFrame, eq=None, at_most=None, at_least=None, level: str
     return df if pred is None else df.filter(pred)
 
 
+def _comparable(df: DataFrame, name: str, value) -> bool:
+    """Whether cells of the column can equal ``value``: text with text, numbers and truth values
+    with each other, anything else (dates, times) with whatever Spark can cast.  A value of
+    another kind equals no cell."""
+    kind = df.schema[find_column(df, name)].dataType
+    if value is None:
+        return False
+    if isinstance(kind, T.StringType):
+        return isinstance(value, str)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return isinstance(value, (bool, int, float, Decimal))
+    return True
+
+
 def match_predicate(df: DataFrame, criteria: dict, literal: bool = False) -> Column | None:
     """AND over ``{column: value}``; column names are case-insensitive and an unknown column
     raises ``ValueError`` before any job runs.
 
-    - list -> IN list
-    - str  -> case-insensitive regular-expression search on the value as text
+    - list -> IN list (values of another kind than the column match nothing)
+    - str  -> case-insensitive (Unicode) regular-expression search on the value as text
               (``literal=True``: plain substring); null cells never match
     - other scalar -> equality (null never equal)
     """
@@ -80,15 +96,16 @@ def match_predicate(df: DataFrame, criteria: dict, literal: bool = False) -> Col
     for name, value in criteria.items():
         c = quoted(find_column(df, name))
         if isinstance(value, (list, tuple, set)):
-            parts.append(c.isin(list(value)))
+            kept = [v for v in value if _comparable(df, name, v)]
+            parts.append(c.isin(kept) if kept else F.lit(False))
         elif isinstance(value, str):
             s = c.cast("string")
             if literal:
                 parts.append(F.lower(s).contains(value.lower()))
             else:
-                parts.append(s.rlike("(?i)" + value))
+                parts.append(s.rlike("(?iu)" + value))
         else:
-            parts.append(c == F.lit(value))
+            parts.append(c == F.lit(value) if _comparable(df, name, value) else F.lit(False))
     if not parts:
         return None
     return functools.reduce(operator.and_, [F.coalesce(p, F.lit(False)) for p in parts])
@@ -125,14 +142,13 @@ def two_clock_range(df: DataFrame, start: str | None, end: str | None, event: st
         if end:
             out = out.filter((ev <= F.lit(end)) | (st <= F.lit(end)))
         return out
-    t = F.coalesce(F.col(event), F.col(stored))
-    out = df
-    lo, hi = date_bound(start), date_bound(end)
-    if lo is not None:
-        out = out.filter(t >= lo)
-    if hi is not None:
-        out = out.filter(t <= hi)
-    return out
+    bounds = [(operator.ge, date_bound(start)), (operator.le, date_bound(end))]
+    bounds = [(op, b) for op, b in bounds if b is not None]
+    if not bounds:
+        return df
+    # written as an OR of plain ranges, not over coalesce, so that both reach the scan
+    inside = lambda clock: functools.reduce(operator.and_, [op(F.col(clock), b) for op, b in bounds])
+    return df.filter(inside(event) | (F.col(event).isNull() & inside(stored)))
 
 
 def min_similarity(df: DataFrame, threshold: float = 0.3, col: str = "similarity") -> DataFrame:
@@ -144,10 +160,12 @@ def non_blank(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(is_non_blank(F.col(text)))
 
 
-def fresh(df: DataFrame, ts: str, now: str, hours: float = 24) -> DataFrame:
-    """Rows at most ``hours`` old at time ``now`` (a parameter, so results are repeatable)."""
+def fresh(df: DataFrame, ts: str, now: str, hours: float = 24, drop_future: bool = False) -> DataFrame:
+    """Rows at most ``hours`` old at time ``now`` (a parameter, so results are repeatable).  Rows
+    newer than ``now`` are fresh too, unless ``drop_future``."""
     now_ts = F.lit(now).cast("timestamp_ntz")
-    return df.filter((F.col(ts) >= now_ts - F.make_dt_interval(secs=F.lit(float(hours) * 3600.0))) & (F.col(ts) <= now_ts))
+    out = df.filter(F.col(ts) >= now_ts - F.make_dt_interval(secs=F.lit(float(hours) * 3600.0)))
+    return out.filter(F.col(ts) <= now_ts) if drop_future else out
 
 
 def keep_newest(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:

@@ -84,14 +84,12 @@ def profile_numeric(df: DataFrame, exclude: list[str] | None = None, approx: boo
             aggs.append(F.approx_count_distinct(c).alias(f"nd{i}"))
     wide = df.agg(*aggs)
     if approx:
-        stack = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', n{i}, lo{i}, hi{i}, av{i}, nd{i}" for i, f in enumerate(fields))
-        stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, dtype, n_non_null, min, max, mean, n_distinct)")
+        stats = _stacked(wide, fields, {"n_non_null": "n", "min": "lo", "max": "hi", "mean": "av", "n_distinct": "nd"})
         return stats.select(
             "column_name", "dtype", "n_non_null", pct(F.col("n_non_null"), F.col("__rows")).alias("pct_non_null"),
             "min", "max", "mean", F.col("n_distinct").cast("long").alias("n_distinct"),
         )
-    stack = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', n{i}, lo{i}, hi{i}, av{i}" for i, f in enumerate(fields))
-    stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, dtype, n_non_null, min, max, mean)")
+    stats = _stacked(wide, fields, {"n_non_null": "n", "min": "lo", "max": "hi", "mean": "av"})
     # distinct counts: unpivot once, group by (column, value) once
     longv = df.select(
         F.explode(
@@ -117,6 +115,16 @@ def profile_numeric(df: DataFrame, exclude: list[str] | None = None, approx: boo
     return out
 
 
+def _stacked(wide: DataFrame, fields: list, values: dict[str, str]) -> DataFrame:
+    """One row per field from a one-row aggregate: ``column_name``, ``dtype`` and the columns
+    ``<prefix><i>`` under the names of ``values``.  Names are literals, so any will do."""
+    rows = [
+        F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"), *[F.col(f"{p}{i}").alias(out) for out, p in values.items()])
+        for i, f in enumerate(fields)
+    ]
+    return wide.select("__rows", F.inline(F.array(*rows)))
+
+
 def _string_value_counts(df: DataFrame, exclude: list[str] | None, order: str | None):
     fields = [f for f in _other_columns(df, exclude) if isinstance(f.dataType, T.StringType)]
     if not fields:
@@ -148,19 +156,17 @@ def profile_strings(df: DataFrame, exclude: list[str] | None = None, approx: boo
             aggs.append(F.approx_count_distinct(quoted(f.name)).alias(f"nd{i}"))
     wide = df.agg(*aggs)
     if approx:
-        stack = ", ".join(f"'{f.name}', n{i}, nd{i}" for i, f in enumerate(fields))
-        stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, n_non_null, n_distinct)")
+        stats = _stacked(wide, fields, {"n_non_null": "n", "n_distinct": "nd"})
         return stats.select(
-            "column_name", F.lit("string").alias("dtype"), "n_non_null",
+            "column_name", "dtype", "n_non_null",
             pct(F.col("n_non_null"), F.col("__rows")).alias("pct_non_null"), F.col("n_distinct").cast("long").alias("n_distinct"),
         )
-    stack = ", ".join(f"'{f.name}', n{i}" for i, f in enumerate(fields))
-    stats = wide.selectExpr("__rows", f"stack({len(fields)}, {stack}) as (column_name, n_non_null)")
+    stats = _stacked(wide, fields, {"n_non_null": "n"})
     counts, _ = _string_value_counts(df, exclude, None)
     distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     return stats.join(distinct, "column_name", "left").select(
         "column_name",
-        F.lit("string").alias("dtype"),
+        "dtype",
         "n_non_null",
         pct(F.col("n_non_null"), F.col("__rows")).alias("pct_non_null"),
         F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),

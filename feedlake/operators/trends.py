@@ -51,9 +51,11 @@ def level_trend_long(df: DataFrame, unit: str = "month", ts: str = "ts", level:
 def level_trend_pivot(df: DataFrame, levels: list[int], unit: str = "month", ts: str = "ts", level: str = "level") -> DataFrame:
     """One row per period with a 0-filled count column ``level_<v>`` per given level.
 
-    The level values are a parameter (no extra job to discover them).  Periods whose
-    levels are all null do not appear."""
+    The level values are a parameter (no extra job to discover them); ``other_levels`` counts
+    the rows of all others, so the counts add up.  Periods whose levels are all null do not
+    appear."""
     aggs = [F.count_if(F.col(level) == F.lit(v)).alias(f"level_{v}") for v in levels]
+    aggs.append(F.count_if(~F.col(level).isin(levels)).alias("other_levels"))
     return (
         with_period(df, unit, ts)
         .filter(F.col(level).isNotNull())

@@ -25,7 +25,7 @@ from feedlake.operators.encode import Encoder, encode
 from feedlake.operators.filters import between_dates, first_rows, level_bounds, match, non_blank
 from feedlake.operators.search import reference_row, search
 from feedlake.sources.history import read_history
-from feedlake.sources.reports import category_report_name, ensure_csv_suffix, report_name, write_category_report, write_report
+from feedlake.sources.reports import ensure_csv_suffix, report_name, write_category_report, write_report
 from feedlake.sources.roles import canonical, project, resolve_roles
 
 
@@ -111,7 +111,7 @@ def semantic_search(
         ref = reference_row(corpus, reference_index)
         queries = ref.select(F.col("row_id").alias("query_id"), "embedding")
         # the reference row leaves its own hits: before ranking (k hits remain), or with
-        # ``post_filter`` after it, as the studied application does (k - 1 remain)
+        # ``post_filter`` after it (k - 1 remain)
         if post_filter:
             exclude_ids = ref.select("row_id")
         else:
@@ -158,7 +158,7 @@ def themes(
         return Result({"count": rows.agg(F.count(F.lit(1)).alias("n")), "sample": first_rows(rows.select("row_id", "text", *(["level"] if "level" in c.columns else [])), 30)})
     n = rows.limit(min_cluster_size).count()
     if n < min_cluster_size:
-        raise ValueError(f"Not enough feedback entries ({n}) for clustering. Need at least {min_cluster_size} entries.")
+        raise ValueError(f"clusters of {min_cluster_size} rows cannot form from {n}")
     vec = vectors.join(rows.select("row_id"), "row_id", "left_semi") if vectors is not None else encode(rows.select("row_id", "text"), "text", "embedding", encoder)
     labels = density_clusters(vec.select("row_id", "embedding"), eps=eps, min_size=min_cluster_size).checkpoint()
     shown = rows.select("row_id", shorten("text", 200).alias("text"), *(["level"] if "level" in c.columns else []))
@@ -184,17 +184,21 @@ def category_report(
     tagged = categorize(non_blank(c), categories, rules, assignments)
     res = Result({"rows": tagged, "counts": category_counts(tagged), "entries": category_entries(tagged)})
     if folder:
-        path = f"{folder.rstrip('/')}/{category_report_name(eq, at_most, at_least, today)}"
+        bounds = {"level": eq, "level to": at_most, "level from": at_least}
+        given = next(({k: v} for k, v in bounds.items() if v is not None), {})
+        path = f"{folder.rstrip('/')}/{report_name(given, today, kind='categories')}"
         if write_category_report(tagged, path):
             res.files.append(path)
     return res
 
 
-def history_summary(hist: DataFrame, start: str | None = None, end: str | None = None, level: int | None = None, limit: int | None = 1000) -> Result:
-    rows = read_history(hist, start, end, level, limit)
+def history_summary(hist: DataFrame, start: str | None = None, end: str | None = None, level: int | None = None, limit: int | None = None) -> Result:
+    """Statistics of all matching rows; ``limit`` bounds only the ``shown`` ones."""
+    rows = read_history(hist, start, end, level)
     return Result(
         {
             "rows": rows,
+            "shown": rows.limit(limit) if limit else rows,
             "count": rows.agg(F.count(F.lit(1)).alias("n")),
             "level_distribution": P.level_distribution(rows),
             "level_summary": P.level_summary(rows),
@@ -223,14 +227,15 @@ def compare(df: DataFrame, p1_start: str, p1_end: str, p2_start: str, p2_end: st
     c = _canon(df)
     if "ts" not in c.columns:
         raise ValueError("no timestamp/date column found")
+    c = c.withColumn("ts", parse_ts(F.col("ts"), dict(c.dtypes)["ts"]))
     level = "level" if "level" in c.columns else None
     p1, p2 = (p1_start, p1_end), (p2_start, p2_end)
     cmp = T.compare_periods(c, p1, p2, level=level)
     first = cmp.select("n_p1", "n_p2").first()
     if first.n_p1 == 0:
-        raise ValueError(f"No feedback found in Period 1 ({p1_start} to {p1_end})")
+        raise ValueError(f"the first period, {p1_start} to {p1_end}, holds no rows")
     if first.n_p2 == 0:
-        raise ValueError(f"No feedback found in Period 2 ({p2_start} to {p2_end})")
+        raise ValueError(f"the second period, {p2_start} to {p2_end}, holds no rows")
     order = "row_id" if "row_id" in c.columns else "ts"
     out = {"comparison": cmp, "samples_p1": T.period_samples(c, *p1, order=order), "samples_p2": T.period_samples(c, *p2, order=order)}
     if level:

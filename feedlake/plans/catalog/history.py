@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.jsonrow import json_to_columns
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
+from feedlake.plans.analysis import history_summary
 from feedlake.plans.catalog.views import FEEDBACK, NON_SPACE_SQL, hash_sql
 from feedlake.plans.registry import register
 from feedlake.sources.history import history_rows, read_history
@@ -58,12 +59,12 @@ def history_rows_q(spark, sf_dir):
     f"""select text_hash, level, ts, timestamp '{STORED_AT}' as stored_at from ({_FIRST_F}) h
 where coalesce(ts, timestamp '{STORED_AT}') >= timestamp '2024-01-10'
   and coalesce(ts, timestamp '{STORED_AT}') <= timestamp '2024-01-20'
-order by stored_at desc, text_hash limit 1000""",
+order by stored_at desc, text_hash""",
     "A5 B10 F1",
 )
 def history_read(spark, sf_dir):
     hist = history_rows(feedback(spark, sf_dir), STORED_AT)
-    return read_history(hist, "2024-01-10", "2024-01-20", limit=1000).select("text_hash", "level", "ts", "stored_at")
+    return read_history(hist, "2024-01-10", "2024-01-20").select("text_hash", "level", "ts", "stored_at")
 
 
 @register(
@@ -72,12 +73,12 @@ def history_read(spark, sf_dir):
 where (cast(ts as varchar) >= '2024-01-10' or '{STORED_AT}' >= '2024-01-10')
   and (cast(ts as varchar) <= '2024-01-20' or '{STORED_AT}' <= '2024-01-20')
   and level = 2
-order by stored_at desc, text_hash limit 1000""",
+order by stored_at desc, text_hash""",
     "A5 B10 F1",
 )
 def history_read_exact(spark, sf_dir):
     hist = history_rows(feedback(spark, sf_dir), STORED_AT)
-    out = read_history(hist, "2024-01-10", "2024-01-20", level=2, limit=1000, exact=True)
+    out = read_history(hist, "2024-01-10", "2024-01-20", level=2, exact=True)
     return out.select("text_hash", "level", "ts", "stored_at")
 
 
@@ -102,16 +103,15 @@ def history_json_roundtrip(spark, sf_dir):
     f"""
 with r as (select text_hash, level, ts, timestamp '{STORED_AT}' as stored_at from ({_FIRST_F}) h
            where coalesce(ts, timestamp '{STORED_AT}') >= timestamp '2024-01-01'
-             and coalesce(ts, timestamp '{STORED_AT}') <= timestamp '2024-01-31'
-           order by stored_at desc, text_hash limit 1000)
+             and coalesce(ts, timestamp '{STORED_AT}') <= timestamp '2024-01-31')
 select count(*) as n_rows, avg(cast(level as double)) as avg_level, min(level) as min_level,
        max(level) as max_level, min(ts) as first_ts, max(ts) as last_ts from r
 """,
     "E15 A5 E2 E4",
 )
 def history_summary_q(spark, sf_dir):
-    rows = read_history(history_rows(feedback(spark, sf_dir), STORED_AT), "2024-01-01", "2024-01-31", limit=1000)
-    return rows.agg(
+    found = history_summary(history_rows(feedback(spark, sf_dir), STORED_AT), "2024-01-01", "2024-01-31", limit=20)
+    return found["rows"].agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.col("level").cast("double")).alias("avg_level"),
         F.min("level").alias("min_level"),
@@ -119,3 +119,28 @@ def history_summary_q(spark, sf_dir):
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
+
+
+@register(
+    "history_newest",
+    f"""select text_hash, level, ts from ({_FIRST_F}) h where level = 3 order by text_hash limit 25""",
+    "A5 F1",
+)
+def history_newest(spark, sf_dir):
+    """The limit as a feature: the newest rows of a level (ties by hash)."""
+    return read_history(history_rows(feedback(spark, sf_dir), STORED_AT), level=3, limit=25).select("text_hash", "level", "ts")
+
+
+@register(
+    "history_json_values",
+    f"""select text_hash, cast(row_id as varchar) as row_id_text, lang, source from (
+  select {hash_sql('text')} as text_hash, row_id, lang, source,
+         row_number() over (partition by {hash_sql('text')} order by row_id) as rn
+  from {FEEDBACK} f where regexp_matches(text, {NON_SPACE_SQL})) t where rn = 1""",
+    "C8 C9 A5",
+)
+def history_json_values(spark, sf_dir):
+    """The record written as JSON and read back, keys of typed columns left to those."""
+    rows = feedback(spark, sf_dir).withColumn("row_id_text", F.col("row_id").cast("string"))
+    wide = read_history(history_rows(rows, STORED_AT), expand_json=True)
+    return wide.select("text_hash", "row_id_text", "lang", "source")

@@ -21,11 +21,21 @@ NOW = "2024-01-30 12:00:00"
 
 @register(
     "fresh_rows",
-    "select event_id, ts from events where ts >= timestamp '2024-01-29 12:00:00' and ts <= timestamp '2024-01-30 12:00:00'",
+    "select event_id, ts from events where ts >= timestamp '2024-01-24 12:00:00'",
     "B13",
 )
 def fresh_rows(spark, sf_dir):
-    return fresh(table(spark, sf_dir, "events"), "ts", NOW, hours=24).select("event_id", "ts")
+    """Rows newer than the given time are fresh too."""
+    return fresh(table(spark, sf_dir, "events"), "ts", "2024-01-25 12:00:00", hours=24).select("event_id", "ts")
+
+
+@register(
+    "fresh_rows_until_now",
+    "select event_id, ts from events where ts >= timestamp '2024-01-29 12:00:00' and ts <= timestamp '2024-01-30 12:00:00'",
+    "B13",
+)
+def fresh_rows_until_now(spark, sf_dir):
+    return fresh(table(spark, sf_dir, "events"), "ts", NOW, hours=24, drop_future=True).select("event_id", "ts")
 
 
 @register("keep_newest", "select event_id, ts from events order by ts desc nulls last, event_id limit 100", "F6 F1")

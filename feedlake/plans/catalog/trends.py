@@ -55,7 +55,7 @@ def level_trend_long(spark, sf_dir):
 select ps as period_start, cast(year(ps) as varchar) || 'Q' || cast(quarter(ps) as varchar) as period,
        count(*) filter (where level = 1) as level_1, count(*) filter (where level = 2) as level_2,
        count(*) filter (where level = 3) as level_3, count(*) filter (where level = 4) as level_4,
-       count(*) filter (where level = 5) as level_5
+       count(*) filter (where level = 5) as level_5, count(*) filter (where level not in (1, 2, 3, 4, 5)) as other_levels
 from (select cast(date_trunc('quarter', ts) as date) as ps, level
       from {RATED_ORDERS} o where ts is not null and level is not null) t
 group by ps
@@ -66,6 +66,22 @@ def level_trend_pivot(spark, sf_dir):
     return T.level_trend_pivot(rated_orders(spark, sf_dir), [1, 2, 3, 4, 5], "quarter")
 
 
+@register(
+    "level_trend_pivot_some",
+    f"""
+select ps as period_start, cast(year(ps) as varchar) as period,
+       count(*) filter (where level = 1) as level_1, count(*) filter (where level = 2) as level_2,
+       count(*) filter (where level not in (1, 2)) as other_levels
+from (select cast(date_trunc('year', ts) as date) as ps, level
+      from {RATED_ORDERS} o where ts is not null and level is not null) t
+group by ps
+""",
+    "E10",
+)
+def level_trend_pivot_some(spark, sf_dir):
+    return T.level_trend_pivot(rated_orders(spark, sf_dir), [1, 2], "year")
+
+
 _CHANGES_SQL = f"""
 with t as (select cast(date_trunc('month', ts) as date) as period_start, count(*) as n,
                   avg(cast(level as double)) as avg_level

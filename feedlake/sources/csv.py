@@ -32,8 +32,10 @@ NULL_TOKENS = [
 ]
 
 
-def _null_tokens(df: DataFrame) -> DataFrame:
-    return df.select(*[F.when(quoted(c).isin(NULL_TOKENS), F.lit(None)).otherwise(quoted(c)).alias(c) for c in df.columns])
+def null_tokens(df: DataFrame) -> DataFrame:
+    """Text cells that spell a missing value become null; other types pass."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(*[(F.when(quoted(c).isin(NULL_TOKENS), F.lit(None)).otherwise(quoted(c)) if c in text else quoted(c)).alias(c) for c in df.columns])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -89,10 +91,10 @@ def read_feedback_csv(
         .option("mode", "PERMISSIVE")
     )
     if schema is not None:
-        df = _null_tokens(reader.schema(schema).csv(path))
+        df = null_tokens(reader.schema(schema).csv(path))
         typed = df.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in (schema if isinstance(schema, T.StructType) else df.schema).fields])
     else:
-        typed = infer_types(_null_tokens(reader.csv(path)))
+        typed = infer_types(null_tokens(reader.csv(path)))
     if row_id and row_id not in typed.columns:
         typed = typed.withColumn(row_id, F.monotonically_increasing_id())
     return typed

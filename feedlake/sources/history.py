@@ -8,11 +8,11 @@ input column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlake.functions.jsonrow import json_to_columns, row_to_json
+from feedlake.functions.jsonrow import json_schema_of, json_to_columns, row_to_json
 from feedlake.functions.numbers import lenient_int
 from feedlake.functions.timeparts import parse_ts
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
@@ -81,8 +81,9 @@ def append_new_history(df: DataFrame, path: str, stored_at: str, order: str = "r
     spark = df.sparkSession
     existing = open_history(spark, path)
     rows = history_rows(df, stored_at, existing, order)
-    rows.write.mode("append").partitionBy("stored_month").parquet(path)
-    return spark.read.schema(HISTORY_SCHEMA).parquet(path).filter(F.col("stored_at") == F.lit(stored_at).cast("timestamp_ntz")).count()
+    written = Observation()
+    rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("stored_month").parquet(path)
+    return written.get["n"]
 
 
 def read_history(
@@ -90,12 +91,15 @@ def read_history(
     start: str | None = None,
     end: str | None = None,
     level: int | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
     exact: bool = False,
     expand_json: bool = False,
 ) -> DataFrame:
     """History rows in a date range (two clocks, see ``two_clock_range``), optional level
-    equality, newest first (ties by hash), at most ``limit`` rows (0/None = all)."""
+    equality, newest first (ties by hash), all of them unless a ``limit`` is given.
+
+    ``expand_json`` spreads the JSON record over columns; keys that a typed column already
+    holds are left to that column."""
     out = two_clock_range(hist, start, end, "ts", "stored_at", exact)
     if level is not None:
         out = out.filter(F.col("level") == F.lit(level))
@@ -103,5 +107,7 @@ def read_history(
     if limit:
         out = out.limit(limit)
     if expand_json:
-        out = json_to_columns(out, "row_json")
+        typed = {c.lower() for c in out.columns} - {"row_json"}
+        keys = json_schema_of(out, "row_json")
+        out = json_to_columns(out, "row_json", T.StructType([f for f in keys.fields if f.name.lower() not in typed]))
     return out

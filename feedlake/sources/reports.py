@@ -3,31 +3,28 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import DataFrame
 
 from feedlake.operators.categories import with_summary_row
 
 
-def report_name(criteria: dict, today: _dt.date | None = None) -> str:
-    """``feedback_report_<col>_<value>..._<yyyy-mm-dd>.csv`` from the filter map."""
-    desc = "_".join(f"{k}_{v}" for k, v in criteria.items())
-    desc = desc.replace(" ", "_").replace("[", "").replace("]", "").replace(",", "_")
-    day = (today or _dt.date.today()).strftime("%Y-%m-%d")
-    return f"feedback_report_{desc}_{day}.csv"
+def _slug(value) -> str:
+    """Letters and digits of any script, runs of anything else as one hyphen."""
+    return re.sub(r"[\W_]+", "-", str(value)).strip("-").lower()
 
 
-def category_report_name(eq=None, at_most=None, at_least=None, today: _dt.date | None = None) -> str:
-    if eq is not None:
-        desc = f"Level_{eq}"
-    elif at_most is not None:
-        desc = f"LevelMax_{at_most}"
-    elif at_least is not None:
-        desc = f"LevelMin_{at_least}"
-    else:
-        desc = "All"
-    day = (today or _dt.date.today()).strftime("%Y-%m-%d")
-    return f"feedback_issues_categorized_{desc}_{day}.csv"
+def report_name(criteria: dict, today: _dt.date | None = None, kind: str = "rows") -> str:
+    """``<kind>.<yyyymmdd>[.<column>=<value>+<value>]*.csv``, columns in alphabetical order, so
+    equal criteria give equal names."""
+    day = (today or _dt.date.today()).strftime("%Y%m%d")
+    parts = []
+    for column in sorted(criteria, key=str.lower):
+        value = criteria[column]
+        values = value if isinstance(value, (list, tuple, set)) else [value]
+        parts.append(f"{_slug(column)}={'+'.join(sorted(map(_slug, values)))}")
+    return ".".join([kind, day, *parts, "csv"])
 
 
 def ensure_csv_suffix(name: str) -> str:
@@ -36,17 +33,20 @@ def ensure_csv_suffix(name: str) -> str:
 
 def write_report(df: DataFrame, path: str, single_file: bool = False) -> bool:
     """Write ``df`` as CSV (header, UTF-8) into folder ``path``; nothing is written for an
-    empty result.  Returns whether anything was written.
+    empty result.  Returns whether anything was written.  Cells keep their white space; an empty
+    cell and the null spellings of the CSV source read back as null.
 
     Files are written in parallel, one per partition; ``single_file`` coalesces to one task
     first and is meant for small reports only."""
     if df.isEmpty():
         return False
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+    writer = out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return True
 
 
 def write_category_report(tagged: DataFrame, path: str, single_file: bool = False) -> bool:
-    """Category report: all columns as text plus the summary row of category sums."""
-    return write_report(with_summary_row(tagged), path, single_file)
+    """Category report: all columns as text plus the summary row of category sums; nothing is
+    written when no row is tagged, since sums alone say nothing."""
+    return not tagged.isEmpty() and write_report(with_summary_row(tagged), path, single_file)

@@ -39,40 +39,22 @@ class Roles:
         return self
 
 
-def _find_text(columns: list[str]) -> str | None:
-    if "text" in columns:
-        return "text"
-    for c in columns:
-        if c.lower() == "text":
-            return c
-    return None
-
-
-def _find_level(columns: list[str]) -> str | None:
-    for c in columns:
-        if c.lower() == "level":
-            return c
-    return None
-
-
-def _find_timestamp(columns: list[str]) -> str | None:
-    for name in TIMESTAMP_NAMES:
-        if name in columns:
-            return name
-    lowered = {n.lower() for n in TIMESTAMP_NAMES}
-    for c in columns:
-        if c.lower() in lowered:
-            return c
-    return None
+def _best(columns: list[str], names: list[str]) -> str | None:
+    """The column that fits ``names`` best: an exact spelling beats another case; among exact
+    ones the earlier name wins, among the others the earlier column."""
+    rank = {name: i for i, name in enumerate(names)}
+    fits = [((c not in rank, rank.get(c, place)), c) for place, c in enumerate(columns) if c.lower() in rank]
+    return min(fits)[1] if fits else None
 
 
 def resolve_roles(df: DataFrame, text: str | None = None, level: str | None = None, timestamp: str | None = None) -> Roles:
-    """Roles by name; explicit arguments win.  ``ts`` is accepted as a time column too."""
+    """Roles by name; explicit arguments win.  ``ts`` is the last choice for the time."""
     cols = df.columns
-    ts = timestamp or _find_timestamp(cols)
-    if ts is None and "ts" in cols:
-        ts = "ts"
-    return Roles(text=text or _find_text(cols), level=level or _find_level(cols), timestamp=ts)
+    return Roles(
+        text=text or _best(cols, ["text"]),
+        level=level or _best(cols, ["level"]),
+        timestamp=timestamp or _best(cols, TIMESTAMP_NAMES) or _best([c for c in cols if c == "ts"], ["ts"]),
+    )
 
 
 def quoted(name: str):
@@ -81,10 +63,10 @@ def quoted(name: str):
 
 def find_column(df: DataFrame, name: str) -> str:
     """Case-insensitive column lookup; ``ValueError`` naming the column when absent."""
-    for c in df.columns:
-        if c.lower() == name.lower():
-            return c
-    raise ValueError(f"Column '{name}' not found in dataframe")
+    found = _best(df.columns, [name]) or _best(df.columns, [name.lower()])
+    if found is None:
+        raise ValueError(f"the table has no column {name!r}, only {', '.join(df.columns)}")
+    return found
 
 
 def canonical(df: DataFrame, roles: Roles | None = None, keep_others: bool = True) -> DataFrame:

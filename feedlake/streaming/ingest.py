@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlake.operators.encode import Encoder
+from feedlake.sources.csv import null_tokens
 from feedlake.sources.embeddings import append_new_embeddings
 from feedlake.sources.history import append_new_history
 
@@ -60,7 +61,8 @@ def ingest_stream(
         at = stored_at
         if at is None:
             at = batch.sparkSession.sql("select cast(date_trunc('second', localtimestamp()) as string) as t").first().t
-        ingest_batch(batch, history_path, embeddings_path, at, encoder, order)
+        rows = null_tokens(batch) if fmt == "csv" else batch  # the cleaning step of the batch load
+        ingest_batch(rows, history_path, embeddings_path, at, encoder, order)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

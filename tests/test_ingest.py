@@ -121,14 +121,52 @@ def test_history_json_expanded_and_empty_report(spark):
     append_new_history(read_feedback_csv(spark, d), hist, "2024-04-01 00:00:00")
     h = spark.read.schema(HISTORY_SCHEMA).parquet(hist)
     wide = read_history(h, limit=None, expand_json=True)
-    assert {"Level", "Text", "Timestamp", "stored_at"} <= set(wide.columns)
+    assert {"level", "text", "Timestamp", "stored_at"} <= set(wide.columns)
+    assert len({c.lower() for c in wide.columns}) == len(wide.columns)  # typed columns hold level and text
     assert "Ref" not in wide.columns  # only null values: left out of the JSON, so no key
-    assert sorted(r.Level for r in wide.collect()) == ["3", "5"]
+    assert sorted(r.level for r in wide.select("level", "text").collect()) == [3, 5]
     # a report with no rows writes nothing
     out = scratch_path(spark, "t-empty")
     assert write_report(h.filter("level = 99"), out) is False
     assert not os.path.exists(out)
     import datetime as dt
 
-    assert report_name({"Level": [4, 5]}, dt.date(2024, 5, 1)) == "feedback_report_Level_4__5_2024-05-01.csv"
+    day = dt.date(2024, 5, 1)
+    assert report_name({"Level": [5, 4], "a b": "Été!"}, day) == "rows.20240501.a-b=été.level=4+5.csv"
+    assert report_name({}, day, kind="categories") == "categories.20240501.csv"
     assert ensure_csv_suffix("x") == "x.csv"
+
+
+def test_report_keeps_padding_and_skips_empty_categories(spark):
+    from feedlake.operators.categories import categorize
+    from feedlake.sources.reports import write_category_report, write_report
+
+    out = scratch_path(spark, "t-pad")
+    assert write_report(spark.createDataFrame([("  pad  ", 1)], "text string, level int"), out)
+    assert spark.read.option("header", True).csv(out).first()["text"] == "  pad  "
+    tagged = categorize(spark.createDataFrame([(1, "slow")], "row_id long, text string"), categories=["Won't load"], rules={"Won't load": "slow"})
+    none = scratch_path(spark, "t-none")
+    assert write_category_report(tagged.limit(0), none) is False and not os.path.exists(none)
+    assert write_category_report(tagged, none) is True
+
+
+def test_append_counts_only_its_own_rows(spark):
+    path = scratch_path(spark, "t-count")
+    make = lambda texts: spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "row_id long, text string, level int")
+    loads = [["a"], ["a", "b"], ["a", "b"]]
+    assert [append_new_history(make(x), path, "2024-04-01 00:00:00") for x in loads] == [1, 1, 0]
+
+
+def test_csv_stream_cleans_like_the_batch_load(spark):
+    from feedlake.streaming.ingest import ingest_stream
+
+    d = tempfile.mkdtemp(prefix="feedlake-test-")
+    write(d, "a.csv", "Level,Text\n3,fine\n4,NA\n5,  null\n")
+    hist = scratch_path(spark, "t-stream")
+    q = ingest_stream(spark, d, "Level string, Text string", hist, scratch_path(spark, "t-ck"), stored_at="2024-04-01 00:00:00")
+    assert q.awaitTermination(120)
+    streamed = {r["text"] for r in spark.read.schema(HISTORY_SCHEMA).parquet(hist).collect()}
+    batch = scratch_path(spark, "t-batch")
+    append_new_history(read_feedback_csv(spark, d), batch, "2024-04-01 00:00:00")
+    assert streamed == {r["text"] for r in spark.read.schema(HISTORY_SCHEMA).parquet(batch).collect()}
+    assert "NA" not in streamed
