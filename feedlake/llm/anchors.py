@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from feedlake.llm.arrow_text import BYTE_CODE, column, gram_codes, mix, sliding_argmin, spread, text_bytes, text_slices, words
 
 GONE, MARK, OPEN, SEED, OLD = 0, 1, 2, 3, 4
-SEED_SCHEMA = "kind int, h long, s long, doc_id long, lo long, n int"
+#: What is shuffled for a run: ``place`` holds its first window, how many, and its kind.
+SEED_SCHEMA = "h long, s long, doc_id long, place long"
+MOST_WINDOWS = (1 << 16) - 1
 SPAN_SCHEMA = "doc_id long, lo long, n int"
 
 
@@ -50,13 +52,20 @@ class Rule:
     hot_group: int = 20_000  # open runs of an anchor above which they are dealt by window
 
 
-def elements(rule: Rule, texts: pa.Array) -> tuple[Callable[[int, int], np.ndarray], np.ndarray]:
-    """(codes of the elements a .. b, first element of each text and, last, their number)."""
+def decoded(rule: Rule, stored: list[bytes]) -> np.ndarray:
+    """Codes of stored elements: bytes are stored as they are, words by their codes."""
+    data = b"".join(stored)
+    return BYTE_CODE[np.frombuffer(data, np.uint8)] if rule.unit == "byte" else np.frombuffer(data, np.uint64)
+
+
+def elements(rule: Rule, texts: pa.Array) -> tuple[Callable[[int, int], np.ndarray], np.ndarray, Callable[[int, int], bytes]]:
+    """(codes of the elements a .. b, first element of each text and, last, their number, the
+    elements a .. b as they are stored)."""
     flat, offsets = text_bytes(texts)
     if rule.unit == "byte":
-        return lambda a, b: BYTE_CODE[flat[a:b]], offsets
+        return lambda a, b: BYTE_CODE[flat[a:b]], offsets, lambda a, b: flat[a:b].tobytes()
     w = words(flat, offsets)
-    return lambda a, b: w.code[a:b], w.first
+    return lambda a, b: w.code[a:b], w.first, lambda a, b: w.code[a:b].tobytes()
 
 
 def runs(rule: Rule, codes: Callable[[int, int], np.ndarray], first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -80,7 +89,15 @@ def runs(rule: Rule, codes: Callable[[int, int], np.ndarray], first: np.ndarray)
         lo = start[begin]
         # Two windows cover the run, which is shorter than they are together.
         whole = mix(window[lo] * np.uint64(3) + mix(window[lo + n - 1] + n.astype(np.uint64)))
-        yield gram[at[begin]], whole, lo + a, n
+        # 48 bits tell anchors apart; those that agree by chance only open runs without need.
+        yield gram[at[begin]] >> np.uint64(16), whole, lo + a, n
+
+
+def cut_spans(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window ranges of at most ``MOST_WINDOWS`` each."""
+    times = -(-n // MOST_WINDOWS)
+    step = spread(times) * MOST_WINDOWS
+    return np.repeat(doc, times), np.repeat(lo, times) + step, np.minimum(np.repeat(n, times) - step, MOST_WINDOWS)
 
 
 def merge_spans(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +109,19 @@ def merge_spans(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 
 
 def _rows(kind, h, s, doc, lo, n) -> pa.RecordBatch:
-    cols = [np.asarray(kind, np.int32), h.view(np.int64), s.view(np.int64), doc, lo, np.asarray(n, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "h", "s", "doc_id", "lo", "n"])
+    place = lo.astype(np.int64) << 20 | np.asarray(n, np.int64) << 4 | np.asarray(kind, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), s.view(np.int64), doc, place)], ["h", "s", "doc_id", "place"])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``h, s, doc_id, lo, n, kind`` in the form that is shuffled."""
+    place = F.shiftleft(F.col("lo").cast("long"), 20).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 4)).bitwiseOR(F.col("kind").cast("long"))
+    return rows.select("h", "s", "doc_id", place.alias("place"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    place = F.col("place")
+    return rows.select("h", "s", "doc_id", F.shiftright(place, 20).alias("lo"), F.shiftright(place, 4).bitwiseAND(F.lit(MOST_WINDOWS)).cast("int").alias("n"), place.bitwiseAND(F.lit(15)).cast("int").alias("kind"))
 
 
 def _slice_rows(rule: Rule, h, s, doc, lo, n) -> pa.RecordBatch:
@@ -107,7 +135,7 @@ def _slice_rows(rule: Rule, h, s, doc, lo, n) -> pa.RecordBatch:
     keep = ~later
     gone = np.flatnonzero(later)
     gone = gone[np.lexsort((lo[gone], doc[gone]))]
-    g_doc, g_lo, g_n = merge_spans(doc[gone], lo[gone], n[gone])
+    g_doc, g_lo, g_n = cut_spans(*merge_spans(doc[gone], lo[gone], n[gone]))
     h, s, doc, lo, n = (x[keep] for x in (h, s, doc, lo, n))
     by = np.lexsort((s, h))
     new_h = np.concatenate([[True], h[by][1:] != h[by][:-1]])
@@ -135,7 +163,7 @@ def seeds(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            codes, first = elements(rule, column(batch, "text"))
+            codes, first, _ = elements(rule, column(batch, "text"))
             ids = column(batch, "doc_id").to_numpy()
             found = list(runs(rule, codes, first))
             if found:
@@ -157,7 +185,8 @@ def scan(entries: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the last anchor that are not decided, in front of the next batch
         for batch in batches:
-            kind, h, s, doc, lo, n = (column(batch, c).to_numpy() for c in ("kind", "h", "s", "doc_id", "lo", "n"))
+            h, s, doc, place = (column(batch, c).to_numpy() for c in ("h", "s", "doc_id", "place"))
+            kind, lo, n = place & 15, place >> 20, place >> 4 & MOST_WINDOWS
             passed = (kind == GONE) | (kind == OPEN)
             if passed.any():
                 yield _rows(kind[passed], h[passed], s[passed], doc[passed], lo[passed], n[passed])
@@ -175,8 +204,9 @@ def scan(entries: DataFrame, rule: Rule) -> DataFrame:
             if out is not None:
                 yield out
 
-    deal = F.when(F.col("kind").isin(SEED, MARK, OLD), F.col("h")).otherwise(F.xxhash64("doc_id", "lo"))
-    return entries.repartition(deal).sortWithinPartitions("h", "s", "doc_id", "lo").mapInArrow(run, SEED_SCHEMA)
+    by_anchor = F.col("place").bitwiseAND(F.lit(15)).isin(SEED, MARK, OLD)
+    deal = F.when(by_anchor, F.col("h")).otherwise(F.xxhash64("doc_id", "place"))
+    return unpacked(entries.repartition(deal).sortWithinPartitions("h", "s", "doc_id", "place").mapInArrow(run, SEED_SCHEMA))
 
 
 def _scan_rows(rule: Rule, rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None]:
@@ -223,7 +253,7 @@ def contents(open_runs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            codes, first = elements(rule, column(batch, "text"))
+            codes, first, stored = elements(rule, column(batch, "text"))
             lists = column(batch, "runs")
             size = lists.value_lengths().to_numpy()
             flat = lists.flatten()
@@ -233,13 +263,13 @@ def contents(open_runs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             fits = first[owner] + lo + n + rule.length - 1 <= first[owner + 1]  # else the id names several texts
             lo, n, h, split, owner, doc = (x[fits] for x in (lo, n, h, split, owner, doc))
             begin = first[owner] + lo
-            parts = [codes(a, a + m) for a, m in zip(begin.tolist(), (n + rule.length - 1).tolist(), strict=True)]
+            end = begin + n + rule.length - 1
             plain = np.flatnonzero(~split)
-            yield _content_rows(h[plain], doc[plain], lo[plain], n[plain], [parts[i].tobytes() for i in plain])
+            yield _content_rows(h[plain], doc[plain], lo[plain], n[plain], [stored(a, b) for a, b in zip(begin[plain].tolist(), end[plain].tolist(), strict=True)])
             cut = np.flatnonzero(split)
             if len(cut):
                 m = n[cut].astype(np.int64)
-                window = np.concatenate([mix(gram_codes(parts[i], rule.length)) for i in cut])
+                window = np.concatenate([mix(gram_codes(codes(a, b), rule.length)) for a, b in zip(begin[cut].tolist(), end[cut].tolist(), strict=True)])
                 source, step = np.repeat(cut, m), spread(m)
                 place = lo[source] + step
                 order = np.lexsort((place, doc[source], window))
@@ -248,7 +278,7 @@ def contents(open_runs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 gone = (doc[source[order]] != doc[source[leader]]) | ((place[order] != place[leader]) if rule.same_document else False)
                 keep, drop = order[~gone], order[gone]
                 one = np.ones(len(order), np.int32)
-                yield _content_rows(window[keep].view(np.int64), doc[source[keep]], place[keep], one[: len(keep)], [parts[i][j : j + rule.length].tobytes() for i, j in zip(source[keep], step[keep], strict=True)])
+                yield _content_rows(window[keep].view(np.int64), doc[source[keep]], place[keep], one[: len(keep)], [stored(a, a + rule.length) for a in (begin[source[keep]] + step[keep]).tolist()])
                 yield _content_rows(window[drop].view(np.int64), doc[source[drop]], place[drop], one[: len(drop)], [None] * len(drop))
 
     return rows.mapInArrow(run, schema)
@@ -274,7 +304,7 @@ def resolve(open_contents: DataFrame, rule: Rule) -> DataFrame:
             rows = batch.filter(pa.array(~known))
             if rows.num_rows:
                 key, doc, lo, n = (column(rows, c).to_numpy().astype(np.int64) for c in ("key", "doc_id", "lo", "n"))
-                code = np.frombuffer(b"".join(column(rows, "codes").to_pylist()), np.uint64)
+                code = decoded(rule, column(rows, "codes").to_pylist())
                 size = n + rule.length - 1
                 begin = np.cumsum(size) - size
                 window = mix(gram_codes(code, rule.length))[np.repeat(begin, n) + spread(n)]

@@ -81,7 +81,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm.suffix_index import suffix_digests
 
-    return suffix_digests(table(spark, sf_dir, "documents"), length=100, batches=2)
+    return suffix_digests(table(spark, sf_dir, "documents"), length=100)
 
 
 @query

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.anchors import GONE, MARK, OLD, OPEN, SEED, SPAN_SCHEMA, Rule, contents, covered, resolve, scan, seeds, with_spans
+from feedlake.llm.anchors import GONE, MARK, OLD, OPEN, SEED, SPAN_SCHEMA, Rule, contents, covered, packed, resolve, scan, seeds, with_spans
 from feedlake.llm.arrow_text import column
 from feedlake.session import scratch_path
 
 GRAM = 20
+#: The first batch of a one-off run is the smaller one: its level is dealt again with the second.
+SHARES = (1, 3)
 STORED = "h long, s long, doc_id long, lo long, n int, kind int"
 
 
@@ -43,7 +45,7 @@ class SuffixIndex:
 
     def _read(self, path: str) -> DataFrame:
         rows = self.spark.read.schema(STORED).parquet(path).filter(F.col("kind").isin(SEED, MARK))
-        return rows.select("kind", "h", "s", "doc_id", "lo", "n")
+        return rows.select("h", "s", "doc_id", "lo", "n", "kind")
 
     def merge_levels(self) -> None:
         """Merge equal-ranked levels, the smallest first; entries of two levels never agree in
@@ -60,7 +62,8 @@ class SuffixIndex:
         self.merge_levels()
         entries = seeds(docs, self.rule)
         for _, level in self.levels:
-            entries = entries.unionAll(self._read(level).withColumn("kind", F.when(F.col("kind") == SEED, F.lit(OLD)).otherwise(F.col("kind"))))
+            old = self._read(level).withColumn("kind", F.when(F.col("kind") == SEED, F.lit(OLD)).otherwise(F.col("kind")))
+            entries = entries.unionAll(packed(old))
         path = scratch_path(self.spark, "suffixes")
         wanted = [GONE, OPEN, SEED, MARK] if keep else [GONE, OPEN]
         scan(entries, self.rule).filter(F.col("kind").isin(*wanted)).write.partitionBy("kind").parquet(path)
@@ -70,10 +73,11 @@ class SuffixIndex:
         return found.filter(F.col("kind") == GONE).select("doc_id", "lo", "n"), found.filter(F.col("kind") == OPEN).select("h", "doc_id", "lo", "n")
 
 
-def batches_by_id(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """``docs`` cut into ranges of ``doc_id`` with about equally many rows."""
+def batches_by_id(docs: DataFrame, shares: list[float]) -> list[DataFrame]:
+    """``docs`` cut into ranges of ``doc_id`` that hold about these shares of the rows."""
     known = docs.filter(F.col("doc_id").isNotNull())
-    cuts = sorted(set(known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    ends = [sum(shares[: i + 1]) / sum(shares) for i in range(len(shares) - 1)]
+    cuts = sorted(set(known.approxQuantile("doc_id", ends, 0.01))) if ends else []
     edges = [None, *cuts, None]
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -82,12 +86,12 @@ def batches_by_id(docs: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
-def repeated_strings(docs: DataFrame, length: int = 100, batches: int = 2, **limits) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 100, shares: tuple[float, ...] = SHARES, **limits) -> DataFrame:
     """``(doc_id, lo, n)``: ranges of starts of ``length``-byte strings that occur earlier."""
     spark = docs.sparkSession
     index = SuffixIndex(spark, length, **limits)
     gone, opened = spark.createDataFrame([], SPAN_SCHEMA), None
-    parts = batches_by_id(docs, batches)
+    parts = batches_by_id(docs, list(shares))
     for i, part in enumerate(parts):
         spans, runs = index.add(part, keep=i + 1 < len(parts))
         gone = gone.unionAll(spans)
@@ -96,12 +100,12 @@ def repeated_strings(docs: DataFrame, length: int = 100, batches: int = 2, **lim
     return gone.unionAll(resolve(contents(opened.distinct(), known, index.rule), index.rule))
 
 
-def removed_bytes(docs: DataFrame, length: int = 100, batches: int = 2, **limits) -> DataFrame:
+def removed_bytes(docs: DataFrame, length: int = 100, shares: tuple[float, ...] = SHARES, **limits) -> DataFrame:
     """Per row of ``docs``: ``row`` (its columns), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
     removed runs) and ``kept`` (the remaining bytes)."""
     two = docs.select("doc_id", "text")
-    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    joined = with_spans(packed, repeated_strings(two, length, batches, **limits))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    joined = with_spans(rows, repeated_strings(two, length, shares, **limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +124,11 @@ def removed_bytes(docs: DataFrame, length: int = 100, batches: int = 2, **limits
                 kept.append(data)
             yield pa.RecordBatch.from_arrays([column(batch, "row"), *(pa.array(x, pa.int64()) for x in (total, removed, spans)), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = packed.select("row").withColumns({c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).withColumn("kept", F.lit(b"")).schema
+    schema = rows.select("row").withColumns({c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).withColumn("kept", F.lit(b"")).schema
     return joined.select("row", "text", "spans").mapInArrow(run, schema)
 
 
-def suffix_digests(docs: DataFrame, length: int = 100, batches: int = 2, **limits) -> DataFrame:
+def suffix_digests(docs: DataFrame, length: int = 100, shares: tuple[float, ...] = SHARES, **limits) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document."""
-    done = removed_bytes(docs.select("doc_id", "text"), length, batches, **limits)
+    done = removed_bytes(docs.select("doc_id", "text"), length, shares, **limits)
     return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

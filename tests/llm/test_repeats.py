@@ -39,18 +39,18 @@ def test_substring_dedup(docs, real, copies, limits):
         assert got == want
 
 
-@pytest.mark.parametrize(("limits", "batches"), [({}, 2), (HOT, 5)])
-def test_suffix_index(docs, real, copies, limits, batches):
+@pytest.mark.parametrize(("limits", "shares"), [({}, (1, 3)), (HOT, (1, 1, 1, 1, 1))])
+def test_suffix_index(docs, real, copies, limits, shares):
     for df in (docs, copies, *([real] if not limits else [])):
         want = brute.suffix_rows(texts_of(df), 100)
-        got = {r[0]: tuple(r)[1:] for r in suffix_index.suffix_digests(df, 100, batches, **limits).collect()}
+        got = {r[0]: tuple(r)[1:] for r in suffix_index.suffix_digests(df, 100, shares, **limits).collect()}
         assert got == want
 
 
 def test_levels_merge_geometrically(shipped, copies):
     index = suffix_index.SuffixIndex(shipped, 100)
     sizes = []
-    for part in suffix_index.batches_by_id(copies, 7):
+    for part in suffix_index.batches_by_id(copies, [1] * 7):
         index.add(part)
         sizes.append([rank for rank, _ in index.levels])
     assert sizes == [[0], [0, 0], [1, 0], [1, 0, 0], [1, 1, 0], [2, 0, 0], [2, 1, 0]]
