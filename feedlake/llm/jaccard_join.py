@@ -224,6 +224,12 @@ def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def few_or_shuffled(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``ids`` to be joined to texts: broadcast if a count shows that there are at most ``most``
+    (8 MB), so that the texts stay where they are; otherwise both sides are shuffled."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose sets link, compared shingle by shingle."""
 
@@ -242,7 +248,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(mask), column(batch, "b").filter(mask)], ["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = few_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "leftsemi").mapInArrow(sets, "doc_id long, codes binary")
     joined = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("codes").alias("ca")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("codes").alias("cb")), "b")
     return joined.select("a", "b", "ca", "cb").mapInArrow(compare, "a long, b long")
@@ -382,4 +388,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, that have the smallest id of their component; rows without
     id stay."""
     drop = jaccard_components(docs.select("doc_id", "text"), k, percent).filter("component_id != doc_id").select("doc_id").distinct()
+    path = scratch_path(docs.sparkSession, "dropped")
+    drop.write.parquet(path)
+    drop = few_or_shuffled(docs.sparkSession.read.schema(drop.schema).parquet(path))
     return docs.join(drop, "doc_id", "leftanti").select(*docs.columns)
