@@ -53,7 +53,7 @@ def test_levels_merge_geometrically(shipped, copies):
     for part in suffix_index.batches_by_id(copies, [1] * 7):
         index.add(part)
         sizes.append([rank for rank, _ in index.levels])
-    assert sizes == [[0], [0, 0], [1, 0], [1, 0, 0], [1, 1, 0], [2, 0, 0], [2, 1, 0]]
+    assert sizes == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0], [2, 0, 0], [2, 1, 0]]
 
 
 def test_jaccard_components(docs, real, copies):
