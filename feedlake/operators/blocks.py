@@ -268,3 +268,17 @@ def near_duplicate_vectors(
         .agg(F.min(F.col(id_col).cast("long")).alias("vid"))
     )
     return similar_pairs(points, "vid", "__vec", threshold, metric, rows_per_block)
+
+
+def best_earlier_match(df: DataFrame, threshold: float, id_col: str = "row_id", vec_col: str = "embedding", rows_per_block: int = 2048, digits: int = 6) -> DataFrame:
+    """``(query_id, match_id, similarity)``: for every row the most similar row with a smaller id
+    (ties by id, similarities rounded to ``digits`` first), if it reaches ``threshold``.
+
+    Pairs are formed over distinct vectors; a later copy of a vector is answered by its first
+    copy, a perfect match.  Zero vectors match nothing."""
+    pairs = near_duplicate_vectors(df, threshold, id_col, vec_col, rows_per_block=rows_per_block)
+    best = pairs.groupBy(F.col("b").alias("query_id")).agg(F.max(F.struct(F.round("similarity", digits).alias("s"), (-F.col("a")).alias("m"))).alias("x"))
+    first = best.select("query_id", (-F.col("x.m")).alias("match_id"), F.col("x.s").alias("similarity"))
+    some = df.filter(F.exists(F.col(vec_col), lambda x: x != 0))
+    again = vector_copies(some, id_col, vec_col).filter("row_id != rep")
+    return first.unionByName(again.select(F.col("row_id").alias("query_id"), F.col("rep").alias("match_id"), F.lit(1.0).alias("similarity")))

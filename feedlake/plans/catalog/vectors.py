@@ -4,10 +4,9 @@ to 6 places in the reported columns on both sides."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from feedlake.operators.blocks import near_duplicate_vectors, vector_copies
+from feedlake.operators.blocks import best_earlier_match, near_duplicate_vectors, vector_copies
 from feedlake.operators.clusters import cluster_samples, cluster_sizes, cluster_summary, density_clusters
 from feedlake.operators.search import reference_row, search
 from feedlake.plans.catalog.views import VECTORS
@@ -131,16 +130,8 @@ select query_id, match_id, similarity from r where rn = 1
     "D4",
 )
 def match_past_queries(spark, sf_dir):
-    """Best earlier match per query over distinct vectors (identical earlier queries are
-    answered by their first copy, see ``vector_copies``)."""
-    pairs = _rounded(near_duplicate_vectors(vectors(spark, sf_dir), 0.40, rows_per_block=256))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("match_id"))
-    return (
-        pairs.select(F.col("b").alias("query_id"), F.col("a").alias("match_id"), "similarity")
-        .withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") == 1)
-        .drop("rn")
-    )
+    """Best earlier match per query; copies of a query are answered by its first copy."""
+    return best_earlier_match(vectors(spark, sf_dir), 0.40, rows_per_block=256)
 
 
 EPS = 0.65

@@ -112,3 +112,12 @@ def test_roles_prefer_exact_names(spark):
     assert (roles.text, roles.level, roles.timestamp) == ("Text", "LEVEL", "time")
     with pytest.raises(ValueError, match="no column 'nope'"):
         find_column(df, "nope")
+
+
+def test_copied_queries_get_their_first_copy(spark):
+    from feedlake.operators.blocks import best_earlier_match
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [0.0, 0.0]), (5, [0.0, 0.0]), (6, None), (7, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    got = {r["query_id"]: (r["match_id"], round(r["similarity"], 3)) for r in best_earlier_match(df, 0.5).collect()}
+    assert got == {2: (1, 1.0), 3: (1, 0.994), 7: (3, 1.0)}
