@@ -1,3 +1,3 @@
 """Registered queries, grouped by area.  Importing this package registers them all."""
 
-from feedlake.plans.catalog import categories, filters, history, ingest, profile, trends, vectors  # noqa: F401
+from feedlake.plans.catalog import categories, composites, filters, history, ingest, profile, trends, vectors  # noqa: F401
