@@ -16,13 +16,15 @@ from feedlake.operators.filters import between_dates  # noqa: F401  (re-exported
 
 
 def with_period(df: DataFrame, unit: str = "month", ts: str = "ts") -> DataFrame:
-    """Add ``period_start`` (DATE) and ``period`` (label); rows without a time are dropped."""
-    u = canonical_unit(unit)
-    return (
-        df.filter(F.col(ts).isNotNull())
-        .withColumn("period_start", period_start(F.col(ts), u))
-        .withColumn("period", period_label(F.col("period_start"), u))
-    )
+    """Add ``period_start`` (DATE); rows without a time are dropped.  Grouping is on the date;
+    its label is formatted once per group (:func:`labelled`), not per row."""
+    return df.filter(F.col(ts).isNotNull()).withColumn("period_start", period_start(F.col(ts), canonical_unit(unit)))
+
+
+def labelled(grouped: DataFrame, unit: str) -> DataFrame:
+    """Add the label ``period`` after ``period_start``."""
+    rest = [F.col(c) for c in grouped.columns if c != "period_start"]
+    return grouped.select("period_start", period_label(F.col("period_start"), canonical_unit(unit)).alias("period"), *rest)
 
 
 def trend(df: DataFrame, unit: str = "month", ts: str = "ts", level: str | None = "level") -> DataFrame:
@@ -35,17 +37,13 @@ def trend(df: DataFrame, unit: str = "month", ts: str = "ts", level: str | None
             F.max(level).alias("max_level"),
         ]
     # one row per period: sorting the result is cheap
-    return with_period(df, unit, ts).groupBy("period_start", "period").agg(*aggs).orderBy("period_start")
+    return labelled(with_period(df, unit, ts).groupBy("period_start").agg(*aggs), unit).orderBy("period_start")
 
 
 def level_trend_long(df: DataFrame, unit: str = "month", ts: str = "ts", level: str = "level") -> DataFrame:
     """(period_start, period, level, n) for every observed period x level; null levels dropped."""
-    return (
-        with_period(df, unit, ts)
-        .filter(F.col(level).isNotNull())
-        .groupBy("period_start", "period", F.col(level).alias("level"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rated = with_period(df, unit, ts).filter(F.col(level).isNotNull())
+    return labelled(rated.groupBy("period_start", F.col(level).alias("level")).agg(F.count(F.lit(1)).alias("n")), unit)
 
 
 def level_trend_pivot(df: DataFrame, levels: list[int], unit: str = "month", ts: str = "ts", level: str = "level") -> DataFrame:
@@ -56,12 +54,8 @@ def level_trend_pivot(df: DataFrame, levels: list[int], unit: str = "month", ts:
     appear."""
     aggs = [F.count_if(F.col(level) == F.lit(v)).alias(f"level_{v}") for v in levels]
     aggs.append(F.count_if(~F.col(level).isin(levels)).alias("other_levels"))
-    return (
-        with_period(df, unit, ts)
-        .filter(F.col(level).isNotNull())
-        .groupBy("period_start", "period")
-        .agg(*aggs)
-    )
+    rated = with_period(df, unit, ts).filter(F.col(level).isNotNull())
+    return labelled(rated.groupBy("period_start").agg(*aggs), unit)
 
 
 def period_changes(trend_df: DataFrame, value: str = "avg_level") -> DataFrame:

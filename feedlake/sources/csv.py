@@ -77,15 +77,19 @@ def read_feedback_csv(
     schema: T.StructType | str | None = None,
     encoding: str = "UTF-8",
     row_id: str | None = "row_id",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read header CSV file(s) with quoted, possibly multi-line text.
 
+    A multi-line file cannot be split, so each file is one task; ``multi_line=False`` lets Spark
+    split files whose cells hold no line breaks.
+
     Null spellings in ``NULL_TOKENS`` become null before types are inferred (one pass) unless
     a schema is given.  ``row_id`` (if not None and absent) numbers rows in file order
     within each file; give an explicit id column when rows of several files must be ordered."""
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
