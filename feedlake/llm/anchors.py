@@ -320,23 +320,26 @@ def resolve(open_contents: DataFrame, rule: Rule) -> DataFrame:
                 held = (k[last], w[last], d[last], p[last])
             doc, lo, n = (np.concatenate(x) for x in zip(*spans, strict=True))
             order = np.lexsort((lo, doc))
-            doc, lo, n = merge_spans(doc[order], lo[order], n[order])
+            doc, lo, n = cut_spans(*merge_spans(doc[order], lo[order], n[order]))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(n, pa.int32())], ["doc_id", "lo", "n"])
 
     return open_contents.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(run, SPAN_SCHEMA)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` plus ``spans``: the list of (lo, n) of its repeated windows, null if none."""
-    per_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("spans"))
+    """``docs`` plus ``spans``: the ranges of its repeated windows, null if none.  A range is one
+    number, ``lo << 16 | n``, a quarter of what a struct would move."""
+    one = F.shiftleft(F.col("lo"), 16).bitwiseOR(F.col("n").cast("long"))
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(one).alias("spans"))
     return docs.join(per_doc, "doc_id", "left")
 
 
 def covered(spans, length: int, size: int) -> np.ndarray:
-    """Mask of the elements covered by windows that start in the ranges (lo, n)."""
+    """Mask of the elements covered by windows that start in the ranges."""
     edge = np.zeros(size + 1, np.int64)
-    lo = np.minimum(np.array([x["lo"] for x in spans], np.int64), size)
-    hi = np.minimum(np.array([x["lo"] + x["n"] + length - 1 for x in spans], np.int64), size)
+    spans = np.array(spans, np.int64)
+    lo = np.minimum(spans >> 16, size)
+    hi = np.minimum((spans >> 16) + (spans & MOST_WINDOWS) + length - 1, size)
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi, -1)
     return np.cumsum(edge[:-1]) > 0
