@@ -42,6 +42,8 @@ LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 128, 1 << 14, 4
 HEAVY = 1 << 16
 LEAF, FANOUT = 16, 16
 NO_BOUND = 1 << 20
+LARGE = 64
+BUFFER_ROWS = 100_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,36 +312,76 @@ def block_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[bytes], percent:
                 yield i, hits
 
 
+def small_block_pairs(group: np.ndarray, size: np.ndarray, n: np.ndarray, comp: np.ndarray, point: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs ``(x, y)`` of points, each once, of different components and fitting sizes in blocks
+    of at most ``LARGE`` members; all blocks at a time."""
+    found = [np.zeros((0, 2), np.int64)]
+    small = size[group] <= LARGE
+    for ahead in range(1, LARGE):
+        i = np.flatnonzero((group[ahead:] == group[:-ahead]) & small[ahead:])
+        if not len(i):
+            break
+        j = i + ahead
+        keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        x, y = point[i[keep]], point[j[keep]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def bounded_points(pairs: np.ndarray, n: np.ndarray, vectors: list[bytes], percent: int) -> np.ndarray:
+    """The pairs of points whose vectors allow a link."""
+    width = group_count(n)
+    least = np.minimum(width[pairs[:, 0]], width[pairs[:, 1]])
+    out = [np.zeros((0, 2), np.int64)]
+    for w in np.unique(least).tolist():
+        some = pairs[least == w]
+        used, place = np.unique(some, return_inverse=True)
+        place = place.reshape(-1, 2)
+        rows = folded([vectors[i] for i in used], w)
+        step = max(1, (1 << 22) // w)
+        for at in range(0, len(some), step):
+            x, y = place[at : at + step].T
+            ok = _bound_ok(rows[x], rows[y], n[used[x]], n[used[y]], percent)
+            out.append(some[at : at + step][ok])
+    return np.concatenate(out)
+
+
 def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a block that the tree lets through.  ``members``:
-    ``(key, doc_id, n, comp, vector)``."""
+    """Pairs of different components in a block that the bound lets through.  ``members``:
+    ``(key, doc_id, n, comp, vector)``.  Small blocks are paired many at a time, and a pair that
+    several blocks propose is bounded once; large ones get trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = table["key"].to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield from found(table.slice(0, last))
-            held = table.slice(last)
-        if held is not None:
-            yield from found(held)
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BUFFER_ROWS:
+                table = pa.Table.from_batches(held)
+                key = table["key"].to_numpy()
+                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                yield from found(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         key, doc, n, comp = (table[c].to_numpy().astype(np.int64) for c in ("key", "doc_id", "n", "comp"))
-        vectors = table["vector"].to_pylist()
+        names, first, point = np.unique(doc, return_index=True, return_inverse=True)
+        vectors = table["vector"].take(pa.array(first)).to_pylist()
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        left, right = [], []
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-            for i, hits in block_pairs(n[a:b], comp[a:b], vectors[a:b], percent):
-                left.append(np.full(len(hits), doc[a + i]))
-                right.append(doc[a + hits])
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        size = np.diff(np.concatenate([begin, [len(key)]]))
+        group = np.repeat(np.arange(len(begin)), size)
+        pairs = [bounded_points(small_block_pairs(group, size, n, comp, point, percent), n[first], vectors, percent)]
+        for a, m in zip(begin[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
+            own = point[a : a + m]
+            for i, hits in block_pairs(n[a : a + m], comp[a : a + m], [vectors[p] for p in own], percent):
+                x, y = np.full(len(hits), own[i]), own[hits]
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        both = np.unique(np.concatenate(pairs), axis=0)
+        if len(both):
+            yield pa.RecordBatch.from_arrays([pa.array(names[both[:, 0]]), pa.array(names[both[:, 1]])], ["a", "b"])
 
     return members.repartition("key").sortWithinPartitions("key", "n", "doc_id").select("key", "doc_id", "n", "comp", "vector").mapInArrow(run, "a long, b long")
 
