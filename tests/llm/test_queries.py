@@ -1,7 +1,11 @@
+import pathlib
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__
+import feedlake.llm
 from feedlake.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import SF
 
@@ -25,3 +29,15 @@ def test_all_are_registered():
     found = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) <= set(found)
     assert "pipeline" in found and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+# What the driver reads, all bounded: counts by length or by task (packing, token files,
+# embeddings), the most common shingles (a top-k), vote patterns, the toxicity model.
+DRIVER_READS = {"packing.py", "token_files.py", "embedding_dedup.py", "jaccard_join.py", "quality.py", "toxicity.py"}
+
+
+def test_driver_reads_are_bounded_ones():
+    for p in pathlib.Path(feedlake.llm.__file__).parent.glob("*.py"):
+        if re.search(r"\.(collect|toPandas|toLocalIterator)\(\)", p.read_text()):
+            assert p.name in DRIVER_READS, p.name
+        assert "localCheckpoint" not in p.read_text()
