@@ -327,11 +327,21 @@ def resolve(open_contents: DataFrame, rule: Rule) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` plus ``spans``: the ranges of its repeated windows, null if none.  A range is one
-    number, ``lo << 16 | n``, a quarter of what a struct would move."""
+    """``row`` (all columns of ``docs``), ``text`` and ``spans``: the ranges of its repeated
+    windows, null if none.  A range is one number, ``lo << 16 | n``, a quarter of what a struct
+    would move.
+
+    Texts are dealt by ``doc_id`` here as in :func:`contents`, from an equal plan if ``docs`` has
+    no other columns, so Spark then shuffles them once.  Rows without id take no part."""
     one = F.shiftleft(F.col("lo"), 16).bitwiseOR(F.col("n").cast("long"))
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(one).alias("spans"))
-    return docs.join(per_doc, "doc_id", "left")
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(one).alias(name))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    joined = docs.filter(F.col("doc_id").isNotNull()).join(per_doc, "doc_id", "left")
+    nameless = docs.filter(F.col("doc_id").isNull()).select(row, "text", F.lit(None).cast("array<bigint>").alias("spans"))
+    return joined.select(row, "text", F.col(name).alias("spans")).unionAll(nameless)
 
 
 def covered(spans, length: int, size: int) -> np.ndarray:

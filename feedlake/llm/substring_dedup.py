@@ -42,8 +42,7 @@ def dedup_words(docs: DataFrame, length: int = 13, **limits) -> DataFrame:
     remaining words joined by one space."""
     two = docs.select("doc_id", "text")
     spans = repeated_windows(two, length, **limits)
-    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    joined = with_spans(packed, spans)
+    joined = with_spans(docs, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,8 +59,8 @@ def dedup_words(docs: DataFrame, length: int = 13, **limits) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
-    schema = packed.select("row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
-    return joined.select("row", "text", "spans").mapInArrow(run, schema)
+    schema = joined.select("row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
+    return joined.mapInArrow(run, schema)
 
 
 def substring_digests(docs: DataFrame, length: int = 13, **limits) -> DataFrame:

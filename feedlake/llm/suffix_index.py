@@ -104,8 +104,7 @@ def removed_bytes(docs: DataFrame, length: int = 100, shares: tuple[float, ...]
     """Per row of ``docs``: ``row`` (its columns), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
     removed runs) and ``kept`` (the remaining bytes)."""
     two = docs.select("doc_id", "text")
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    joined = with_spans(rows, repeated_strings(two, length, shares, **limits))
+    joined = with_spans(docs, repeated_strings(two, length, shares, **limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +123,8 @@ def removed_bytes(docs: DataFrame, length: int = 100, shares: tuple[float, ...]
                 kept.append(data)
             yield pa.RecordBatch.from_arrays([column(batch, "row"), *(pa.array(x, pa.int64()) for x in (total, removed, spans)), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = rows.select("row").withColumns({c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).withColumn("kept", F.lit(b"")).schema
-    return joined.select("row", "text", "spans").mapInArrow(run, schema)
+    schema = joined.select("row").withColumns({c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).withColumn("kept", F.lit(b"")).schema
+    return joined.mapInArrow(run, schema)
 
 
 def suffix_digests(docs: DataFrame, length: int = 100, shares: tuple[float, ...] = SHARES, **limits) -> DataFrame:
