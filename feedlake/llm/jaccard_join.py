@@ -13,14 +13,15 @@ have a Jaccard similarity of ``percent`` or more, and returns the components of
    ``n - ceil(percent * n) + 1`` shingles are its keys.  Two sets that link share a key.  The order
    by corpus counts of heavy shingles keeps a passage that many documents share out of the keys
    of all documents that hold enough other text.
-3. In a block, neighbours by set size and each size's leader are compared first.  Vector bound,
-   then exact comparison; the links found join most of a block into one component.
-4. Second pass, exact for the rest: in blocks that still hold several components, an R-tree over
-   the count vectors (leaves packed by set size, nodes with coordinate maxima) finds every pair of
-   different components that the bound lets through, and these are compared.
-
-No pair inside a component is formed in step 4, so a group of near copies costs its size, not
-its square.  Documents without words have the empty set, which links with nothing; rows without
+3. Rounds of few pairs: every document proposes at most ``PROPOSALS`` neighbours in an order of
+   its blocks that differs from block to block, in later rounds only neighbours from other
+   components.  Vector bound, then exact comparison; the links found join most of a block.
+4. Exact for the rest: in blocks that still hold several components, an R-tree over the count
+   vectors (leaves packed by set size, nodes with coordinate maxima) finds every pair of different
+   components that the bound lets through, and these are compared.
+
+The rounds only spare work, step 4 loses no link.  It forms no pair inside a component, so a
+group of near copies costs about its size, not its square.  Documents without words have the empty set, which links with nothing; rows without
 id are compared with nothing and get no component; an id that repeats with the same text is one
 document reported once per row.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.llm.arrow_text import column, gram_codes, mix, text_bytes, text_slices, words
@@ -43,6 +44,7 @@ HEAVY = 1 << 16
 LEAF, FANOUT = 16, 16
 NO_BOUND = 1 << 20
 LARGE = 64
+PROPOSALS, ROUNDS = 8, 2
 BUFFER_ROWS = 100_000
 
 
@@ -155,8 +157,8 @@ def keys(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent:
 
 def blocks(postings: DataFrame, percent: int) -> DataFrame:
     """Members of keys that several classes share: ``(key, doc_id, n, before, before_n, leader,
-    leader_n)``, one member per class, with the member before it by set size and the leader:
-    the first member of the block that its size still allows to link."""
+    leader_n)``, one member per class, in an order that differs from block to block, with the member before
+    it and the leader: the first member of the block, or the last that was too small for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc_id", "n", "before", "before_n", "leader", "leader_n"]
@@ -196,7 +198,8 @@ def blocks(postings: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (key, doc, n, before, before_n, leader, leader_n)], names)
             open_ = [key[-1], n[-1], s1[-1], doc[-1], leader[-1], leader_n[-1], bool(shown[-1]) or (had and len(key) == 1)]
 
-    ordered = postings.repartition("key").sortWithinPartitions("key", "n", "s1", "doc_id")
+    turned = postings.withColumn("turn", F.xxhash64("key", "s1"))
+    ordered = turned.repartition("key").sortWithinPartitions("key", "turn", "n", "s1", "doc_id").drop("turn")
     return ordered.mapInArrow(run, "key long, doc_id long, n long, before long, before_n long, leader long, leader_n long")
 
 
@@ -226,6 +229,13 @@ def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def proposed(asks: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` from ``(doc_id, other)``, at most ``PROPOSALS`` for a document."""
+    mine = Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "other"), "other")
+    few = asks.filter("doc_id != other").distinct().withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= PROPOSALS)
+    return few.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def few_or_shuffled(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``ids`` to be joined to texts: broadcast if a count shows that there are at most ``most``
     (8 MB), so that the texts stay where they are; otherwise both sides are shuffled."""
@@ -409,16 +419,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     block = _written(blocks(keys(docs, heavy, k, percent), percent), "blocks")
     fits = lambda other: (F.col(other) > 0) & (100 * F.least("n", other) >= percent * F.greatest("n", other))
-    pair = lambda other: block.filter(fits(f"{other}_n")).select(F.least("doc_id", other).alias("a"), F.greatest("doc_id", other).alias("b"))
-    first = pair("before").unionAll(pair("leader")).filter("a != b").distinct()
-    links = verified(_written(bounded(first, own, percent), "pairs"), docs, k, percent)
+    ask = lambda other: block.filter(fits(f"{other}_n")).select("doc_id", F.col(other).alias("other"))
+    links = verified(_written(bounded(proposed(ask("before").unionAll(ask("leader"))), own, percent), "pairs"), docs, k, percent)
     near = _written(connected_components(links.unionAll(same)), "components")
 
-    comp = F.coalesce("root", "doc_id").alias("comp")
-    placed = block.select("key", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", comp)
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-    members = placed.join(split, "key").join(own.select("doc_id", "vector"), "doc_id")
-    rest = verified(_written(rest_pairs(members, percent).distinct(), "pairs"), docs, k, percent)
+    def members() -> DataFrame:
+        """Members of the blocks that hold several components."""
+        comp = F.coalesce("root", "doc_id").alias("comp")
+        placed = block.select("key", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", comp)
+        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
+        return placed.join(split, "key")
+
+    for number in range(ROUNDS):
+        turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", F.lit(number)))
+        placed = members().select("key", "doc_id", "n", "comp", *(F.lag(c).over(turn).alias(f"{c}_before") for c in ("doc_id", "n", "comp")))
+        asks = placed.filter((F.col("comp") != F.col("comp_before")) & fits("n_before")).select("doc_id", F.col("doc_id_before").alias("other"))
+        more = verified(_written(bounded(proposed(asks), own, percent), "pairs"), docs, k, percent)
+        known = near.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")
+        near = _written(connected_components(known.unionAll(more)), "components")
+
+    left = members().join(own.select("doc_id", "vector"), "doc_id")
+    rest = verified(_written(rest_pairs(left, percent).distinct(), "pairs"), docs, k, percent)
 
     edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b").unionAll(rest)
     roots = connected_components(edges).withColumnRenamed("node", "doc_id")
