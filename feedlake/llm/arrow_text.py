@@ -7,15 +7,15 @@ Null texts count as empty ones.  All 64-bit hashes wrap modulo 2**64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
-SEGMENT_BYTES = 4 << 20
+SLICE_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
 
@@ -38,6 +38,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+_WORKER: dict[str, object] = {}
+
+
+def worker_state(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks (vocabularies, caches), for one operator at a
+    time: workers are reused by later stages, and the memory of an earlier one is given back."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most ``limit`` bytes of text (one row at least)."""
     for batch in batches:

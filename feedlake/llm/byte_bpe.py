@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrow_text import column, mix, spread, text_slices
+from feedlake.llm.arrow_text import column, mix, spread, text_slices, worker_state
 from feedlake.llm.chunks import ChunkEncoder
 from feedlake.llm.vocab import PATTERN, load_ranks
 
@@ -146,15 +146,10 @@ class Decoder:
         return b"".join(self.parts(ids, "bytes"))
 
 
-_WORKER: dict[str, tuple[ChunkEncoder, Decoder]] = {}
-
-
 def worker(ranks_file: str) -> tuple[ChunkEncoder, Decoder]:
     """Encoder and decoder of this Python worker, built once."""
-    if ranks_file not in _WORKER:
-        ranks = load_ranks(ranks_file)
-        _WORKER[ranks_file] = ChunkEncoder(RankFold(ranks).make), Decoder(ranks)
-    return _WORKER[ranks_file]
+    ranks = load_ranks(ranks_file)
+    return worker_state(f"byte_bpe {ranks_file}", lambda: (ChunkEncoder(RankFold(ranks).make), Decoder(ranks)))
 
 
 def encode(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

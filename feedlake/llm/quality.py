@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrow_text import column, gram_codes, mix, text_bytes, text_slices, words
+from feedlake.llm.arrow_text import column, gram_codes, mix, text_bytes, text_slices, words, worker_state
 
 REPEAT_WORDS = 3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_odd_words")
@@ -121,7 +121,8 @@ def signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "body"):
+        worker_state("quality", dict)
+        for batch in text_slices(batches, "body", limit=2 << 20):
             got = count_batch(column(batch, "body"))
             counts = pa.StructArray.from_arrays([pa.array(got[c].astype(np.int64)) for c in COUNTS], fields=list(kind))
             yield pa.RecordBatch.from_arrays([column(batch, "row"), counts], ["row", "counts"])

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrow_text import column, text_slices
+from feedlake.llm.arrow_text import column, text_slices, worker_state
 from feedlake.llm.chunks import ChunkEncoder, TwoGenerations
 from feedlake.llm.vocab import PATTERN, SYMBOL, load_merges
 
@@ -181,13 +181,8 @@ class CountTransducer:
         return self._chunks
 
 
-_WORKER: dict[str, CountTransducer] = {}
-
-
 def transducer(name: str) -> CountTransducer:
-    if name not in _WORKER:
-        _WORKER[name] = CountTransducer(name)
-    return _WORKER[name]
+    return worker_state(f"transducer {name}", lambda: CountTransducer(name))
 
 
 def join_maps(a: tuple, b: tuple, count) -> tuple:
@@ -272,13 +267,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-_COUNTERS: dict[str, object] = {}
-
-
 def chunk_counter(tokenizer: str):
     """Counter of whole texts by their distinct chunks, built once per worker."""
-    if tokenizer not in _COUNTERS:
-        machine = transducer(tokenizer)
-        coder = ChunkEncoder(machine.count_chunks)
-        _COUNTERS[tokenizer] = coder.total
-    return _COUNTERS[tokenizer]
+    return worker_state(f"counter {tokenizer}", lambda: ChunkEncoder(transducer(tokenizer).count_chunks).total)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrow_text import column, text_slices
+from feedlake.llm.arrow_text import column, text_slices, worker_state
 from feedlake.llm.chunks import ChunkEncoder
 from feedlake.llm.vocab import library_encoder, load_tokenizer
 
@@ -56,13 +56,8 @@ def crc_join(first: int, second: int, second_bytes: int) -> int:
     return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ second
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(tokenizer: str, end_of_word: bool = False) -> ChunkEncoder:
-    if tokenizer not in _ENCODERS:
-        _ENCODERS[tokenizer] = ChunkEncoder(library_encoder(tokenizer, end_of_word), keep_space=not end_of_word)
-    return _ENCODERS[tokenizer]
+    return worker_state(f"encoder {tokenizer}", lambda: ChunkEncoder(library_encoder(tokenizer, end_of_word), keep_space=not end_of_word))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:

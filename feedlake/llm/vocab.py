@@ -56,7 +56,7 @@ def load_merges(name: str) -> tuple[dict[str, int], list[tuple[str, str]], list[
 #: ASCII and the precomposed letters of Latin-1: classified alike by every version of Unicode,
 #: normalised to themselves and lower-cased one by one.
 PLAIN = regex.compile(r"[\x00-\x7f\u00c0-\u00ff]*")
-PIECE_ENTRIES = 300_000
+PIECE_ENTRIES = 200_000
 
 
 def library_encoder(name: str, end_of_word: bool):
