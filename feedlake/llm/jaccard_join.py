@@ -198,8 +198,8 @@ def blocks(postings: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (key, doc, n, before, before_n, leader, leader_n)], names)
             open_ = [key[-1], n[-1], s1[-1], doc[-1], leader[-1], leader_n[-1], bool(shown[-1]) or (had and len(key) == 1)]
 
-    turned = postings.withColumn("turn", F.xxhash64("key", "s1"))
-    ordered = turned.repartition("key").sortWithinPartitions("key", "turn", "n", "s1", "doc_id").drop("turn")
+    turned = postings.repartition("key").withColumn("turn", F.xxhash64("key", "s1"))  # after the shuffle
+    ordered = turned.sortWithinPartitions("key", "turn", "n", "s1", "doc_id").drop("turn")
     return ordered.mapInArrow(run, "key long, doc_id long, n long, before long, before_n long, leader long, leader_n long")
 
 
