@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     slice share, where these are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=2 << 20):
             code, first = shingle_sets(column(batch, "text"), k)
             n = np.diff(first)
             rows = batch.num_rows
@@ -129,7 +129,7 @@ def keys(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=2 << 20):
             code, first = shingle_sets(column(batch, "text"), k)
             n = np.diff(first)
             owner = np.repeat(np.arange(batch.num_rows), n)
@@ -246,7 +246,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """Pairs whose sets link, compared shingle by shingle."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=2 << 20):
             code, first = shingle_sets(column(batch, "text"), k)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([code[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "codes"])
 
