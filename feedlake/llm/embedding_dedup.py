@@ -1,13 +1,21 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 Each pass gives every vector a key of ``BITS`` concatenated random hashes (on which side of a
-random hyperplane it lies) and sorts the vectors of a label by it, so that close vectors tend
-to lie close in the order.  The order is cut into blocks of ``block`` vectors; each is compared
-with itself and the next ``reach`` blocks.  Where the farthest of these still holds a link, the
-window grows block by block until it holds none, so a dense group of any size is compared as a
-whole and no number of partners is a cap.  Pairs with cosine (double precision) at or above
-the threshold are links; the union over all passes counts.  A close pair is missed only if
-every pass parts it: at a cosine of 0.98 two vectors agree in a bit with probability 0.94.
+random hyperplane its unit vector lies) and sorts the vectors of a label by it, so that close
+vectors tend to lie close in the order.  The hyperplanes are spread normally around the label's
+mean, ``SPREAD`` times as widely as its vectors lie, so that a direction that a label has in common
+takes no bits.  The order is cut into blocks of ``block`` vectors; each is compared with itself and
+the next ``reach`` blocks.  Pairs with cosine (double precision) at or above the threshold are
+links; the union over all passes counts.
+
+A hyperplane parts two vectors at a distance ``d`` with a probability of at most ``d / (pi * t)``,
+``t`` being the spread of the hyperplanes, wherever the vectors lie.  After a pass, the first keys
+that a vector was not compared with show how many bits a partner would have to share with it to be
+inside its window; the most bits of any of ``passes`` passes, charged to each of them, bound the probability
+that all parted a pair at the threshold.  A vector leaves when this is at most ``miss``.  Those that remain, in dense
+regions or large labels, go through further passes among themselves with windows twice as large, so
+a link is missed with a probability of about ``miss`` at most; once the window holds what remains of a
+label, the comparison is complete.  A label that fits the window takes one pass and misses nothing.
 
 Equal vectors of a label are one point with a multiplicity, so copies form no pairs.  Vectors
 that are null, empty, zero or hold null or non-finite components link with nothing, nor do
@@ -29,34 +37,72 @@ from feedlake.llm.arrow_text import column
 from feedlake.operators.components import connected_components
 from feedlake.session import scratch_path
 
-BITS = 32
-KEYED = "pass int, label long, dim int, hash long, point long, vector binary"
+BITS = 62
+SPREAD = 2.0
+MOST_BLOCK, STEPS = 2048, 4
+KEYED = "pass int, label long, dim int, hash long, point long, vector binary, agree double"
 
 
-def _unit(packed: list[bytes], dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(packed), "<f8").reshape(-1, dim)
+def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1, keepdims=True)  # before squaring, so that tiny vectors keep a length
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def keyed(points: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Every point once per pass, with its key."""
+def _unpacked(packed: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), "<f8").reshape(-1, dim)
+
+
+def _lists(rows: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
+    return column(rows, name).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
+
+
+def centres(points: DataFrame, window: int) -> DataFrame:
+    """``(label, dim, centre)``: mean unit vector of each group of more than ``window`` points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = column(batch, "dim").to_numpy()
+            label, dims = (column(batch, c).to_numpy() for c in ("label", "dim"))
             for dim in np.unique(dims).tolist():
-                rows = batch.filter(pa.array(dims == dim))
-                flat = column(rows, "vector").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
-                packed = pa.array([v.tobytes() for v in flat], pa.binary())
-                for number in range(passes):
-                    planes = np.random.default_rng([seed, number, dim]).standard_normal((dim, BITS))
-                    side = flat @ planes > 0
-                    code = side @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    n = rows.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), column(rows, "label"), column(rows, "dim"), pa.array(code), column(rows, "point"), packed], ["pass", "label", "dim", "hash", "point", "vector"])
+                at = np.flatnonzero(dims == dim)
+                unit = _unit(_lists(batch.take(pa.array(at)), "vector", dim))
+                names, of = np.unique(label[at], return_inverse=True)
+                total = np.zeros((len(names), dim))
+                np.add.at(total, of, unit)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), dim, np.int32)), pa.array(np.bincount(of)), pa.array(list(total), pa.list_(pa.float64()))], ["label", "dim", "n", "total"])
+
+    large = points.groupBy("label", "dim").count().filter(F.col("count") > window).drop("count")
+    parts = points.select("label", "dim", "vector").join(F.broadcast(large), ["label", "dim"]).mapInArrow(run, "label long, dim int, n long, total array<double>")
+    means = parts.select("label", "dim", "n", F.posexplode("total").alias("at", "x")).groupBy("label", "dim", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    listed = means.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("means"))
+    return listed.select("label", "dim", F.transform("means", lambda m: m["x"]).alias("centre"))
+
+
+def keyed(points: DataFrame, passes: int, seed: list[int], window: int, threshold: float) -> DataFrame:
+    """Every point (``point, label, dim, vector``) once per pass, with its key and the least
+    probability that a partner agrees with it in a bit; once in all where its group fits the window."""
+    distance = np.sqrt(max(0.0, 2 - 2 * threshold))
 
-    return points.select("point", "label", F.size("vector").alias("dim"), "vector").mapInArrow(run, KEYED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, small = column(batch, "dim").to_numpy(), column(batch, "centre").is_null().to_numpy(zero_copy_only=False)
+            for dim, few in sorted(set(zip(dims.tolist(), small.tolist(), strict=True))):
+                rows = batch.take(pa.array(np.flatnonzero((dims == dim) & (small == few))))
+                flat, n = _lists(rows, "vector", dim), rows.num_rows
+                packed = pa.array([v.tobytes() for v in flat], pa.binary())
+                if not few:
+                    centre = _lists(rows, "centre", dim)
+                    spread = SPREAD * np.maximum(np.sqrt(np.maximum(0, 1 - (centre * centre).sum(1))), distance)
+                    away = (_unit(flat) - centre) / spread[:, None]
+                for number in range(1 if few else passes):
+                    code, agree = np.zeros(n, np.int64), np.ones(n)
+                    if not few:
+                        rng = np.random.default_rng([*seed, number, dim])
+                        side = away @ rng.standard_normal((dim, BITS)) > rng.standard_normal(BITS)
+                        code, agree = side @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)), 1 - distance / np.pi / spread
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), column(rows, "label"), column(rows, "dim"), pa.array(code), column(rows, "point"), packed, pa.array(agree)], ["pass", "label", "dim", "hash", "point", "vector", "agree"])
+
+    # at most one centre for every ``window`` points
+    return points.join(F.broadcast(centres(points, window)), ["label", "dim"], "left").select("point", "label", "dim", "vector", "centre").mapInArrow(run, KEYED)
 
 
 def ordered(rows: DataFrame, block: int) -> DataFrame:
@@ -79,93 +125,88 @@ def ordered(rows: DataFrame, block: int) -> DataFrame:
     ends = np.cumsum([n for _, n in sizes])
     bases = spark.createDataFrame([(s, int(e - n)) for (s, n), e in zip(sizes, ends, strict=True)], "shard int, base long")
     position = F.col("place") + F.col("base")
-    return placed.join(F.broadcast(bases), "shard").select("pass", "label", "dim", "point", "vector", position.alias("position"), F.floor(position / block).cast("long").alias("block"))
+    return placed.join(F.broadcast(bases), "shard").select(*rows.columns, position.alias("position"), F.floor(position / block).cast("long").alias("block"))
 
 
 def compared(rows: DataFrame, reach: int, threshold: float) -> DataFrame:
-    """Links ``(a, b)`` between each block and the ``reach`` blocks behind it; a row ``(null, block)``
-    says that the farthest of them held a link."""
+    """Links ``(a, b)`` between each block and the ``reach`` blocks behind it, ``STEPS`` of them a group."""
 
     def run(table: pa.Table) -> pa.Table:
         point, pos, step, number, label, dim = (table[c].to_numpy() for c in ("point", "position", "step", "pass", "label", "dim"))
-        own, reached = np.flatnonzero(step == 0), False
+        own = np.flatnonzero(step == 0)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         _, group = np.unique(np.stack([number, label, dim]), axis=1, return_inverse=True)
         group = group.reshape(-1)
         for g in np.unique(group[own]).tolist():
             at = np.flatnonzero(group == g)
-            unit = _unit(table["vector"].take(pa.array(at)).to_pylist(), int(dim[at[0]]))
+            unit = _unit(_unpacked(table["vector"].take(pa.array(at)).to_pylist(), int(dim[at[0]])))
             asks = np.flatnonzero(step[at] == 0)
-            i, j = np.nonzero(unit[asks] @ unit.T >= threshold)
-            i = asks[i]
-            fresh = pos[at[j]] > pos[at[i]]
-            i, j = at[i[fresh]], at[j[fresh]]
-            reached = reached or bool((step[j] == reach).any())
-            left.append(np.minimum(point[i], point[j]))
-            right.append(np.maximum(point[i], point[j]))
-        a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
-        if reached and reach:
-            a, b = pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.array([table["home"][0].as_py()], pa.int64())])
-        return pa.table({"a": a, "b": b})
-
-    offsets = F.explode(F.array(*(F.lit(s) for s in range(reach + 1)))).alias("step")
-    dealt = rows.select("*", offsets).withColumn("home", F.col("block") - F.col("step")).filter("home >= 0").drop("block")
-    return dealt.groupBy("home").applyInArrow(run, "a long, b long")
-
-
-def links(points: DataFrame, threshold: float, passes: int, block: int, reach: int, seed: int) -> DataFrame:
-    """Distinct links ``(a, b)`` between points, ``a < b``."""
+            for some in np.array_split(asks, -(-len(asks) // 256)):
+                i, j = np.nonzero(unit[some] @ unit.T >= threshold)
+                i = some[i]
+                fresh = pos[at[j]] > pos[at[i]]
+                i, j = at[i[fresh]], at[j[fresh]]
+                left.append(np.minimum(point[i], point[j]))
+                right.append(np.maximum(point[i], point[j]))
+        return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
+
+    parts = -(-reach // STEPS)
+    places = [(0, part) for part in range(max(1, parts))] + [(s, (s - 1) // STEPS) for s in range(1, reach + 1)]
+    offsets = F.explode(F.array(*(F.struct(F.lit(s).alias("step"), F.lit(part).alias("part")) for s, part in places))).alias("to")
+    dealt = rows.drop("hash", "agree").select("*", offsets).select("*", "to.step", "to.part").withColumn("home", F.col("block") - F.col("step")).filter("home >= 0").drop("block", "to")
+    return dealt.groupBy("home", "part").applyInArrow(run, "a long, b long")
+
+
+def parted(rows: DataFrame, reach: int) -> DataFrame:
+    """``(label, dim, point, log_miss)``: logarithm of the greatest probability that all passes of
+    ``rows`` kept a pair at the threshold out of the point's windows."""
+    light = rows.drop("vector")
+    key = F.struct("pass", "label", "dim", "hash")
+    ends = light.groupBy("block").agg(F.min_by(key, "position").alias("first"), F.max_by(key, "position").alias("last"))
+    behind = ends.select((F.col("block") - reach - 1).alias("block"), F.col("first").alias("behind"))
+    before = ends.select((F.col("block") + reach + 1).alias("block"), F.col("last").alias("before"))
+
+    def needed(other: str):
+        """Bits that a partner shares at least if it lies before the key ``other``; 0: all do."""
+        same = (F.col(f"{other}.pass") == F.col("pass")) & (F.col(f"{other}.label") == F.col("label")) & (F.col(f"{other}.dim") == F.col("dim"))
+        differ = F.col(f"{other}.hash").bitwiseXOR(F.col("hash"))
+        return F.when(same, F.when(differ == 0, BITS + 1).otherwise(BITS + 1 - F.length(F.bin(differ)))).otherwise(0)
+
+    bits = F.greatest(needed("behind"), needed("before"))
+    placed = light.join(behind, "block", "left").join(before, "block", "left").withColumn("bits", bits)
+    # A pass whose planes lie close to the point needs few bits but parts more, so all are charged alike.
+    most = placed.groupBy("label", "dim", "point").agg(F.count("*").alias("n"), F.max("bits").alias("bits"), F.min("agree").alias("agree"))
+    log_miss = F.when(F.col("bits") == 0, -1e9).when(F.col("bits") > BITS, 0.0).otherwise(F.col("n") * F.log1p(-F.pow("agree", "bits")))
+    return most.select("label", "dim", "point", log_miss.alias("log_miss"))
+
+
+def links(points: DataFrame, threshold: float, passes: int, block: int, reach: int, seed: int, miss: float) -> DataFrame:
+    """Distinct links ``(a, b)`` between points, ``a < b``; each is missed with a probability of at
+    most ``miss``."""
     spark = points.sparkSession
 
-    def stored(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "links")
-        df.distinct().write.parquet(path)
-        return spark.read.schema("a long, b long").parquet(path)
-
-    rows = ordered(keyed(points, passes, seed), block)
-    found = stored(compared(rows, reach, threshold))
-    parts, step = [found], reach
-    while True:
-        active = parts[-1].filter("a is null").select(F.col("b").alias("block"))
-        if active.isEmpty():
-            break
-        step += 1  # only blocks that still link at the end of their window look one block further
-        asks = rows.join(active, "block", "leftsemi")
-        targets = rows.join(active.select((F.col("block") + step).alias("block")), "block", "leftsemi")
-        both = asks.withColumn("side", F.lit(0)).unionAll(targets.withColumn("side", F.lit(step)))
-        parts.append(stored(_one_step(both, step, threshold)))
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rest = points.select("point", "label", F.size("vector").alias("dim"), "vector", F.lit(0.0).alias("log_miss"))
+    parts, turn = [], 0
+    while turn == 0 or not rest.isEmpty():
+        rows = ordered(keyed(rest.drop("log_miss"), passes, [seed, turn], block * reach, threshold), block)
+        parts.append(stored(compared(rows, reach, threshold).distinct(), "links"))
+        now = parted(rows, reach).withColumnRenamed("log_miss", "more")
+        both = rest.join(now, ["label", "dim", "point"]).withColumn("log_miss", F.col("log_miss") + F.col("more")).drop("more")
+        rest = stored(both.filter(F.col("log_miss") > float(np.log(miss))).select(*rest.columns), "rest")
+        turn += 1
+        block, reach = (2 * block, reach) if 2 * block <= MOST_BLOCK else (block, 2 * reach)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.filter("a is not null").distinct()
-
+    return out.distinct()
 
-def _one_step(both: DataFrame, step: int, threshold: float) -> DataFrame:
-    """Compare blocks (side 0) with the block ``step`` behind (other side)."""
-    rows = both.withColumn("home", F.col("block") - F.col("side")).withColumnRenamed("side", "step").drop("block")
 
-    def run(table: pa.Table) -> pa.Table:
-        point, at_step, number, label, dim = (table[c].to_numpy() for c in ("point", "step", "pass", "label", "dim"))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        _, group = np.unique(np.stack([number, label, dim]), axis=1, return_inverse=True)
-        group = group.reshape(-1)
-        for g in np.unique(group).tolist():
-            asks, others = np.flatnonzero((group == g) & (at_step == 0)), np.flatnonzero((group == g) & (at_step > 0))
-            if len(asks) and len(others):
-                d = int(dim[asks[0]])
-                x, y = (_unit(table["vector"].take(pa.array(at)).to_pylist(), d) for at in (asks, others))
-                i, j = np.nonzero(x @ y.T >= threshold)
-                left.append(np.minimum(point[asks[i]], point[others[j]]))
-                right.append(np.maximum(point[asks[i]], point[others[j]]))
-        a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
-        if len(a):
-            a, b = pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.array([table["home"][0].as_py()], pa.int64())])
-        return pa.table({"a": a, "b": b})
-
-    return rows.groupBy("home").applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 8, block: int = 512, reach: int = 2, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 8, block: int = 512, reach: int = 2, seed: int = 7, miss: float = 1e-4) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every vector (``vec_id, embedding, label``)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector")).distinct()
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -175,7 +216,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 8
     path = scratch_path(vectors.sparkSession, "points")
     points.write.parquet(path)
     points = vectors.sparkSession.read.schema(points.schema).parquet(path)
-    linked = links(points.select("point", "label", "vector"), threshold, passes, block, reach, seed)
+    linked = links(points.select("point", "label", "vector"), threshold, passes, block, reach, seed, miss)
     both = linked.unionAll(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weight = points.select(F.col("point").alias("b"), "copies")
     partners = both.join(weight, "b").groupBy(F.col("a").alias("point")).agg(F.sum("copies").alias("others"))

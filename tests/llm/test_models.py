@@ -107,6 +107,22 @@ def test_embeddings(shipped, limits):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_label_far_larger_than_a_window(shipped):
+    rng = np.random.default_rng(11)
+    n, dim, common = 700, 16, 3
+    v = rng.standard_normal((n, dim))
+    v[:, 0] += common * np.sqrt(dim)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    away = rng.standard_normal((n, dim))
+    away -= (away * v).sum(1, keepdims=True) * v
+    twin = 0.981 * v + np.sqrt(1 - 0.981**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    both = np.concatenate([v, twin])
+    df = shipped.createDataFrame([(i, x, 1) for i, x in enumerate(both.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, block=16, reach=2).collect()}
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.98).sum(1) - 1).tolist()))
+
+
 def test_pipeline(shipped):
     docs = shipped.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
