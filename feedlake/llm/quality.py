@@ -1,11 +1,11 @@
 """Quality by weak supervision.
 
 Rules look at counts of a whole text and vote good, bad or abstain.  Expectation-maximisation
-over the votes of all documents estimates each rule's accuracy and the share of good texts, and
-a document is kept when its posterior probability of being good is at least one half, whatever
+over the votes of the documents that pass the base rules estimates each rule's accuracy and the
+share of good texts among these, and such a document is kept when its posterior probability of being good is at least one half, whatever
 single rules say.
 
-The votes of a document form one of at most ``3 ** len(RULES)`` patterns, so all documents enter
+The votes of a document form one of at most ``3 ** len(RULES)`` patterns, so all of these enter
 the estimate through a table of pattern counts of bounded size.
 
 Texts without words (null, empty, white space) have zero counts.  With no documents the model
