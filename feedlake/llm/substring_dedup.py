@@ -1,8 +1,8 @@
 """Substring deduplication by seed and extend over words.
 
 Documents meet on winnowed anchors: the least-hashed ``GRAM``-word gram of every window of
-``length`` words.  A seed is extended both ways over the windows that have chosen it; seeds
-that agree in all their words match as a whole, the others are compared window by window.
+``length`` words.  A seed is the stretch of the windows that have chosen it and does not grow
+along a matching document; seeds that agree in all their words match as a whole, the others are compared window by window.
 What remains is the union of all matching windows, the maximal repeats of at least ``length``
 words.  A window is a repeat if its words also start in a document with a smaller id.
 
