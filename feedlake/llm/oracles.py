@@ -63,9 +63,48 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from d left join n on n.doc_id = d.doc_id join (select id, min(root) as component_id from reach group by 1) c on c.id = d.doc_id
 """
 
+_TERMS = r"coalesce(regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+RANKED_SEARCH = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS.format(text=_LOWER)} as ws from documents),
+total as (select count(*) as docs, sum(len(ws))::bigint as terms from d where len(ws) > 0),
+t as materialized (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) x group by 1, 2),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from t, total group by term, docs),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS.format(text=_LOWER)}) as term from benchmark) x group by 1, 2),
+m as (select r, doc_id, 100 - 75 + (75 * len(ws) * docs) // terms as m from d, total where len(ws) > 0),
+s as (select item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from q join t using (term) join w using (term) join m using (r) group by 1, 2, 3),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+PHRASES = r"""
+with d as (select coalesce(lang, 'und') as lang, row_number() over () as r,
+                  regexp_split_to_array(""" + _LOWER + r""", '[.,;:!?\x0A-\x0D]') as ps from documents),
+p as (select lang, r, i, regexp_extract_all(ps[i], '[^\x20\x09]+') as ws from (select lang, r, ps, unnest(range(1, len(ps) + 1)) as i from d) x),
+occ as (select lang, k, array_to_string(ws[j:j + k - 1], ' ') as phrase
+        from (select lang, ws, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) as j from p, (select unnest([1, 2, 3, 4]) as k) ks) x),
+f as materialized (select lang, k, phrase, count(*) as f from occ group by 1, 2, 3),
+total as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1 and f >= 30),
+cuts as (select lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') as head, array_to_string(ws[j + 1:k], ' ') as tail
+         from (select *, unnest(range(1, k)) as j from c) x),
+scored as (select x.lang, x.k, x.phrase, x.a, x.j, h.f as l, t.f as r, ((2000000::hugeint * x.a) // (h.f + t.f))::bigint as score
+           from cuts x join f h on h.lang = x.lang and h.phrase = x.head and h.k = x.j join f t on t.lang = x.lang and t.phrase = x.tail and t.k = x.k - x.j),
+least_cut as (select * from (select *, row_number() over (partition by lang, k, phrase order by score, j) as place from scored) x where place = 1),
+inner_ones as (select lang, kk as k, array_to_string(ws[j:j + kk - 1], ' ') as phrase, max(a) as longer
+               from (select lang, a, ws, kk, unnest(range(1, k - kk + 2)) as j from c, (select unnest([2, 3]) as kk) ks where kk < k) x group by 1, 2, 3),
+left_over as (select s.* from least_cut s left join inner_ones i on i.lang = s.lang and i.k = s.k and i.phrase = s.phrase
+              where i.longer is null or 100 * i.longer::hugeint < 80 * s.a::hugeint),
+ranked as (select lang, phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from left_over)
+select x.lang, x.rank, x.phrase, x.a, x.l, x.r, t.n, x.score from ranked x join total t using (lang) where x.rank <= 2000
+"""
+
 ORACLES = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op8_jaccard_join": JACCARD_JOIN,
+    "op11_ranked_search": RANKED_SEARCH,
+    "op13_phrases": PHRASES,
 }

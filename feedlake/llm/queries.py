@@ -97,3 +97,24 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm.phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"), least=30, longest=4, first=2000)

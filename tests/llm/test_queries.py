@@ -17,7 +17,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(shipped, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
@@ -27,13 +27,14 @@ def test_matches_sql(shipped, name):
 
 def test_all_are_registered():
     found = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) <= set(found)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(QUERIES) <= set(found)
     assert "pipeline" in found and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
 # What the driver reads, all bounded: counts by length or by task (packing, token files,
-# embeddings), the most common shingles (a top-k), vote patterns, the toxicity model.
-DRIVER_READS = {"packing.py", "token_files.py", "embedding_dedup.py", "jaccard_join.py", "quality.py", "toxicity.py"}
+# embeddings), the most common shingles (a top-k), vote patterns, the toxicity model, the terms of
+# one tile of items (ranked search).
+DRIVER_READS = {"packing.py", "token_files.py", "embedding_dedup.py", "jaccard_join.py", "quality.py", "toxicity.py", "ranked_search.py"}
 
 
 def test_driver_reads_are_bounded_ones():
