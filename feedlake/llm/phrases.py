@@ -1,19 +1,22 @@
 """Phrase collocation mining by set-oriented relations (SETM).
 
-An occurrence relation ``R1`` holds a row ``(block, place, code)`` for every word of the corpus, and
-``Rk`` one for every ``k``-word sequence whose parts are all frequent.  ``code`` is a hash of the
-language and the words; consecutive words of a piece have consecutive places, and a piece is followed by a gap, so
-"same piece, next position" is "same block, next place".  Each relation is written to the shared folder, sorted by
-block and place, with a block's rows packed into one row, so that no task reads half a piece.  One level:
-
-1. group-count: ``Ck`` holds the codes that occur ``least`` times or more, counted within each
+An occurrence relation ``Rk`` holds a row ``(block, place, code)`` for every frequent ``k``-word sequence
+of the corpus.  ``code`` is a hash of the language and the words; consecutive words of a piece have
+consecutive places, and a piece is followed by a gap, so "same piece, next position" is "same block, next
+place".  Each relation is written to the shared folder, sorted by block and place, with a block's rows
+packed into one row, so that no task reads half a piece.  One level:
+
+1. merge-join: a row of ``Rk`` and the row of the next place make a longer row (for the first level, every
+   word of the texts is one);
+2. group-count: ``Ck+1`` holds the codes that occur ``least`` times or more, counted within each
    task first and then by Spark;
-2. semi-join: the rows of ``Rk`` whose code is in ``Ck``.  ``Ck`` is broadcast if a count shows that it has at most
-   ``MOST_BROADCAST`` codes; otherwise both sides are shuffled by code and the rows go back to
-   their blocks, in order;
-3. merge-join: a row and the row of the next place make a row of ``Rk+1``.
+3. semi-join: the longer rows whose code is in ``Ck+1`` are written as ``Rk+1``.  ``Ck+1`` is broadcast if a count
+   shows that it has at most ``MOST_BROADCAST`` codes; otherwise both sides are shuffled by code and
+   the rows go back to their blocks, in order.
 
-Only the first level reads texts.  The count tables carry the phrase and the counts of its
+The longer rows are joined once to be counted and once to be written, because most of them are rare
+and are never stored.
+The count tables carry the phrase and the counts of its
 beginnings and ends, handed on from the shorter phrases, so the scores need no look at the corpus.
 A phrase lies inside a longer candidate only if it lies inside one that is a single word longer and
 at least as frequent, so dropping compares neighbouring levels.
@@ -51,8 +54,7 @@ _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _TEXT[_PIECE_END] = 0x0A
 
-WORDS = "block long, place binary, codes binary, code long, lang string, word string, times long"
-GRAMS = "block long, place binary, codes binary, code long, head long, tail long, times long"
+RELATION = "block long, place binary, codes binary, code long, head long, tail long"
 
 
 def _slices_of(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -96,74 +98,124 @@ class Tally:
     def full(self) -> bool:
         return sum(len(h[0]) for h in self.held) > MOST_DISTINCT * (2 if len(self.held) > 1 else 1)
 
-    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """The counts as record batches of ``schema``, whose first columns belong to the relation."""
+    def rows(self) -> Iterator[tuple[pa.Array, pa.Array, list[pa.Array]]]:
+        """The counts so far: (codes, times, further columns)."""
         if self.held:
             code, times, more = self._one()
-            none = [pa.nulls(len(code), schema.field(i).type) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(code.view(np.int64)), *more, pa.array(times)], schema=schema)
+            yield pa.array(code.view(np.int64)), pa.array(times), more
             self.held = []
 
 
-def _relation(schema: pa.Schema, block: np.ndarray, place: list[bytes], codes: list[bytes]) -> pa.RecordBatch:
-    rest = [pa.nulls(len(block), schema.field(i).type) for i in range(3, len(schema))]
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(place, pa.binary()), pa.array(codes, pa.binary()), *rest], schema=schema)
+def _word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Per block of text: (bytes, starts and ends of words, codes, places, language of each word)."""
+    for batch in text_slices(batches, limit=BLOCK_BYTES):
+        raw, offsets = text_bytes(column(batch, "text"))
+        flat = _TEXT[raw]
+        found = words(flat, offsets)
+        if not len(found.code):
+            continue
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
+        langs = column(batch, "lang")
+        code = mix(found.code ^ _language_codes(langs)[owner])
+        cuts = np.concatenate([[0], np.cumsum(flat == 0x0A)])
+        gap = (cuts[found.start[1:]] > cuts[found.end[:-1]]) | (owner[1:] != owner[:-1])
+        yield flat, np.stack([found.start, found.end]), code, np.concatenate([[0], np.cumsum(1 + gap)]), langs.take(pa.array(owner))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
 
 
-def word_relation(docs: DataFrame) -> DataFrame:
-    """``R1`` (rows with ``block``) and partial counts of words (rows without)."""
-    schema = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("times", pa.int64())])
+def word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """``(code, a, lang, word)`` of every word; ``word`` is null for the rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         tally = Tally()
-        for batch in text_slices(batches, limit=BLOCK_BYTES):
-            raw, offsets = text_bytes(column(batch, "text"))
-            flat = _TEXT[raw]
-            found = words(flat, offsets)
-            if not len(found.code):
-                continue
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
-            langs = column(batch, "lang")
-            code = mix(found.code ^ _language_codes(langs)[owner])
-            cuts = np.concatenate([[0], np.cumsum(flat == 0x0A)])
-            gap = (cuts[found.start[1:]] > cuts[found.end[:-1]]) | (owner[1:] != owner[:-1])
-            place = np.concatenate([[0], np.cumsum(1 + gap)])
-            block += 1
-            yield _relation(schema, np.array([block]), [place.astype("<i4").tobytes()], [code.tobytes()])
+        for flat, span, code, _, langs in _word_slices(batches):
             distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
-            tally.add(distinct, times, [langs.take(pa.array(owner[at])), _slices_of(flat, found.start[at], found.end[at])])
+            tally.add(distinct, times, [langs.take(pa.array(at)), _slices_of(flat, *span[:, at])])
             if tally.full():
-                yield from tally.rows(schema)
-        yield from tally.rows(schema)
+                yield from out(tally)
+        yield from out(tally)
 
-    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, WORDS)
+    def out(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, times, more in tally.rows():
+            yield pa.RecordBatch.from_arrays([code, times, *more], ["code", "times", "lang", "word"])
 
+    parts = _texts(docs).mapInArrow(run, "code long, times long, lang string, word string")
+    total = parts.groupBy("code").agg(F.sum("times").alias("a"), F.min("lang").alias("lang"), F.min("word").alias("word"))
+    return total.select("code", "a", "lang", F.when(F.col("a") >= least, F.col("word")).alias("word"))
 
-def occurrences(relation: DataFrame) -> DataFrame:
-    """The packed rows of a relation one by one: ``(block, place, code)``, in their order."""
+
+def word_rows(docs: DataFrame) -> DataFrame:
+    """``(block, place, code)`` of every word; a block's rows stand together, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, place, codes in zip(*(column(batch, c) for c in ("block", "place", "codes")), strict=True):
-                at = np.frombuffer(place.as_buffer(), "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block.as_py())), pa.array(at), pa.array(np.frombuffer(codes.as_buffer(), np.int64))], ["block", "place", "code"])
+        block = TaskContext.get().partitionId() << 32
+        for _, _, code, place, _ in _word_slices(batches):
+            block += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(place.astype(np.int32)), pa.array(code.view(np.int64))], ["block", "place", "code"])
+
+    return _texts(docs).mapInArrow(run, "block long, place int, code long")
+
 
-    return relation.filter(F.col("block").isNotNull()).select("block", "place", "codes").mapInArrow(run, "block long, place int, code long")
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Merge-join of the packed blocks of a relation with themselves by the next place: (block,
+    places, codes of the longer sequences, of their heads and of their tails)."""
+    for batch in batches:
+        for block, steps, codes in zip(*(column(batch, c) for c in ("block", "place", "codes")), strict=True):
+            place, code = np.cumsum(np.frombuffer(steps.as_buffer(), "<i4"), dtype=np.int32), np.frombuffer(codes.as_buffer(), "<u8")
+            at = np.flatnonzero(place[1:] == place[:-1] + 1)
+            head, tail = code[at], code[at + 1]
+            yield block.as_py(), place[at], mix(mix(head) * MULT + tail), head, tail
 
 
-def frequent_occurrences(relation: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """Semi-join of a relation with the frequent codes; a block's rows stay together, in order."""
-    rows, codes = occurrences(relation), counts.select("code")
+def _blocks(relation: DataFrame) -> DataFrame:
+    return relation.filter(F.col("block").isNotNull()).select("block", "place", "codes")
+
+
+def longer_counts(relation: DataFrame) -> DataFrame:
+    """``(code, a)`` of every sequence that is a word longer than those of the relation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for _, _, code, _, _ in _joined(batches):
+            distinct, _, times = _tallied(code, np.ones(len(code), np.int64))
+            tally.add(distinct, times, [])
+            if tally.full():
+                yield from out(tally)
+        yield from out(tally)
+
+    def out(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, times, _ in tally.rows():
+            yield pa.RecordBatch.from_arrays([code, times], ["code", "times"])
+
+    return _blocks(relation).mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("a"))
+
+
+def longer_rows(relation: DataFrame) -> DataFrame:
+    """``(block, place, code, head, tail)`` of these sequences, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, place, *codes in _joined(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), *(pa.array(c.view(np.int64)) for c in codes)], ["block", "place", "code", "head", "tail"])
+
+    return _blocks(relation).mapInArrow(run, "block long, place int, code long, head long, tail long")
+
+
+def semi_joined(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """The rows with a frequent code; a block's rows stay together, in order."""
+    codes = counts.select("code")
     if codes.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(codes), "code", "leftsemi")
     return rows.join(codes, "code", "leftsemi").repartition("block").sortWithinPartitions("block", "place")
 
 
-def extended(rows: DataFrame) -> DataFrame:
-    """Merge-join of sorted rows with themselves by block and next place: the relation of the next
-    length, and partial counts of its codes with the codes of both parts."""
-    schema = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary())] + [(c, pa.int64()) for c in ("code", "head", "tail", "times")])
+def packed(rows: DataFrame) -> DataFrame:
+    """A relation: a row per block with the steps from place to place and the codes; and, without block, the
+    ``head`` and ``tail`` of every code of a task, where the rows have them."""
+    parts = "head" in rows.columns
+    schema = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,35 +228,37 @@ def extended(rows: DataFrame) -> DataFrame:
                 block = table["block"].to_numpy()
                 other = np.flatnonzero(block != block[-1])
                 whole = int(other[-1]) + 1 if len(other) else 0  # rows before the last block
-                yield from joined(table.slice(0, whole), tally)
+                yield from blocks(table.slice(0, whole), tally)
                 held = table.slice(whole).to_batches()
                 size -= whole
                 enough = max(HELD_ROWS, 2 * size)  # a block of many rows is not looked through at every batch
-                if tally.full():
-                    yield from tally.rows(schema)
         if held:
-            yield from joined(pa.Table.from_batches(held), tally)
-        yield from tally.rows(schema)
+            yield from blocks(pa.Table.from_batches(held), tally)
+        yield from heads(tally)
 
-    def joined(table: pa.Table, tally: Tally) -> Iterator[pa.RecordBatch]:
+    def blocks(table: pa.Table, tally: Tally) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         block, place, code = (table[c].to_numpy() for c in ("block", "place", "code"))
-        code = code.view(np.uint64)
-        at = np.flatnonzero((block[1:] == block[:-1]) & (place[1:] == place[:-1] + 1))
-        if not len(at):
-            return
-        head, tail = code[at], code[at + 1]
-        longer = mix(mix(head) * MULT + tail)
-        new = np.flatnonzero(np.concatenate([[True], np.diff(block[at]) != 0]))
-        ends = [*new[1:].tolist(), len(at)]
-        spot = place[at].astype("<i4")
-        pack = lambda values: [values[a:b].tobytes() for a, b in zip(new.tolist(), ends, strict=True)]
-        yield _relation(schema, block[at][new], pack(spot), pack(longer))
-        distinct, first, times = _tallied(longer, np.ones(len(longer), np.int64))
-        tally.add(distinct, times, [pa.array(x[first].view(np.int64)) for x in (head, tail)])
+        new = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
+        ends = [*new[1:].tolist(), len(block)]
+        steps = np.diff(place, prepend=0).astype("<i4")
+        steps[new] = place[new]
+        pack = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(new.tolist(), ends, strict=True)], pa.binary())
+        none = [pa.nulls(len(new), pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pack(steps), pack(code), *none], schema=schema)
+        if parts:
+            distinct, at, times = _tallied(code.view(np.uint64), np.ones(len(code), np.int64))
+            tally.add(distinct, times, [pa.array(table[c].to_numpy()[at]) for c in ("head", "tail")])
+            if tally.full():
+                yield from heads(tally)
+
+    def heads(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, _, more in tally.rows():
+            none = [pa.nulls(len(code), schema.field(i).type) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*none, code, *more], schema=schema)
 
-    return rows.select("block", "place", "code").mapInArrow(run, GRAMS)
+    return rows.mapInArrow(run, RELATION)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -213,19 +267,19 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def word_counts(relation: DataFrame, least: int) -> DataFrame:
+def first_level(counts: DataFrame) -> DataFrame:
     """``C1``: frequent words ``(code, a, lang, phrase, last, heads, tails)``."""
-    times = relation.filter(F.col("block").isNull()).groupBy("code").agg(F.sum("times").alias("a"), F.min("lang").alias("lang"), F.min("word").alias("phrase"))
-    return times.filter(F.col("a") >= least).select("code", "a", "lang", "phrase", F.col("phrase").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
+    found = counts.filter(F.col("word").isNotNull())
+    return found.select("code", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
 
 
-def longer_counts(relation: DataFrame, shorter: DataFrame, least: int) -> DataFrame:
-    """``Ck+1`` from its relation's partial counts and ``Ck``.  ``heads`` and ``tails`` hold the counts
+def next_level(counts: DataFrame, relation: DataFrame, shorter: DataFrame) -> DataFrame:
+    """``Ck+1`` from its counts, its relation and ``Ck``.  ``heads`` and ``tails`` hold the counts
     of the first and last 1, 2, ... words; ``head`` and ``tail`` are the codes of the parts in ``Ck``."""
-    times = relation.filter(F.col("block").isNull()).groupBy("code").agg(F.sum("times").alias("a"), F.min("head").alias("head"), F.min("tail").alias("tail")).filter(F.col("a") >= least)
+    parts = relation.filter(F.col("block").isNull()).groupBy("code").agg(F.min("head").alias("head"), F.min("tail").alias("tail"))
     front = shorter.select(F.col("code").alias("head"), "lang", F.col("phrase").alias("front"), F.col("heads").alias("front_heads"))
     back = shorter.select(F.col("code").alias("tail"), "last", F.col("tails").alias("back_tails"))
-    return times.join(front, "head").join(back, "tail").select(
+    return counts.join(parts, "code").join(front, "head").join(back, "tail").select(
         "code", "a", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "last",
         F.concat("front_heads", F.array("a")).alias("heads"), F.concat("back_tails", F.array("a")).alias("tails"), "head", "tail",
     )
@@ -245,12 +299,14 @@ def scored(counts: DataFrame, length: int) -> DataFrame:
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, most: int = MOST_BROADCAST) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``first`` phrases of each language."""
-    relation = _written(word_relation(docs), "words")
-    total = relation.filter(F.col("block").isNull()).groupBy("lang").agg(F.sum("times").alias("n"))
-    counts = [_written(word_counts(relation, least), "frequent")]
+    words_of = _written(word_counts(docs, least), "words")
+    total = words_of.groupBy("lang").agg(F.sum("a").alias("n"))
+    counts = [first_level(words_of)]
+    relation = _written(packed(semi_joined(word_rows(docs), counts[0], most)), "occurrences")
     for _ in range(2, longest + 1):
-        relation = _written(extended(frequent_occurrences(relation, counts[-1], most)), "sequences")
-        counts.append(_written(longer_counts(relation, counts[-1], least), "frequent"))
+        frequent = _written(longer_counts(relation).filter(F.col("a") >= least), "frequent")
+        relation = _written(packed(semi_joined(longer_rows(relation), frequent, most)), "occurrences")
+        counts.append(_written(next_level(frequent, relation, counts[-1]), "level"))
     found = None
     for length in range(2, longest + 1):
         level = scored(counts[length - 1], length)
