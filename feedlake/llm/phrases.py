@@ -10,9 +10,9 @@ packed into one row, so that no task reads half a piece.  One level:
    word of the texts is one);
 2. group-count: ``Ck+1`` holds the codes that occur ``least`` times or more, counted within each
    task first and then by Spark;
-3. semi-join: the longer rows whose code is in ``Ck+1`` are written as ``Rk+1``.  ``Ck+1`` is broadcast if a count
-   shows that it has at most ``MOST_BROADCAST`` codes; otherwise both sides are shuffled by code and
-   the rows go back to their blocks, in order.
+3. semi-join: the longer rows whose code is in ``Ck+1`` are written as ``Rk+1``.  If a count shows that ``Ck+1`` has at
+   most ``MOST_BROADCAST`` codes (8 MB), each task gets them and looks its rows up where they are; otherwise both
+   sides are shuffled by code and the rows go back to their blocks, in order.
 
 The longer rows are joined once to be counted and once to be written, because most of them are rare
 and are never stored.
@@ -42,8 +42,7 @@ from feedlake.llm.arrow_text import MULT, column, mix, spread, text_bytes, text_
 from feedlake.session import scratch_path
 
 BLOCK_BYTES = 1 << 20
-HELD_ROWS = 200_000
-MOST_DISTINCT = 400_000
+MOST_DISTINCT = 250_000
 MOST_BROADCAST = 1_000_000
 CUT_SCALE = 2_000_000
 COVER_PERCENT = 80
@@ -203,64 +202,114 @@ def longer_rows(relation: DataFrame) -> DataFrame:
     return _blocks(relation).mapInArrow(run, "block long, place int, code long, head long, tail long")
 
 
-def semi_joined(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """The rows with a frequent code; a block's rows stay together, in order."""
-    codes = counts.select("code")
-    if codes.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(codes), "code", "leftsemi")
-    return rows.join(codes, "code", "leftsemi").repartition("block").sortWithinPartitions("block", "place")
+def few_codes(counts: DataFrame, most: int) -> np.ndarray | None:
+    """The codes, ascending, if there are at most ``most``."""
+    codes = counts.select("code").limit(most + 1).toArrow()["code"].to_numpy()
+    return np.sort(codes.view(np.uint64)) if len(codes) <= most else None
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """A relation: a row per block with the steps from place to place and the codes; and, without block, the
-    ``head`` and ``tail`` of every code of a task, where the rows have them."""
-    parts = "head" in rows.columns
-    schema = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
+def _known(code: np.ndarray, sorted_codes: np.ndarray) -> np.ndarray:
+    """Places of the codes that are among ``sorted_codes``."""
+    if not len(sorted_codes):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(sorted_codes[np.minimum(np.searchsorted(sorted_codes, code), len(sorted_codes) - 1)] == code)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        tally, size, enough = Tally(), 0, HELD_ROWS
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= enough:
-                table = pa.Table.from_batches(held)
-                block = table["block"].to_numpy()
-                other = np.flatnonzero(block != block[-1])
-                whole = int(other[-1]) + 1 if len(other) else 0  # rows before the last block
-                yield from blocks(table.slice(0, whole), tally)
-                held = table.slice(whole).to_batches()
-                size -= whole
-                enough = max(HELD_ROWS, 2 * size)  # a block of many rows is not looked through at every batch
-        if held:
-            yield from blocks(pa.Table.from_batches(held), tally)
-        yield from heads(tally)
 
-    def blocks(table: pa.Table, tally: Tally) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
+class Packer:
+    """Rows of a relation as record batches: a row per block with the steps from place to place and the
+    codes; and, without block, the heads and tails of every code, where the rows have them."""
+
+    SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
+
+    def __init__(self):
+        self.tally = Tally()
+
+    def add(self, block: int, place: np.ndarray, code: np.ndarray, parts: tuple[np.ndarray, ...] = ()) -> Iterator[pa.RecordBatch]:
+        """One block."""
+        if not len(code):
             return
-        block, place, code = (table[c].to_numpy() for c in ("block", "place", "code"))
-        new = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
-        ends = [*new[1:].tolist(), len(block)]
         steps = np.diff(place, prepend=0).astype("<i4")
-        steps[new] = place[new]
-        pack = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(new.tolist(), ends, strict=True)], pa.binary())
-        none = [pa.nulls(len(new), pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pack(steps), pack(code), *none], schema=schema)
+        none = [pa.nulls(1, pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([steps.tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()), *none], schema=self.SCHEMA)
         if parts:
-            distinct, at, times = _tallied(code.view(np.uint64), np.ones(len(code), np.int64))
-            tally.add(distinct, times, [pa.array(table[c].to_numpy()[at]) for c in ("head", "tail")])
-            if tally.full():
-                yield from heads(tally)
+            distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
+            self.tally.add(distinct, times, [pa.array(x[at].view(np.int64)) for x in parts])
+            if self.tally.full():
+                yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        for code, _, more in self.tally.rows():
+            none = [pa.nulls(len(code), self.SCHEMA.field(i).type) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*none, code, *more], schema=self.SCHEMA)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The relation of rows whose blocks stand together, in order."""
+    names = ["head", "tail"] if "head" in rows.columns else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held, last = Packer(), [], None
+        for batch in batches:
+            block = column(batch, "block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and block[a] != last:
+                    yield from one(packer, last, held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = int(block[a])
+        if held:
+            yield from one(packer, last, held)
+        yield from packer.end()
 
-    def heads(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, _, more in tally.rows():
-            none = [pa.nulls(len(code), schema.field(i).type) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*none, code, *more], schema=schema)
+    def one(packer: Packer, block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        place, code, *parts = (table[c].to_numpy() for c in ["place", "code", *names])
+        yield from packer.add(block, place, code.view(np.uint64), tuple(parts))
 
     return rows.mapInArrow(run, RELATION)
 
 
+def _shuffled(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    return rows.join(counts.select("code"), "code", "leftsemi").repartition("block").sortWithinPartitions("block", "place")
+
+
+def word_relation(docs: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """``R1``: the occurrences of frequent words."""
+    few = few_codes(counts, most)
+    if few is None:
+        return packed(_shuffled(word_rows(docs), counts))
+    shared = docs.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, packer = TaskContext.get().partitionId() << 32, Packer()
+        for _, _, code, place, _ in _word_slices(batches):
+            block += 1
+            at = _known(code, shared.value)
+            yield from packer.add(block, place[at], code[at])
+
+    return _texts(docs).mapInArrow(run, RELATION)
+
+
+def longer_relation(relation: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """``Rk+1``: the occurrences of frequent sequences that are a word longer than those of ``relation``."""
+    few = few_codes(counts, most)
+    if few is None:
+        return packed(_shuffled(longer_rows(relation), counts))
+    shared = relation.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer()
+        for block, place, code, head, tail in _joined(batches):
+            at = _known(code, shared.value)
+            yield from packer.add(block, place[at], code[at], (head[at], tail[at]))
+        yield from packer.end()
+
+    return _blocks(relation).mapInArrow(run, RELATION)
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -302,10 +351,10 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 200
     words_of = _written(word_counts(docs, least), "words")
     total = words_of.groupBy("lang").agg(F.sum("a").alias("n"))
     counts = [first_level(words_of)]
-    relation = _written(packed(semi_joined(word_rows(docs), counts[0], most)), "occurrences")
+    relation = _written(word_relation(docs, counts[0], most), "occurrences")
     for _ in range(2, longest + 1):
         frequent = _written(longer_counts(relation).filter(F.col("a") >= least), "frequent")
-        relation = _written(packed(semi_joined(longer_rows(relation), frequent, most)), "occurrences")
+        relation = _written(longer_relation(relation, frequent, most), "occurrences")
         counts.append(_written(next_level(frequent, relation, counts[-1]), "level"))
     found = None
     for length in range(2, longest + 1):

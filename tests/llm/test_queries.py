@@ -33,12 +33,12 @@ def test_all_are_registered():
 
 # What the driver reads, all bounded: counts by length or by task (packing, token files,
 # embeddings), the most common shingles (a top-k), vote patterns, the toxicity model, the terms of
-# one tile of items (ranked search).
-DRIVER_READS = {"packing.py", "token_files.py", "embedding_dedup.py", "jaccard_join.py", "quality.py", "toxicity.py", "ranked_search.py"}
+# one tile of items (ranked search), frequent codes behind a count (phrases).
+DRIVER_READS = {"packing.py", "token_files.py", "embedding_dedup.py", "jaccard_join.py", "quality.py", "toxicity.py", "ranked_search.py", "phrases.py"}
 
 
 def test_driver_reads_are_bounded_ones():
     for p in pathlib.Path(feedlake.llm.__file__).parent.glob("*.py"):
-        if re.search(r"\.(collect|toPandas|toLocalIterator)\(\)", p.read_text()):
+        if re.search(r"\.(collect|toPandas|toArrow|toLocalIterator)\(\)", p.read_text()):
             assert p.name in DRIVER_READS, p.name
         assert "localCheckpoint" not in p.read_text()

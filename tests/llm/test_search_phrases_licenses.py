@@ -146,7 +146,6 @@ def test_phrases_equal_plain(shipped, speech, least, first, most):
 
 def test_phrases_of_small_blocks_and_full_tallies(shipped, speech, monkeypatch):
     monkeypatch.setattr(P, "BLOCK_BYTES", 200)
-    monkeypatch.setattr(P, "HELD_ROWS", 50)
     monkeypatch.setattr(P, "MOST_DISTINCT", 3)
     df = shipped.createDataFrame(speech, DOC_SCHEMA).repartition(2)
     assert phrase_rows(P.phrases(df, least=4)) == plain_phrases(speech, 4)
