@@ -30,6 +30,7 @@ no candidates: an empty result.  Equal scores are ordered by frequency, then by
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from feedlake.llm.arrow_text import MULT, column, mix, spread, text_bytes, text_slices, words
 from feedlake.session import scratch_path
 
-BLOCK_BYTES = 1 << 20
-MOST_DISTINCT = 250_000
+BLOCK_BYTES = 1 << 18
+MOST_DISTINCT = 150_000
 MOST_BROADCAST = 1_000_000
 CUT_SCALE = 2_000_000
 COVER_PERCENT = 80
@@ -125,25 +126,53 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
 
 
-def word_counts(docs: DataFrame, least: int) -> DataFrame:
-    """``(code, a, lang, word)`` of every word; ``word`` is null for the rare ones."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(code, lang, a)``: occurrences of every word (``lang`` null) and of all words of every language
+    (``code`` null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, totals = Tally(), Counter()
+        for _, _, code, _, langs in _word_slices(batches):
+            distinct, _, times = _tallied(code, np.ones(len(code), np.int64))
+            tally.add(distinct, times, [])
+            totals.update({v["values"]: v["counts"] for v in langs.value_counts().to_pylist()})
+            if tally.full():
+                yield from out(tally)
+        yield from out(tally)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["code", "lang", "times"])
+
+    def out(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, times, _ in tally.rows():
+            yield pa.RecordBatch.from_arrays([code, pa.nulls(len(code), pa.string()), times], ["code", "lang", "times"])
+
+    return _texts(docs).mapInArrow(run, "code long, lang string, times long").groupBy("code", "lang").agg(F.sum("times").alias("a"))
+
+
+def word_names(docs: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
+    """``(code, lang, word)`` of every frequent word."""
+    few = few_codes(frequent, most)
+    shared = docs.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes, or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for flat, span, code, _, langs in _word_slices(batches):
             distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
+            if shared.value is not None:
+                known = _known(distinct, shared.value)
+                distinct, at, times = distinct[known], at[known], times[known]
             tally.add(distinct, times, [langs.take(pa.array(at)), _slices_of(flat, *span[:, at])])
             if tally.full():
                 yield from out(tally)
         yield from out(tally)
 
     def out(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, times, more in tally.rows():
-            yield pa.RecordBatch.from_arrays([code, times, *more], ["code", "times", "lang", "word"])
+        for code, _, more in tally.rows():
+            yield pa.RecordBatch.from_arrays([code, *more], ["code", "lang", "word"])
 
-    parts = _texts(docs).mapInArrow(run, "code long, times long, lang string, word string")
-    total = parts.groupBy("code").agg(F.sum("times").alias("a"), F.min("lang").alias("lang"), F.min("word").alias("word"))
-    return total.select("code", "a", "lang", F.when(F.col("a") >= least, F.col("word")).alias("word"))
+    found = _texts(docs).mapInArrow(run, "code long, lang string, word string")
+    if few is None:
+        found = found.join(frequent.select("code"), "code", "leftsemi")
+    return found.groupBy("code").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
@@ -316,9 +345,9 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def first_level(counts: DataFrame) -> DataFrame:
+def first_level(counts: DataFrame, names: DataFrame) -> DataFrame:
     """``C1``: frequent words ``(code, a, lang, phrase, last, heads, tails)``."""
-    found = counts.filter(F.col("word").isNotNull())
+    found = counts.select("code", "a").join(names, "code")
     return found.select("code", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
 
 
@@ -348,10 +377,11 @@ def scored(counts: DataFrame, length: int) -> DataFrame:
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, most: int = MOST_BROADCAST) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``first`` phrases of each language."""
-    words_of = _written(word_counts(docs, least), "words")
-    total = words_of.groupBy("lang").agg(F.sum("a").alias("n"))
-    counts = [first_level(words_of)]
-    relation = _written(word_relation(docs, counts[0], most), "occurrences")
+    tallied = _written(word_counts(docs).filter(F.col("code").isNull() | (F.col("a") >= least)), "words")
+    total = tallied.filter(F.col("code").isNull()).select("lang", F.col("a").alias("n"))
+    words_of = tallied.filter(F.col("code").isNotNull())
+    counts = [_written(first_level(words_of, word_names(docs, words_of, most)), "level")]
+    relation = _written(word_relation(docs, words_of, most), "occurrences")
     for _ in range(2, longest + 1):
         frequent = _written(longer_counts(relation).filter(F.col("a") >= least), "frequent")
         relation = _written(longer_relation(relation, frequent, most), "occurrences")
