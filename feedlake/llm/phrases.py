@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from feedlake.llm.arrow_text import MULT, column, mix, spread, text_bytes, text_slices, words
 from feedlake.session import scratch_path
 
-BLOCK_BYTES = 1 << 18
-MOST_DISTINCT = 150_000
+BLOCK_BYTES = 1 << 17
+MOST_DISTINCT = 100_000
 MOST_BROADCAST = 1_000_000
 CUT_SCALE = 2_000_000
 COVER_PERCENT = 80
@@ -145,7 +145,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for code, times, _ in tally.rows():
             yield pa.RecordBatch.from_arrays([code, pa.nulls(len(code), pa.string()), times], ["code", "lang", "times"])
 
-    return _texts(docs).mapInArrow(run, "code long, lang string, times long").groupBy("code", "lang").agg(F.sum("times").alias("a"))
+    return _texts(docs).mapInArrow(run, "code long, lang string, times long").repartition("code", "lang").groupBy("code", "lang").agg(F.sum("times").alias("a"))
 
 
 def word_names(docs: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
@@ -218,7 +218,8 @@ def longer_counts(relation: DataFrame) -> DataFrame:
         for code, times, _ in tally.rows():
             yield pa.RecordBatch.from_arrays([code, times], ["code", "times"])
 
-    return _blocks(relation).mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("a"))
+    # Tasks hand on a code once per tally and most codes are rare, so a second map-side combine would only cost memory.
+    return _blocks(relation).mapInArrow(run, "code long, times long").repartition("code").groupBy("code").agg(F.sum("times").alias("a"))
 
 
 def longer_rows(relation: DataFrame) -> DataFrame:
