@@ -8,8 +8,9 @@ packed into one row, so that no task reads half a piece.  One level:
 
 1. merge-join: a row of ``Rk`` and the row of the next place make a longer row (for the first level, every
    word of the texts is one);
-2. group-count: ``Ck+1`` holds the codes that occur ``least`` times or more, counted within each
-   task first and then by Spark;
+2. group-count: ``Ck+1`` holds the codes that occur ``least`` times or more.  Each task counts its own codes
+   and deals them by code to buckets, whose number grows with the relation; Spark shuffles the buckets and a
+   bucket of bounded size is added up at a time;
 3. semi-join: the longer rows whose code is in ``Ck+1`` are written as ``Rk+1``.  If a count shows that ``Ck+1`` has at
    most ``MOST_BROADCAST`` codes (8 MB), each task gets them and looks its rows up where they are; otherwise both
    sides are shuffled by code and the rows go back to their blocks, in order.
@@ -44,6 +45,7 @@ from feedlake.session import scratch_path
 
 BLOCK_BYTES = 1 << 17
 MOST_DISTINCT = 100_000
+BUCKET_CODES, WORD_BYTES = 500_000, 6
 MOST_BROADCAST = 1_000_000
 CUT_SCALE = 2_000_000
 COVER_PERCENT = 80
@@ -126,36 +128,75 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(code, lang, a)``: occurrences of every word (``lang`` null) and of all words of every language
-    (``code`` null)."""
+def _dealt(slices: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``(bucket, codes, times)``: counts of the codes, dealt by code to buckets."""
+    tally = Tally()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for code, times, _ in tally.rows():
+            code, times = code.to_numpy().view(np.uint64), times.to_numpy()
+            bucket = (code % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(code) else np.zeros(0, np.int64)
+            ends = [*new[1:].tolist(), len(code)] if len(code) else []
+            cells = ([x[order][i:j].tobytes() for i, j in zip(new.tolist(), ends, strict=True)] for x in (code, times))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][new]), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "codes", "times"])
+
+    for code in slices:
+        distinct, _, times = _tallied(code, np.ones(len(code), np.int64))
+        tally.add(distinct, times, [])
+        if tally.full():
+            yield from out()
+    yield from out()
+
+
+def _counted(cells: DataFrame, least: int) -> DataFrame:
+    """``(code, a)`` of the codes that occur ``least`` times or more: a task adds up bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, totals = Tally(), Counter()
-        for _, _, code, _, langs in _word_slices(batches):
-            distinct, _, times = _tallied(code, np.ones(len(code), np.int64))
-            tally.add(distinct, times, [])
-            totals.update({v["values"]: v["counts"] for v in langs.value_counts().to_pylist()})
-            if tally.full():
-                yield from out(tally)
-        yield from out(tally)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["code", "lang", "times"])
+        tally, last = Tally(), None
+        for batch in batches:
+            for bucket, codes, times in zip(*(column(batch, c) for c in ("bucket", "codes", "times")), strict=True):
+                if last is not None and bucket.as_py() != last:
+                    yield from frequent(tally)
+                last = bucket.as_py()
+                tally.add(np.frombuffer(codes.as_buffer(), "<u8"), np.frombuffer(times.as_buffer(), "<i8"), [])
+        yield from frequent(tally)
+
+    def frequent(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, a, _ in tally.rows():
+            many = pa.array(a.to_numpy() >= least)
+            yield pa.RecordBatch.from_arrays([code.filter(many), a.filter(many)], ["code", "a"])
+
+    return cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "code long, a long")
 
-    def out(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, times, _ in tally.rows():
-            yield pa.RecordBatch.from_arrays([code, pa.nulls(len(code), pa.string()), times], ["code", "lang", "times"])
 
-    return _texts(docs).mapInArrow(run, "code long, lang string, times long").repartition("code", "lang").groupBy("code", "lang").agg(F.sum("times").alias("a"))
+CELLS = "bucket long, codes binary, times binary"
+
+
+def buckets_for(codes: int) -> int:
+    """So many that a bucket has at most about ``BUCKET_CODES`` codes."""
+    return 1 + codes // BUCKET_CODES
+
+
+def word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """``(code, a)`` of the frequent words."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = buckets_for(size // WORD_BYTES)
+    cells = _texts(docs).mapInArrow(lambda batches: _dealt((code for _, _, code, _, _ in _word_slices(batches)), buckets), CELLS)
+    return _counted(cells, least)
 
 
 def word_names(docs: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
-    """``(code, lang, word)`` of every frequent word."""
+    """``(code, lang, word, n)``: every frequent word, and without code the number ``n`` of all words
+    of a language."""
     few = few_codes(frequent, most)
     shared = docs.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes, or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally, totals = Tally(), Counter()
         for flat, span, code, _, langs in _word_slices(batches):
+            totals.update({v["values"]: v["counts"] for v in langs.value_counts().to_pylist()})
             distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
             if shared.value is not None:
                 known = _known(distinct, shared.value)
@@ -164,15 +205,19 @@ def word_names(docs: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
             if tally.full():
                 yield from out(tally)
         yield from out(tally)
+        n = len(totals)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(totals), pa.string()), pa.nulls(n, pa.string()), pa.array(list(totals.values()), pa.int64())], names)
 
     def out(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, _, more in tally.rows():
-            yield pa.RecordBatch.from_arrays([code, *more], ["code", "lang", "word"])
+        for code, times, more in tally.rows():
+            yield pa.RecordBatch.from_arrays([code, *more, times], names)
 
-    found = _texts(docs).mapInArrow(run, "code long, lang string, word string")
+    names = ["code", "lang", "word", "n"]
+    found = _texts(docs).mapInArrow(run, "code long, lang string, word string, n long")
     if few is None:
-        found = found.join(frequent.select("code"), "code", "leftsemi")
-    return found.groupBy("code").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+        asked = frequent.select("code").unionAll(frequent.sparkSession.createDataFrame([(None,)], "code long"))
+        found = found.join(asked.withColumnRenamed("code", "c"), F.col("code").eqNullSafe(F.col("c")), "leftsemi")
+    return found.groupBy("code", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
@@ -202,24 +247,12 @@ def _blocks(relation: DataFrame) -> DataFrame:
     return relation.filter(F.col("block").isNotNull()).select("block", "place", "codes")
 
 
-def longer_counts(relation: DataFrame) -> DataFrame:
-    """``(code, a)`` of every sequence that is a word longer than those of the relation."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for _, _, code, _, _ in _joined(batches):
-            distinct, _, times = _tallied(code, np.ones(len(code), np.int64))
-            tally.add(distinct, times, [])
-            if tally.full():
-                yield from out(tally)
-        yield from out(tally)
-
-    def out(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, times, _ in tally.rows():
-            yield pa.RecordBatch.from_arrays([code, times], ["code", "times"])
-
-    # Tasks hand on a code once per tally and most codes are rare, so a second map-side combine would only cost memory.
-    return _blocks(relation).mapInArrow(run, "code long, times long").repartition("code").groupBy("code").agg(F.sum("times").alias("a"))
+def longer_counts(relation: DataFrame, least: int) -> DataFrame:
+    """``(code, a)`` of the frequent sequences that are a word longer than those of the relation."""
+    blocks = _blocks(relation)
+    size = blocks.agg(F.sum(F.octet_length("codes")).alias("n")).first()["n"] or 0
+    buckets = buckets_for(size // 8)
+    return _counted(blocks.mapInArrow(lambda batches: _dealt((code for _, _, code, _, _ in _joined(batches)), buckets), CELLS), least)
 
 
 def longer_rows(relation: DataFrame) -> DataFrame:
@@ -348,7 +381,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def first_level(counts: DataFrame, names: DataFrame) -> DataFrame:
     """``C1``: frequent words ``(code, a, lang, phrase, last, heads, tails)``."""
-    found = counts.select("code", "a").join(names, "code")
+    found = counts.select("code", "a").join(names.drop("n"), "code")
     return found.select("code", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
 
 
@@ -378,13 +411,13 @@ def scored(counts: DataFrame, length: int) -> DataFrame:
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, most: int = MOST_BROADCAST) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``first`` phrases of each language."""
-    tallied = _written(word_counts(docs).filter(F.col("code").isNull() | (F.col("a") >= least)), "words")
-    total = tallied.filter(F.col("code").isNull()).select("lang", F.col("a").alias("n"))
-    words_of = tallied.filter(F.col("code").isNotNull())
-    counts = [_written(first_level(words_of, word_names(docs, words_of, most)), "level")]
+    words_of = _written(word_counts(docs, least), "words")
+    names = _written(word_names(docs, words_of, most), "names")
+    total = names.filter(F.col("code").isNull()).select("lang", "n")
+    counts = [_written(first_level(words_of, names), "level")]
     relation = _written(word_relation(docs, words_of, most), "occurrences")
     for _ in range(2, longest + 1):
-        frequent = _written(longer_counts(relation).filter(F.col("a") >= least), "frequent")
+        frequent = _written(longer_counts(relation, least), "frequent")
         relation = _written(longer_relation(relation, frequent, most), "occurrences")
         counts.append(_written(next_level(frequent, relation, counts[-1]), "level"))
     found = None
