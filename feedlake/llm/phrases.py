@@ -108,9 +108,17 @@ class Tally:
             self.held = []
 
 
+def _freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what Arrow keeps of a used one is given back to the system."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
     """Per block of text: (bytes, starts and ends of words, codes, places, language of each word)."""
-    for batch in text_slices(batches, limit=BLOCK_BYTES):
+    for batch in text_slices(_freeing(batches), limit=BLOCK_BYTES):
         raw, offsets = text_bytes(column(batch, "text"))
         flat = _TEXT[raw]
         found = words(flat, offsets)
@@ -155,7 +163,7 @@ def _counted(cells: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, last = Tally(), None
-        for batch in batches:
+        for batch in _freeing(batches):
             for bucket, codes, times in zip(*(column(batch, c) for c in ("bucket", "codes", "times")), strict=True):
                 if last is not None and bucket.as_py() != last:
                     yield from frequent(tally)
@@ -235,7 +243,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Merge-join of the packed blocks of a relation with themselves by the next place: (block,
     places, codes of the longer sequences, of their heads and of their tails)."""
-    for batch in batches:
+    for batch in _freeing(batches):
         for block, steps, codes in zip(*(column(batch, c) for c in ("block", "place", "codes")), strict=True):
             place, code = np.cumsum(np.frombuffer(steps.as_buffer(), "<i4"), dtype=np.int32), np.frombuffer(codes.as_buffer(), "<u8")
             at = np.flatnonzero(place[1:] == place[:-1] + 1)
