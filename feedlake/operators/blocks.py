@@ -261,12 +261,17 @@ def near_duplicate_vectors(
     """Pairs ``(a < b, similarity)`` of distinct vectors with similarity >= ``threshold``.
 
     Identical vectors are collapsed first to their smallest id (see ``vector_copies``), so a
-    large group of copies yields no pairs among itself."""
+    large group of copies yields no pairs among itself.  Positive cosine thresholds join through
+    pivots (``pivots.similar_points``), which leave out tiles that cannot hold a pair."""
     points = (
         df.filter(F.col(vec_col).isNotNull())
         .groupBy(F.col(vec_col).alias("__vec"))
         .agg(F.min(F.col(id_col).cast("long")).alias("vid"))
     )
+    if metric == "cosine" and threshold > 0:
+        from feedlake.operators.pivots import similar_points
+
+        return similar_points(points, "vid", "__vec", threshold, rows_per_block)
     return similar_pairs(points, "vid", "__vec", threshold, metric, rows_per_block)
 
 

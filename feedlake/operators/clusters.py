@@ -10,21 +10,116 @@ Labels equal those of a sequential DBSCAN that visits seeds in ``row_id`` order:
    among those neighbours; all other points are noise (-1).
 
 Every row is clustered (repeated texts count towards ``min_size``).
+
+The neighbour pairs of a dense topic grow with the square of its size, so they never leave their task.
+Tiles of vectors (see ``pivots``) are visited twice: first they emit one neighbour count per member,
+then, knowing the core points, a spanning forest of their core points and the core neighbours of the
+others, of which a point that is not core has fewer than ``min_size``.  Both are linear in the tile.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.operators.blocks import similar_pairs
 from feedlake.operators.components import connected_components
+from feedlake.operators.pivots import PointGrid, tile_sides
 from feedlake.operators.ranking import dense_index
 from feedlake.session import ensure_checkpoint_dir
 
 NOISE = -1
 
 
+def _neighbour_counts(eps: float):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """``(id, n)``: weight of the neighbours that each member has in the tile, itself left out."""
+        left, right, sims, one = tile_sides(key, rows)
+        near = 1.0 - sims <= eps
+        if one:
+            np.fill_diagonal(near, False)
+        ids, n = [left["id"].to_numpy()], [near @ right["weight"].to_numpy()]
+        if not one:
+            ids.append(right["id"].to_numpy())
+            n.append(left["weight"].to_numpy() @ near)
+        out = pd.DataFrame({"id": np.concatenate(ids), "n": np.concatenate(n)})
+        return out[out["n"] > 0]
+
+    return run
+
+
+def _spanning_stars(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest id of its component) of the graph between ``left`` and ``right`` ids."""
+    todo = near.any(1)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while todo.any():
+        rows, columns = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        fresh = np.zeros(len(left), bool)
+        fresh[todo.argmax()] = True
+        while fresh.any():
+            rows |= fresh
+            reached = near[fresh].any(0) & ~columns
+            columns |= reached
+            fresh = near[:, reached].any(1) & ~rows
+        todo &= ~rows
+        nodes = np.unique(np.concatenate([left[rows], right[columns]]))
+        a.append(nodes[1:])
+        b.append(np.full(len(nodes) - 1, nodes[0]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _core_edges(eps: float):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """``(p, q, border)``: stars of connected core points (weight 1); and for each other member its
+        core neighbours ``q``."""
+        left, right, sims, one = tile_sides(key, rows)
+        near = 1.0 - sims <= eps
+        lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
+        lcore, rcore = left["weight"].to_numpy() > 0, right["weight"].to_numpy() > 0
+        p, q = _spanning_stars(near[np.ix_(lcore, rcore)], lid[lcore], rid[rcore])
+        parts = [pd.DataFrame({"p": p, "q": q, "border": False})]
+        x, y = np.nonzero(near[np.ix_(~lcore, rcore)])
+        parts.append(pd.DataFrame({"p": lid[~lcore][x], "q": rid[rcore][y], "border": True}))
+        if not one:
+            x, y = np.nonzero(near[np.ix_(lcore, ~rcore)])
+            parts.append(pd.DataFrame({"p": rid[~rcore][y], "q": lid[lcore][x], "border": True}))
+        return pd.concat(parts)
+
+    return run
+
+
+def tile_edges(points: DataFrame, eps: float, min_size: int, rows_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """(core points ``row_id``, edges ``(p, q, border)``) of points ``(vid, embedding, mult)``, for ``eps`` under 1, where
+    a zero vector is a neighbour of its own copies only."""
+    some = points.filter(F.exists("embedding", lambda x: x != 0))
+    grid = PointGrid(some.select(F.col("vid").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("mult").alias("weight")), 1.0 - eps, rows_per_block)
+    spark = points.sparkSession
+    if grid.n:
+        counts = grid.tiles().applyInPandas(_neighbour_counts(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
+    else:
+        counts = spark.createDataFrame([], "id long, others long")
+    degree = points.select(F.col("vid").alias("id"), "mult").join(counts, "id", "left")
+    flagged = degree.select("id", (F.col("mult") + F.coalesce("others", F.lit(0)) >= min_size).cast("long").alias("weight")).checkpoint()
+    core = flagged.filter("weight = 1").select(F.col("id").alias("row_id"))
+    if not grid.n:
+        return core, spark.createDataFrame([], "p long, q long, border boolean")
+    return core, grid.tiles(flagged).applyInPandas(_core_edges(eps), "p long, q long, border boolean").checkpoint()
+
+
+def pair_edges(points: DataFrame, pairs: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
+    """The same from given neighbour pairs ``(a, b)``."""
+    mult = points.select("vid", "mult")
+    both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).union(pairs.select(F.col("b").alias("p"), F.col("a").alias("q"))).checkpoint()
+    nbr = both.join(mult.withColumnRenamed("vid", "q"), "q").groupBy("p").agg(F.sum("mult").alias("others"))
+    degree = mult.join(nbr.withColumnRenamed("p", "vid"), "vid", "left")
+    core = degree.filter(F.col("mult") + F.coalesce("others", F.lit(0)) >= min_size).select(F.col("vid").alias("row_id"))
+    to_core = both.join(core.withColumnRenamed("row_id", "q"), "q", "left_semi")
+    flag = core.select(F.col("row_id").alias("p"), F.lit(False).alias("no"))
+    return core, to_core.join(flag, "p", "left").select("p", "q", F.coalesce("no", F.lit(True)).alias("border"))
+
+
 def density_clusters(
     df: DataFrame,
     eps: float = 0.4,
@@ -51,22 +146,13 @@ def density_clusters(
         .agg(F.min("row_id").alias("vid"), F.count(F.lit(1)).alias("mult"))
         .checkpoint()
     )
-    mult = points.select("vid", "mult")
-    if candidates is None:
-        pairs = similar_pairs(points, "vid", "embedding", eps, "cosine", rows_per_block, by_distance=True).select("a", "b")
-    else:
-        pairs = candidates.select(F.col("a").cast("long"), F.col("b").cast("long"))
-    both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).union(pairs.select(F.col("b").alias("p"), F.col("a").alias("q")))
-    both = both.checkpoint()
-    # neighbours of a point: its own copies plus every copy of each neighbouring point
-    nbr = both.join(mult.withColumnRenamed("vid", "q"), "q").groupBy("p").agg(F.sum("mult").alias("others"))
-    degree = mult.join(nbr.withColumnRenamed("p", "vid"), "vid", "left").select(
-        "vid", (F.col("mult") + F.coalesce("others", F.lit(0))).alias("n_neighbours")
-    )
-    core = degree.filter(F.col("n_neighbours") >= min_size).select(F.col("vid").alias("row_id"))
-    core_edges = both.join(core.withColumnRenamed("row_id", "p"), "p", "left_semi").join(
-        core.withColumnRenamed("row_id", "q"), "q", "left_semi"
-    )
+    if candidates is not None:
+        core, edges = pair_edges(points, candidates.select(F.col("a").cast("long"), F.col("b").cast("long")), min_size)
+    elif eps < 1:
+        core, edges = tile_edges(points, eps, min_size, rows_per_block)
+    else:  # a zero vector is at distance 1 from all others, so distances say nothing about it
+        core, edges = pair_edges(points, similar_pairs(points, "vid", "embedding", eps, "cosine", rows_per_block, by_distance=True), min_size)
+    core_edges = edges.filter(~F.col("border"))
     comp = connected_components(core_edges, "p", "q")
     # core points without core neighbours are their own component
     core_root = core.join(comp.withColumnRenamed("node", "row_id"), "row_id", "left").select(
@@ -75,7 +161,7 @@ def density_clusters(
     numbered = dense_index(core_root, "root", "cluster")
     core_label = core_root.join(numbered, "root").select("row_id", "cluster")
     border = (
-        both.join(core.withColumnRenamed("row_id", "p"), "p", "left_anti")
+        edges.filter("border")
         .join(core_label.withColumnRenamed("row_id", "q"), "q")
         .groupBy(F.col("p").alias("row_id"))
         .agg(F.min("cluster").alias("border_cluster"))
