@@ -231,7 +231,9 @@ def knn(
     """Top-k corpus rows per query: ``(query_id, row_id, level, similarity, rank)``.
 
     ``queries`` has ``query_id, embedding``; ``corpus`` has ``row_id, embedding`` and
-    optionally ``level`` (carried along, so no join back to the corpus is needed).  Hits below
+    optionally ``level`` (carried along, so no join back to the corpus is needed).  More queries than
+    ``max_broadcast_queries`` are joined through pivots where the threshold is a positive cosine, and
+    block by block otherwise.  Hits below
     ``threshold`` are dropped before ranking; ``exclude_self`` drops ``row_id == query_id``.
     Rows without an embedding neither ask nor answer.  Ties are broken by ``row_id``.  Local candidates (at most k per query per task) are
     ranked globally with ``row_number``, which Spark limits per partition before the
@@ -240,6 +242,10 @@ def knn(
     cand = None
     if max_broadcast_queries:
         cand = knn_broadcast(queries, corpus, k, metric, threshold, exclude_self, max_broadcast_queries)
+    if cand is None and metric == "cosine" and threshold is not None and threshold > 0:
+        from feedlake.operators.pivots import knn_pivots
+
+        cand = knn_pivots(queries, _with_level(corpus), k, threshold, exclude_self, rows_per_block)
     if cand is None:
         cand = knn_blocked(queries, corpus, k, metric, threshold, exclude_self, rows_per_block)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("row_id"))

@@ -172,3 +172,65 @@ def similar_points(df: DataFrame, id_col: str, vec_col: str, threshold: float, r
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[x, y][keep]})
 
     return grid.tiles().applyInPandas(pairs, "a long, b long, similarity double")
+
+
+VISIT = ["qcell", "qpart", "cell", "part"]
+
+
+def knn_pivots(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, exclude_self: bool, rows_per_block: int) -> DataFrame:
+    """Candidates ``(query_id, row_id, level, similarity)`` that hold the ``k`` nearest corpus rows of every
+    query by cosine, of similarity ``threshold`` (above 0) or more.
+
+    A query first visits the cell of its nearest pivot.  Its ``k``-th similarity there, or the
+    threshold, bounds how far a better hit may be; then it visits only the cells that reach so near.
+    Queries of one cell travel together, so a part of the corpus is sent only to the groups of queries that may need it."""
+    spark = corpus.sparkSession
+    hits = "query_id long, row_id long, level int, similarity double"
+    some = F.exists("embedding", lambda x: x != 0)
+    points = corpus.filter(some).select(F.col("row_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("level").cast("long").alias("weight"))
+    grid = PointGrid(points, threshold, rows_per_block)
+    asked = queries.filter(some).select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0).cast("long").alias("weight"))
+    n = asked.count()
+    if not grid.n or not n:
+        return spark.createDataFrame([], hits)
+    placed, _, _ = place(asked, grid.pivots, n, rows_per_block)
+    mine = placed.select(F.col("id").alias("query_id"), "embedding", F.col("cell").alias("qcell"), F.col("part").alias("qpart"))
+
+    def top(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        from feedlake.operators.blocks import _local_topk
+
+        level = c["weight"].astype(object).where(c["weight"].notna(), None).to_numpy()
+        sims = matrix_of(q["embedding"]) @ matrix_of(c["embedding"]).T if len(q) and len(c) else np.zeros((len(q), len(c)))
+        return _local_topk(q["query_id"].to_numpy(np.int64), c["id"].to_numpy(np.int64), sims, k, threshold, exclude_self, level)
+
+    by_cell = F.array(*(F.lit(int(p)) for p in grid.parts))
+
+    def visit(to: DataFrame) -> DataFrame:
+        """Hits of queries ``(query_id, embedding, qcell, qpart, cell)`` in these cells."""
+        groups = to.select(F.col("qcell").alias("gcell"), F.col("qpart").alias("gpart"), F.col("cell").alias("wanted")).distinct()
+        side = grid.placed.join(groups, F.col("cell") == F.col("wanted"))
+        side = side.select("id", "embedding", "weight", F.col("gcell").alias("qcell"), F.col("gpart").alias("qpart"), F.col("cell").alias("cell"), F.col("part").alias("part"))
+        spread = to.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(by_cell, F.col("cell") + 1) - 1)))
+        return spread.groupBy(*VISIT).cogroup(side.groupBy(*VISIT)).applyInPandas(top, hits)
+
+    home = visit(mine.withColumn("cell", F.col("qcell"))).checkpoint()
+    found = home.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("similarity"), asc=False), k, 1).alias("kth"))
+    bound = found.select("query_id", F.get("kth", F.lit(0)).alias("bound"))
+    shared = spark.sparkContext.broadcast((grid.pivots, grid.radius))  # at most MOST_PIVOTS vectors
+
+    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, radius = shared.value
+        for rows in batches:
+            if not len(rows):
+                continue
+            unit = matrix_of(rows["embedding"])
+            reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.maximum(rows["bound"].fillna(threshold).to_numpy(), threshold)))
+            meets = (distances(unit, pivots) <= radius[None, :] + reach[:, None] + SLACK) & (radius >= 0)[None, :]
+            meets[np.arange(len(rows)), rows["qcell"].to_numpy()] = False
+            row, cell = np.nonzero(meets)
+            for at in range(0, len(row), 4096):
+                r = row[at : at + 4096]
+                yield pd.DataFrame({"query_id": rows["query_id"].to_numpy()[r], "embedding": list(unit[r]), "qcell": rows["qcell"].to_numpy()[r], "qpart": rows["qpart"].to_numpy()[r], "cell": cell[at : at + 4096].astype(np.int32)})
+
+    rest = mine.join(bound, "query_id", "left").mapInPandas(reachable, "query_id long, embedding array<double>, qcell int, qpart int, cell int").checkpoint()
+    return home.unionByName(visit(rest))

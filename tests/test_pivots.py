@@ -6,6 +6,7 @@ import pytest
 
 from feedlake.operators import clusters as C
 from feedlake.operators import pivots as P
+from feedlake.operators.blocks import knn
 from feedlake.operators.clusters import density_clusters
 
 
@@ -112,3 +113,19 @@ def test_empty_tables(spark):
     assert density_clusters(none, 0.3, 2).collect() == []
     counted = C._neighbour_counts(0.1)((0, 0, 1, 0), pd.DataFrame({"own": [True], "id": [1], "weight": [1], "embedding": [[1.0]]}))
     assert not len(counted)
+
+
+@pytest.mark.parametrize(("k", "threshold", "width"), [(1, 0.01, 0.5), (3, 0.2, 1.0), (5, 0.97, 0.05), (7, 0.5, 0.3)])
+def test_nearest_rows_equal_plain(spark, k, threshold, width):
+    v = clustered(np.random.default_rng(9), 5, 40, width)
+    v[3] = 0
+    v[10] = v[11]
+    corpus = spark.createDataFrame([(i, [float(x) for x in e], i % 4 or None) for i, e in enumerate(v)], "row_id long, embedding array<double>, level int").repartition(4)
+    queries = corpus.filter("row_id % 3 = 0").selectExpr("row_id as query_id", "embedding")
+    got = knn(queries, corpus, k=k, threshold=threshold, exclude_self=True, max_broadcast_queries=0, rows_per_block=16).collect()
+    sims = np.round(unit(v) @ unit(v).T, 12)
+    want = set()
+    for q in range(0, len(v), 3):
+        best = sorted((-sims[q, i], i) for i in range(len(v)) if i != q and sims[q, i] >= threshold)[:k]
+        want |= {(q, i, i % 4 or None, rank) for rank, (_, i) in enumerate(best, 1)}
+    assert {(r.query_id, r.row_id, r.level, r["rank"]) for r in got} == want and len(got) == len(want)
