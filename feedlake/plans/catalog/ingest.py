@@ -14,6 +14,7 @@ from feedlake.sources.embeddings import append_new_embeddings
 from feedlake.sources.history import HISTORY_SCHEMA, append_new_history
 from feedlake.sources.reports import write_report
 from feedlake.sources.tables import feedback, table
+from feedlake.streaming.first_seen import KEPT, first_seen_stream
 from feedlake.streaming.ingest import ingest_stream
 
 NOW = "2024-01-30 12:00:00"
@@ -104,6 +105,22 @@ def stream_ingest(spark, sf_dir):
     return spark.read.schema(HISTORY_SCHEMA).parquet(hist).select("text_hash", "level", "ts", "stored_at")
 
 
+@register(
+    "stream_first_seen",
+    f"""select text_hash, text, doc_id as place
+from (select {hash_sql('text')} as text_hash, text, doc_id,
+             row_number() over (partition by {hash_sql('text')} order by doc_id) as rn
+      from documents where regexp_matches(text, {NON_SPACE_SQL})) t where rn = 1""",
+    "I1 (state instead of a stored table)",
+)
+def stream_first_seen(spark, sf_dir):
+    """Documents arrive as a file stream; the stream's state knows the hashes seen so far."""
+    docs = table(spark, sf_dir, "documents")
+    out, ckpt = scratch_path(spark, "first-seen"), scratch_path(spark, "first-seen-ckpt")
+    first_seen_stream(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", docs.schema, out, ckpt, fmt="parquet", order="doc_id").awaitTermination()
+    return spark.read.schema(KEPT).parquet(out).select("text_hash", "text", "place")
+
+
 @register("csv_roundtrip", None, "A1 A6")
 def csv_roundtrip(spark, sf_dir):
     """Feedback rows written as a CSV report and read back through the CSV source."""
