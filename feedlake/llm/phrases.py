@@ -88,8 +88,6 @@ class Tally:
 
     def add(self, code: np.ndarray, times: np.ndarray, more: list[pa.Array]) -> None:
         self.held.append((code, times, more))
-        if len(self.held) > 8 and sum(len(h[0]) for h in self.held) > 2 * MOST_DISTINCT:
-            self.held = [self._one()]
 
     def _one(self) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
         code, times = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
@@ -98,7 +96,11 @@ class Tally:
         return distinct, total, [c.take(pa.array(at)) for c in columns]
 
     def full(self) -> bool:
-        return sum(len(h[0]) for h in self.held) > MOST_DISTINCT * (2 if len(self.held) > 1 else 1)
+        """Whether many distinct codes are held; adds equal ones up first."""
+        if sum(len(h[0]) for h in self.held) <= 2 * MOST_DISTINCT:
+            return False
+        self.held = [self._one()]
+        return len(self.held[0][0]) > MOST_DISTINCT
 
     def rows(self) -> Iterator[tuple[pa.Array, pa.Array, list[pa.Array]]]:
         """The counts so far: (codes, times, further columns)."""
