@@ -110,8 +110,9 @@ class ChunkEncoder:
                 at = first[i] + per_text[i]
                 per_text[i] = len(cut)
             which = np.concatenate([*pieces, which[at:]])
-        used, which = np.unique(which, return_inverse=True)
-        return which, [chunks[i] for i in used], per_text
+        held = np.zeros(len(chunks), bool)
+        held[which] = True
+        return (np.cumsum(held) - 1)[which], [chunks[i] for i in np.flatnonzero(held).tolist()], per_text
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):

@@ -30,16 +30,33 @@ from feedlake.llm.chunks import ChunkEncoder
 from feedlake.llm.vocab import library_encoder, load_tokenizer
 
 BLOCK_IDS = 1 << 16
+PLAIN_WIDTHS = {8: "u1", 16: "<u2", 32: "<u4"}
 BLOCKS = "shard int, block int, start long, n_ids int, width int, payload binary, first_doc long, last_doc long, doc_ids array<long>, parts array<int>, counts array<int>"
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    bits = (ids.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)).astype(np.uint8) & 1
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+    """Ids in ``width`` bits each (at most 57).  Widths of whole machine words are plain little-endian
+    arrays.  Otherwise each id is shifted to its place in a 64-bit word, and the ids that begin in a word
+    are added up, as are their ends in the next one: their bits do not meet."""
+    if width in PLAIN_WIDTHS:
+        return ids.astype(PLAIN_WIDTHS[width]).tobytes()
+    if not len(ids):
+        return b""
+    bit = np.arange(len(ids), dtype=np.int64) * width
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    value = ids.astype(np.uint64)
+    begin = np.flatnonzero(np.diff(word, prepend=-1))  # an id begins in every word but perhaps the last
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[: len(begin)] = np.add.reduceat(value << shift, begin)
+    over = np.flatnonzero(shift + np.uint64(width) > 64)  # at most one id of a word
+    out[word[over] + 1] += value[over] >> (np.uint64(64) - shift[over])
+    return out.astype("<u8").tobytes()[: len(ids) * width + 7 >> 3]
 
 
 def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
     """Ids ``start .. start + n - 1`` of a block, without touching the rest (width <= 57)."""
+    if width in PLAIN_WIDTHS:
+        return np.frombuffer(payload, PLAIN_WIDTHS[width], n, start * width // 8).astype(np.uint32)
     bit = np.arange(start, start + n, dtype=np.int64) * width
     low = int(bit[0]) >> 3 if n else 0
     raw = np.frombuffer(payload[low : (int(bit[-1]) + width + 7 >> 3) if n else 0] + b"\0" * 8, np.uint8)
@@ -85,10 +102,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
         for batch in text_slices(batches):
             flat, n = encoder(tokenizer).encode(column(batch, "text"))
+            ends = np.cumsum(n)
+            flat = np.insert(flat, ends, np.uint32(end_id))
+            ends += np.arange(1, len(ends) + 1)
             at = 0
-            for doc, m in zip(column(batch, "doc_id").to_pylist(), n.tolist(), strict=True):
-                ids = np.append(flat[at : at + m], np.uint32(end_id))
-                at += m
+            for doc, end in zip(column(batch, "doc_id").to_pylist(), ends.tolist(), strict=True):
+                ids = flat[at:end]
+                at = end
                 if held and size + len(ids) > block_ids:
                     yield flush()
                 for part, a in enumerate(range(0, len(ids), block_ids)):
@@ -136,14 +156,18 @@ def read_parts(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
                 begins = np.cumsum(counts) - counts
                 names, parts = get("doc_ids"), get("parts")
                 keep = [i for i, d in enumerate(names) if wanted is None or d in wanted]
-                lists = [unpack(payload, width, int(begins[i]), int(counts[i])) for i in keep]
+                if wanted is None:
+                    whole = unpack(payload, width, 0, int(counts.sum())).astype("<u4", copy=False)
+                    lists = np.split(whole, begins[1:])
+                else:
+                    lists = [unpack(payload, width, int(begins[i]), int(counts[i])).astype("<u4", copy=False) for i in keep]
                 cols = [
                     pa.array([names[i] for i in keep], pa.int64()),
                     pa.array([shard] * len(keep), pa.int32()),
                     pa.array([parts[i] for i in keep], pa.int32()),
                     pa.array(base + begins[keep], pa.int64()),
                     pa.array(counts[keep], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in lists], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in lists], pa.int64()),
                 ]
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())))

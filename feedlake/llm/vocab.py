@@ -76,14 +76,20 @@ def library_encoder(name: str, end_of_word: bool):
         if len(pieces) > PIECE_ENTRIES:
             pieces.clear()
         for i, c in enumerate(chunks):
+            if not c:
+                continue
             if not (c.isascii() or PLAIN.fullmatch(c)) or ("<" in c and any(s in c for s in special)):
                 rest.append(i)
                 continue
             ids = b""
-            for p in split(c.lower() if end_of_word else c):
+            if end_of_word:
+                c = c.lower()
+            # letters, or a space and letters, are one word of the pattern
+            for p in (c,) if c.isalpha() or (c[0] == " " and c[1:].isalpha() and not end_of_word) else split(c):
                 found = pieces.get(p)
                 if found is None:
-                    symbols = p.encode().decode("latin-1").translate(SYMBOL_TABLE)
+                    plain = p.isascii() and p.isprintable()  # of these only the space has another symbol
+                    symbols = p.replace(" ", SYMBOL[32]) if plain else p.encode().decode("latin-1").translate(SYMBOL_TABLE)
                     found = pieces[p] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
                 ids += found
             out[i] = ids
