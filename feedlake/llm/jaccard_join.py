@@ -16,12 +16,19 @@ have a Jaccard similarity of ``percent`` or more, and returns the components of
 3. Rounds of few pairs: every document proposes at most ``PROPOSALS`` neighbours in an order of
    its blocks that differs from block to block, in later rounds only neighbours from other
    components.  Vector bound, then exact comparison; the links found join most of a block.
-4. Exact for the rest: in blocks that still hold several components, an R-tree over the count
-   vectors (leaves packed by set size, nodes with coordinate maxima) finds every pair of different
-   components that the bound lets through, and these are compared.
-
-The rounds only spare work, step 4 loses no link.  It forms no pair inside a component, so a
-group of near copies costs about its size, not its square.  Documents without words have the empty set, which links with nothing; rows without
+4. Exact for the rest: in blocks that still hold several components (one of those with the same members),
+   an R-tree over the count vectors (leaves packed by set size, nodes with coordinate maxima) finds every
+   pair of different components that the bound lets through.  A second bound, the bits in which the
+   parities of finer group counts differ, never more than the elements that only one set holds, leaves
+   the pairs near the threshold, and these are compared.
+5. A large block in which more than ``DENSE`` pairs a member are left (pages of one template, just under
+   the threshold) hands on its members instead of its pairs.  They are dealt by size band and salt into parts of
+   about ``PART`` sets; each pair of parts that may link is a tile, compared whole in one task, and
+   only links that join components leave it.
+
+The rounds only spare work, steps 4 and 5 lose no link.  No step forms a pair inside a component, and
+none writes more than ``DENSE`` rows for a member of a large block, so a group of near copies costs rows in proportion
+to its size; the comparisons inside the tiles of a dense block still grow with its square.  Documents without words have the empty set, which links with nothing; rows without
 id are compared with nothing and get no component; an id that repeats with the same text is one
 document reported once per row.
 """
@@ -45,6 +52,8 @@ LEAF, FANOUT = 16, 16
 NO_BOUND = 1 << 20
 LARGE = 64
 PROPOSALS, ROUNDS = 8, 2
+DENSE, PART = 8, 1024
+COLUMNS = 2048
 BUFFER_ROWS = 100_000
 
 
@@ -94,8 +103,8 @@ def _sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document: ``n`` shingles, a 128-bit hash of the set (``s1``, ``s2``) and the
-    count vector; and rows with null ``vector``: shingles (``s1``) that ``n`` documents of one
+    """One row per document: ``n`` shingles, a 128-bit hash of the set (``s1``, ``s2``), the
+    count vector and the parities of four times as many groups; and rows with null ``vector``: shingles (``s1``) that ``n`` documents of one
     slice share, where these are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,18 +117,20 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             begin = np.cumsum(width) - width
             vector = np.bincount(begin[owner] + (code >> np.uint64(7)).astype(np.int64) % width[owner], minlength=int(width.sum()))
             packed = np.minimum(vector, 255).astype(np.uint8)
+            place = 4 * begin[owner] + (code >> np.uint64(23)).astype(np.int64) % (4 * width[owner])
+            parity = np.packbits(np.bincount(place, minlength=4 * int(width.sum())).astype(np.uint8) & 1, bitorder="little")
             s1, s2 = _sums(mix(code), first), _sums(mix(code ^ np.uint64(0x5851F42D4C957F2D)), first)
-            yield _signature_rows(column(batch, "doc_id"), n, s1, s2, pa.array([packed[a : a + m].tobytes() for a, m in zip(begin, width, strict=True)], pa.binary()))
+            yield _signature_rows(column(batch, "doc_id"), n, s1, s2, *(pa.array([x[a : a + m].tobytes() for a, m in zip(at, size, strict=True)], pa.binary()) for x, at, size in ((packed, begin, width), (parity, begin // 2, width // 2))))
             shared, times = np.unique(code, return_counts=True)
             many = times >= max(8, rows // 100)
             shared, times = shared[many], times[many]
-            yield _signature_rows(pa.nulls(len(shared), pa.int64()), times, shared, shared, pa.nulls(len(shared), pa.binary()))
+            yield _signature_rows(pa.nulls(len(shared), pa.int64()), times, shared, shared, pa.nulls(len(shared), pa.binary()), pa.nulls(len(shared), pa.binary()))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, vector binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, vector binary, parity binary")
 
 
-def _signature_rows(ids, n, s1, s2, vector) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), vector], ["doc_id", "n", "s1", "s2", "vector"])
+def _signature_rows(ids, n, s1, s2, vector, parity) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), vector, parity], ["doc_id", "n", "s1", "s2", "vector", "parity"])
 
 
 def keys(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
@@ -242,14 +253,21 @@ def few_or_shuffled(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose sets link, compared shingle by shingle."""
+def shingle_codes(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, codes)``: the shingle hashes, ascending, of the documents among ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=2 << 20):
             code, first = shingle_sets(column(batch, "text"), k)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([code[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "codes"])
 
+    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return known.join(few_or_shuffled(ids), "doc_id", "leftsemi").mapInArrow(sets, "doc_id long, codes binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose sets link, compared shingle by shingle."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -260,8 +278,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(mask), column(batch, "b").filter(mask)], ["a", "b"])
 
-    ids = few_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "leftsemi").mapInArrow(sets, "doc_id long, codes binary")
+    own = shingle_codes(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     joined = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("codes").alias("ca")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("codes").alias("cb")), "b")
     return joined.select("a", "b", "ca", "cb").mapInArrow(compare, "a long, b long")
 
@@ -356,9 +373,30 @@ def bounded_points(pairs: np.ndarray, n: np.ndarray, vectors: list[bytes], perce
     return np.concatenate(out)
 
 
+def parity_allows(pairs: np.ndarray, n: np.ndarray, parities: list[bytes], percent: int) -> np.ndarray:
+    """The pairs of points whose parities differ in no more bits than the sets of a link differ in
+    elements.  A wider parity is folded to the other one's width."""
+    width = group_count(n)
+    least = np.minimum(width[pairs[:, 0]], width[pairs[:, 1]])
+    out = [np.zeros((0, 2), np.int64)]
+    for w in np.unique(least).tolist():
+        some = pairs[least == w]
+        used, place = np.unique(some, return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(parities[i], np.uint8).reshape(-1, w // 2), 0) for i in used]).view(np.uint64)
+        place = place.reshape(-1, 2)
+        step = max(1, (1 << 22) // w)
+        for at in range(0, len(some), step):
+            x, y = place[at : at + step].T
+            differ = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64)
+            out.append(some[at : at + step][(100 + percent) * differ <= (100 - percent) * (n[used[x]] + n[used[y]])])
+    return np.concatenate(out)
+
+
 def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a block that the bound lets through.  ``members``:
-    ``(key, doc_id, n, comp, vector)``.  Small blocks are paired many at a time, and a pair that
+    """``(a, b, dense)``: pairs of different components in a block that both bounds let through, or,
+    where a large block has more than ``DENSE`` of them for a member, one row per member ``b`` that is in
+    any, under the name ``a`` of the least of these.  ``members``: ``(key, doc_id, n, comp, vector,
+    parity)``.  Small blocks are paired many at a time, and a pair that
     several blocks propose is bounded once; large ones get trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,21 +417,107 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
             return
         key, doc, n, comp = (table[c].to_numpy().astype(np.int64) for c in ("key", "doc_id", "n", "comp"))
         names, first, point = np.unique(doc, return_index=True, return_inverse=True)
-        vectors = table["vector"].take(pa.array(first)).to_pylist()
+        vectors, parities = (table[c].take(pa.array(first)).to_pylist() for c in ("vector", "parity"))
+        size_of = n[first]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([begin, [len(key)]]))
         group = np.repeat(np.arange(len(begin)), size)
-        pairs = [bounded_points(small_block_pairs(group, size, n, comp, point, percent), n[first], vectors, percent)]
+        small = bounded_points(small_block_pairs(group, size, n, comp, point, percent), size_of, vectors, percent)
+        pairs, dense = [parity_allows(small, size_of, parities, percent)], [np.zeros((0, 2), np.int64)]
         for a, m in zip(begin[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
-            own = point[a : a + m]
+            own, some, many = point[a : a + m], [np.zeros((0, 2), np.int64)], 0
+            in_any = np.zeros(m, bool)
+            place = np.full(len(names), -1)
+            place[own] = np.arange(m)
             for i, hits in block_pairs(n[a : a + m], comp[a : a + m], [vectors[p] for p in own], percent):
                 x, y = np.full(len(hits), own[i]), own[hits]
-                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        both = np.unique(np.concatenate(pairs), axis=0)
-        if len(both):
-            yield pa.RecordBatch.from_arrays([pa.array(names[both[:, 0]]), pa.array(names[both[:, 1]])], ["a", "b"])
-
-    return members.repartition("key").sortWithinPartitions("key", "n", "doc_id").select("key", "doc_id", "n", "comp", "vector").mapInArrow(run, "a long, b long")
+                both = parity_allows(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), size_of, parities, percent)
+                in_any[place[both.reshape(-1)]] = True
+                many += len(both)
+                if many <= DENSE * m:
+                    some.append(both)
+                else:
+                    some = some[:1]
+            if many <= DENSE * m:
+                pairs += some
+            else:
+                hot = own[in_any]
+                dense.append(np.stack([np.full(len(hot), hot.min()), hot], 1))
+        for rows, is_dense in ((pairs, False), (dense, True)):
+            both = np.unique(np.concatenate(rows), axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(names[both[:, 0]]), pa.array(names[both[:, 1]]), pa.array(np.full(len(both), is_dense))], ["a", "b", "dense"])
+
+    ordered = members.repartition("key").sortWithinPartitions("key", "n", "doc_id")
+    return ordered.select("key", "doc_id", "n", "comp", "vector", "parity").mapInArrow(run, "a long, b long, dense boolean")
+
+
+def tiles(groups: DataFrame, percent: int, part: int = PART) -> DataFrame:
+    """``(grp, band, salt, other_band, other_salt, side, doc_id, n, comp)`` from ``(grp, doc_id, n, comp)``: every
+    member once in each tile of its part.  Sizes of a band differ by less than a link allows, so
+    a part meets the parts of its own band and the next one."""
+    banded = groups.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(percent, 99))) + F.lit(1e-9)).cast("int"))
+    parts = banded.groupBy("grp", "band").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    near = lambda step, name: parts.select("grp", (F.col("band") + step).alias("band"), F.col("parts").alias(name))
+    dealt = banded.join(parts, ["grp", "band"]).join(near(-1, "above"), ["grp", "band"], "left").join(near(1, "below"), ["grp", "band"], "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    tile = lambda a, b, c, d, side: F.struct(a.alias("band"), b.alias("salt"), c.alias("other_band"), d.alias("other_salt"), F.lit(side).alias("side"))
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    band, salt_, next_, last = F.col("band"), F.col("salt"), F.col("band") + 1, F.col("band") - 1
+    same = F.transform(upto(F.col("parts")), lambda x: tile(band, F.least(salt_, x), band, F.greatest(salt_, x), 0).withField("side", F.when(salt_ <= x, 0).otherwise(1)))
+    up = F.transform(upto(F.col("above")), lambda x: tile(band, salt_, next_, x, 0))
+    down = F.transform(upto(F.col("below")), lambda x: tile(last, x, band, salt_, 1))
+    spread_ = dealt.withColumn("salt", salt).withColumn("tile", F.explode(F.concat(same, up, down)))
+    return spread_.select("grp", "tile.*", "doc_id", "n", "comp")
+
+
+def tile_links(side: np.ndarray, n: np.ndarray, comp: np.ndarray, codes: list[np.ndarray], whole: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between the sides of a tile (with ``whole``: between all of it) that join its components, at most
+    one less than it has components.  Overlaps are counted exactly, ``COLUMNS`` shingles at a time."""
+    left, right = (np.arange(len(n)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    owner = np.repeat(np.arange(len(n)), [len(c) for c in codes])
+    _, code, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    owner, code = owner[shared], (np.cumsum(times > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((len(left), len(right)), np.float32)  # counts far below 2**24
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [at, at + COLUMNS])
+        held = np.zeros((len(n), COLUMNS), np.float32)
+        held[owner[a:b], code[a:b] - at] = 1
+        both += held[left] @ held[right].T
+    link = ((100 + percent) * both.astype(np.int64) >= percent * (n[left][:, None] + n[right][None, :])) & (comp[left][:, None] != comp[right][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(link), strict=True):
+        x, y = find(int(comp[left[i]])), find(int(comp[right[j]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def dense_links(groups: DataFrame, docs: DataFrame, k: int, percent: int, part: int = PART) -> DataFrame:
+    """Links ``(a, b)`` that join the components of each group ``(grp, doc_id, n, comp)``."""
+    by = ["grp", "band", "salt", "other_band", "other_salt"]
+    own = shingle_codes(docs, groups.select("doc_id").distinct(), k)
+    placed = tiles(groups, percent, part).join(own, "doc_id")
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, n, comp, side = (table[c].to_numpy().astype(np.int64) for c in ("doc_id", "n", "comp", "side"))
+        whole = table["band"][0] == table["other_band"][0] and table["salt"][0] == table["other_salt"][0]
+        found = tile_links(side, n, comp, [np.frombuffer(c.as_buffer(), np.uint64) for c in table["codes"].combine_chunks()], whole, percent)
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": doc[ends].min(1, initial=1 << 62) if len(ends) else doc[:0], "b": doc[ends].max(1, initial=-1 << 62) if len(ends) else doc[:0]})
+
+    return placed.groupBy(*by).applyInArrow(run, "a long, b long")
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -423,11 +547,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = verified(_written(bounded(proposed(ask("before").unionAll(ask("leader"))), own, percent), "pairs"), docs, k, percent)
     near = _written(connected_components(links.unionAll(same)), "components")
 
-    def members() -> DataFrame:
-        """Members of the blocks that hold several components."""
+    def members(once: bool = False) -> DataFrame:
+        """Members of the blocks that hold several components; with ``once``, one of the blocks that
+        hold the same documents (by number and a 128-bit hash of the ids)."""
         comp = F.coalesce("root", "doc_id").alias("comp")
         placed = block.select("key", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", comp)
-        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
+        ids = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)] if once else []
+        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), *ids).filter("x != y")
+        split = split.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key") if once else split.select("key")
         return placed.join(split, "key")
 
     for number in range(ROUNDS):
@@ -438,8 +565,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         known = near.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")
         near = _written(connected_components(known.unionAll(more)), "components")
 
-    left = members().join(own.select("doc_id", "vector"), "doc_id")
-    rest = verified(_written(rest_pairs(left, percent).distinct(), "pairs"), docs, k, percent)
+    left = members(once=True).join(own.select("doc_id", "vector", "parity"), "doc_id")
+    pairs = _written(rest_pairs(left, percent).distinct(), "pairs")
+    rest = verified(pairs.filter("not dense").select("a", "b"), docs, k, percent)
+    hot = pairs.filter("dense").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
+    if not hot.isEmpty():
+        comps = hot.join(own.select("doc_id", "n"), "doc_id").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rest = rest.unionAll(dense_links(comps.select("grp", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp")), docs, k, percent))
 
     edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b").unionAll(rest)
     roots = connected_components(edges).withColumnRenamed("node", "doc_id")

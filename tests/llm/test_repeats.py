@@ -95,6 +95,78 @@ def test_block_pairs_lose_no_link():
     assert len(proposed) < 300
 
 
+def template_pages(number: int) -> list[tuple[int, str]]:
+    """Pages of one template: 200 words of it, then 26 to 29 own ones (similarity of about 0.78), and every 25th
+    page is a near copy of the one before with an own word changed."""
+    rng = random.Random(number)
+    rows = []
+    for i in range(number):
+        own = [f"own{i}x{j}" for j in range(26 + i % 4)]
+        if i % 25 == 24:
+            own = [*rows[-1][1].split()[200:], f"last{i}"]
+        rows.append((rng.randrange(10) + 10 * i, " ".join([f"t{j}" for j in range(200)] + own)))
+    return rows
+
+
+def test_dense_block_rows_grow_with_its_members(shipped):
+    """A block of pages just under the threshold: its members leave the task, not its pairs, and
+    the tiles give exactly the links."""
+    for number in (150, 300):
+        df = shipped.createDataFrame(template_pages(number), "doc_id long, text string").repartition(3)
+        signed = jaccard_join.signatures(df, 5).filter("vector is not null")
+        members = signed.select(F.lit(1).cast("long").alias("key"), "doc_id", F.col("n").cast("long").alias("n"), F.col("doc_id").alias("comp"), "vector", "parity")
+        rows = jaccard_join.rest_pairs(members, 80).collect()
+        assert {r["dense"] for r in rows} == {True} and len(rows) <= number
+        groups = members.join(shipped.createDataFrame(rows).select(F.col("a").alias("grp"), F.col("b").alias("doc_id")), "doc_id").select("grp", "doc_id", "n", "comp")
+        for part in (40, 1024):
+            links = sorted((r["a"], r["b"]) for r in jaccard_join.dense_links(groups, df, 5, 80, part).collect())
+            texts = sorted(texts_of(df).items())
+            assert links == [(texts[i - 1][0], texts[i][0]) for i in range(24, number, 25)]
+
+
+def test_template_pages_through_the_join(shipped):
+    df = shipped.createDataFrame(template_pages(200), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute.jaccard_rows(texts_of(df))
+
+
+def test_tiles_meet_every_pair_of_fitting_sizes_once(shipped):
+    sizes = [1, 2, 3, 4, 5, 6, 80, 99, 100, 101, 124, 125, 126, 156, 157, 1000, 1250, 1251] * 3
+    rows = [(7, i, n, i) for i, n in enumerate(sizes)]
+    df = jaccard_join.tiles(shipped.createDataFrame(rows, "grp long, doc_id long, n long, comp long"), 80, part=4)
+    met: dict = {}
+    for r in df.collect():
+        met.setdefault(tuple(r)[:5], ([], []))[r["side"]].append(r["doc_id"])
+    pairs = []
+    for (_, band, salt, other, salt2), (left, right) in met.items():
+        if (band, salt) == (other, salt2):
+            assert not right
+            pairs += [frozenset((a, b)) for i, a in enumerate(left) for b in left[:i]]
+        else:
+            pairs += [frozenset((a, b)) for a in left for b in right]
+    assert len(pairs) == len(set(pairs))
+    fitting = {frozenset((i, j)) for i in range(len(sizes)) for j in range(i) if 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])}
+    assert fitting <= set(pairs)
+
+
+def test_parities_lose_no_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in rng.integers(50, 3000, 40):
+        base = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        sets += [base, np.unique(np.concatenate([base[: int(len(base) * 0.9)], rng.integers(0, 1 << 62, size // 9).astype(np.uint64)]))]
+    n = np.array([len(s) for s in sets], np.int64)
+    bits = [4 * int(w) for w in jaccard_join.group_count(n)]
+    parities = [np.packbits(np.bincount((s >> np.uint64(23)).astype(np.int64) % b, minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes() for s, b in zip(sets, bits, strict=True)]
+    pairs = np.array([(j, i) for i in range(len(sets)) for j in range(i) if 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])])
+    kept = {tuple(p) for p in jaccard_join.parity_allows(pairs, n, parities, 80).tolist()}
+    for j, i in pairs.tolist():
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 80 * (n[i] + n[j] - both):
+            assert (j, i) in kept
+    assert len(kept) < 80
+
+
 def test_null_and_repeated_ids(shipped):
     words = " ".join(f"w{i}" for i in range(60))
     df = shipped.createDataFrame([(None, words), (None, words), (7, words), (7, words), (8, words), (9, None)], "doc_id long, text string")
