@@ -22,7 +22,7 @@ from feedlake.operators import trends as T
 from feedlake.operators.categories import categorize, category_counts, category_entries
 from feedlake.operators.clusters import cluster_samples, cluster_sizes, cluster_summary, density_clusters
 from feedlake.operators.encode import Encoder, encode
-from feedlake.operators.filters import between_dates, first_rows, level_bounds, match, non_blank
+from feedlake.operators.filters import between_dates, first_rows, level_bounds, match, non_blank, two_clock_range
 from feedlake.operators.search import reference_row, search
 from feedlake.sources.history import read_history
 from feedlake.sources.reports import ensure_csv_suffix, report_name, write_category_report, write_report
@@ -241,3 +241,19 @@ def compare(df: DataFrame, p1_start: str, p1_end: str, p2_start: str, p2_end: st
     if level:
         out["level_share"] = T.compare_level_share(c, p1, p2)
     return Result(out)
+
+
+def _stored(hist: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """The history rows that a date range may need, as records; no sort and no hidden limit."""
+    return two_clock_range(hist, start, end, "ts", "stored_at").select("text", "level", "ts")
+
+
+def trends_of_history(hist: DataFrame, start: str | None = None, end: str | None = None, period: str = "month", compare: bool = False) -> Result:
+    """``trends`` over the long-term table instead of the current one."""
+    return trends(_stored(hist, start, end), start, end, period, compare)
+
+
+def compare_of_history(hist: DataFrame, p1_start: str, p1_end: str, p2_start: str, p2_end: str) -> Result:
+    """``compare`` over the long-term table; only rows between the first and the last date are read."""
+    dates = (p1_start, p1_end, p2_start, p2_end)
+    return compare(_stored(hist, min(dates), max(dates)), *dates)
