@@ -15,7 +15,7 @@ have a Jaccard similarity of ``percent`` or more, and returns the components of
    of all documents that hold enough other text.
 3. Rounds of few pairs: every document proposes at most ``PROPOSALS`` neighbours in an order of
    its blocks that differs from block to block, in later rounds only neighbours from other
-   components.  Vector bound, then exact comparison; the links found join most of a block.
+   components.  Parity bound (see 4), then exact comparison; the links found join most of a block.
 4. Exact for the rest: in blocks that still hold several components (one of those with the same members),
    an R-tree over the count vectors (leaves packed by set size, nodes with coordinate maxima) finds every
    pair of different components that the bound lets through.  A second bound, the bits in which the
@@ -219,22 +219,19 @@ def _bound_ok(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perc
     return (100 + percent) * np.minimum(a, b).sum(-1, dtype=np.int64) >= percent * (na + nb)
 
 
-def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose vectors allow a link."""
-    side = lambda c: vectors.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("vector").alias(f"v{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
+def bounded(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose parities allow a link: half the bytes of the count vectors, and few
+    pairs that do not link pass."""
+    side = lambda c: signed.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            va, vb = (column(batch, c).to_pylist() for c in ("va", "vb"))
-            na, nb = (column(batch, c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            width = np.minimum(group_count(na), group_count(nb))
-            keep = []
-            for w in np.unique(width).tolist():
-                for some in np.array_split(np.flatnonzero(width == w), -(-int((width == w).sum()) * w // (1 << 21))):
-                    x, y = (folded([v[i] for i in some], w) for v in (va, vb))
-                    keep.append(some[_bound_ok(x, y, na[some], nb[some], percent)])
-            at = pa.array(np.sort(np.concatenate(keep)) if keep else np.zeros(0, np.int64))
+            rows = batch.num_rows
+            n = np.concatenate([column(batch, c).to_numpy().astype(np.int64) for c in ("na", "nb")])
+            parities = [*column(batch, "pa").to_pylist(), *column(batch, "pb").to_pylist()]
+            both = np.stack([np.arange(rows), np.arange(rows) + rows], 1)
+            at = pa.array(np.sort(parity_allows(both, n, parities, percent)[:, 0]))
             yield pa.RecordBatch.from_arrays([column(batch, "a").take(at), column(batch, "b").take(at)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
