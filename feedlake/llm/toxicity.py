@@ -14,7 +14,9 @@ those rows: buckets that occur in at least ``MIN_DOCS`` texts and have the stron
 
 Null and empty texts have no feature and get the score of the intercept.  Labels that are null
 or not 0 or 1 are skipped; with one label or none in the training rows the score is the smoothed
-share of label 1 (0 without any row).  Repeated rows count as often as they occur.
+share of label 1 (0 without any row).  Rows of ``documents`` or ``labels`` that repeat train once; an id
+that names several texts trains with each of them, one with both labels under both, and ``max_rows``
+holds for the rows that result, so it bounds what the fitting task reads.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.llm.arrow_text import column, gram_codes, mix, text_slices
@@ -134,15 +136,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = [usable.filter(F.col("label") == k).orderBy(order, "doc_id").limit(max_rows) for k in (0, 1)]
+    chosen = [usable.filter(F.col("label") == k).distinct().orderBy(order, "doc_id").limit(max_rows) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * max_rows rows at most
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(few, "doc_id").select("label", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(few, "doc_id")
+    rows = rows.select("label", order.alias("place"), F.xxhash64("text", F.length("text")).alias("mark"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=1 << 20):
             owner, bucket = presence(_texts(batch, "text"))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([column(batch, "label"), pa.ListArray.from_arrays(cut, bucket.astype(np.int32))], ["label", "bucket"])
+            lists = pa.ListArray.from_arrays(cut, bucket.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("label", "place", "mark")), lists], ["label", "place", "mark", "bucket"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, owner, bucket, at = [], [], [], 0
@@ -156,7 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             m = fit(np.concatenate(owner), np.concatenate(bucket), np.concatenate(label).astype(np.int64))
             yield pa.RecordBatch.from_pylist([{"bucket": m.bucket.tolist(), "weight": m.weight.tolist(), "intercept": m.intercept}], schema=pa.schema([("bucket", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("intercept", pa.float64())]))
 
-    fitted = rows.mapInArrow(features, "label int, bucket array<int>").repartition(1).mapInArrow(learn, "bucket array<int>, weight array<double>, intercept double").collect()
+    found = rows.mapInArrow(features, "label int, place long, mark long, bucket array<int>")
+    once = found.groupBy("label", "place", "mark").agg(F.first("bucket").alias("bucket"))
+    turn = Window.partitionBy("label").orderBy("place", "mark")
+    bounded = once.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= max_rows)
+    ordered = bounded.repartition(1).sortWithinPartitions("label", "turn").select("label", "bucket")
+    fitted = ordered.mapInArrow(learn, "bucket array<int>, weight array<double>, intercept double").collect()
     if not fitted:
         return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
     return Model(np.array(fitted[0]["bucket"], np.int64), np.array(fitted[0]["weight"]), fitted[0]["intercept"])

@@ -70,6 +70,61 @@ def test_held_out_rows_do_not_train(shipped):
     assert scores[0][1] > 0.5 > scores[0][2]
 
 
+def plain_model(rows):
+    """Ratios and fit of (text, label) rows with dictionaries: every row a list of its n-grams' buckets."""
+    sets = []
+    for text, _ in rows:
+        owner, bucket = toxicity.presence([toxicity.plain(text)])
+        assert not owner.any()
+        sets.append(set(bucket.tolist()))
+    label = [y for _, y in rows]
+    toxic, rest = sum(label), len(label) - sum(label)
+    held = {}
+    for s, y in zip(sets, label, strict=True):
+        for b in s:
+            held.setdefault(b, [0, 0])[y] += 1
+    ratio = {b: np.log((n[1] + 1) / (toxic + 2)) - np.log((n[0] + 1) / (rest + 2)) for b, n in held.items()}
+    ratio = {b: r for b, r in ratio.items() if sum(held[b]) >= toxicity.MIN_DOCS and abs(r) >= toxicity.MIN_RATIO}
+    names = sorted(ratio)
+    x = np.array([[ratio[b] if b in s else 0.0 for b in names] for s in sets])
+    y, share = np.array(label), np.where(np.array(label) == 1, len(label) / (2 * toxic), len(label) / (2 * rest))
+    scale = (x * x * share[:, None]).mean(0)
+    w, bias, speed, last = np.zeros(len(names)), 0.0, np.zeros(len(names)), 0.0
+    for _ in range(400):
+        error = (1 / (1 + np.exp(-(x @ w + bias))) - y) * share
+        speed = 0.9 * speed - 0.05 * ((x * error[:, None]).mean(0) + toxicity.PENALTY * w / np.sqrt(len(y))) / (scale / 4 + 1e-3)
+        last = 0.9 * last - 0.05 * error.mean() / 0.25
+        w, bias = w + 0.2 * speed, bias + 0.2 * last
+    return lambda text: 1 / (1 + np.exp(-(bias + sum(ratio[b] * v for b, v in zip(names, w, strict=True) if b in set(toxicity.presence([toxicity.plain(text)])[1].tolist())))))
+
+
+def test_toxicity_scores_of_a_plain_model(shipped):
+    rng = np.random.default_rng(2)
+    vocabulary = ["calm", "kind", "table", "river", "stone", "vile", "nasty", "rotten"]
+    rows = []
+    for i in range(60):
+        y = i % 2
+        chance = np.array([1] * 5 + [4 if y else 0.3] * 3, float)
+        rows.append((i, " ".join(rng.choice(vocabulary, 8, p=chance / chance.sum())), y))
+    df = shipped.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    want = plain_model([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5])
+    assert got == pytest.approx({i: want(t) for i, t, _ in rows}, abs=1e-5)
+
+
+def test_repeated_rows_and_ids_train_alike_in_any_partitioning(shipped):
+    rows = [(i, f"plain words {i % 7} here" + (" vile thing" if i % 2 else ""), i % 2) for i in range(80)]
+    rows += [(81, "one text vile", 1), (81, "another text", 1)]  # one id, two texts
+    df = shipped.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").unionAll(shipped.createDataFrame([(4, 1), (4, 0)], "doc_id long, toxic int"))
+    want = {}
+    for max_rows in (3000, 20):
+        for docs, parts in ((df, 1), (df.unionAll(df).unionAll(df.filter("doc_id = 3")), 7), (df, 5)):
+            got = {(r["doc_id"], r["score"]) for r in toxicity.toxicity(docs.drop("toxic").repartition(parts), labels.unionAll(labels), max_rows=max_rows).collect()}
+            assert want.setdefault(max_rows, got) == got
+    assert want[3000] != want[20]
+
+
 def near(rows, threshold):
     """Links and components of (id, vector, label) rows by comparing all pairs."""
     good = [(i, np.array(v, float), label) for i, v, label in rows if v and label is not None and None not in v and np.isfinite(v).all() and np.any(v)]
