@@ -11,8 +11,9 @@ from feedlake.plans.registry import register
 from feedlake.session import scratch_path
 from feedlake.sources.csv import read_feedback_csv
 from feedlake.sources.embeddings import append_new_embeddings
-from feedlake.sources.history import HISTORY_SCHEMA, append_new_history
+from feedlake.sources.history import HISTORY_SCHEMA, append_new_history, open_history, read_newest
 from feedlake.sources.reports import write_report
+from feedlake.sources.sketches import append_new_sketched
 from feedlake.sources.tables import feedback, table
 from feedlake.streaming.first_seen import KEPT, first_seen_stream
 from feedlake.streaming.ingest import ingest_stream
@@ -77,6 +78,40 @@ def history_ingest_twice(spark, sf_dir):
     return spark.read.schema(HISTORY_SCHEMA).parquet(path).select("text_hash", "level", "ts", "stored_at")
 
 
+_MONTHLY = f"""(select text_hash, level, ts,
+  case turn when 0 then timestamp '2024-02-01 00:00:00' when 1 then timestamp '2024-03-01 00:00:00' else timestamp '2024-04-01 00:00:00' end as stored_at
+from (select *, row_number() over (partition by text_hash order by turn, row_id) as rn
+      from (select {hash_sql('text')} as text_hash, level, ts, row_id, case when lang = 'en' then 0 when lang = 'de' then 1 else 2 end as turn
+            from {FEEDBACK} f where regexp_matches(text, {NON_SPACE_SQL})) h) t where rn = 1)"""
+
+
+def _monthly_loads(spark, sf_dir) -> str:
+    """English rows are loaded in February, German ones in March, all rows in April and again in
+    May; every load asks the sketches of the months before.  Returns the table's path."""
+    path, sketches = scratch_path(spark, "monthly-history"), scratch_path(spark, "monthly-sketches")
+    f = feedback(spark, sf_dir)
+    loads = [(f.filter("lang = 'en'"), "2024-02-01"), (f.filter("lang = 'de'"), "2024-03-01"), (f, "2024-04-01"), (f, "2024-05-01")]
+    for rows, day in loads:
+        append_new_sketched(rows, path, sketches, f"{day} 00:00:00")
+    return path
+
+
+@register("history_sketched_ingest", f"select text_hash, level, ts, stored_at from {_MONTHLY} m", "D1 A8 A4")
+def history_sketched_ingest(spark, sf_dir):
+    """Loads over several months; only months whose sketch may hold a hash are read."""
+    return open_history(spark, _monthly_loads(spark, sf_dir)).select("text_hash", "level", "ts", "stored_at")
+
+
+@register(
+    "history_newest_months",
+    f"select text_hash, level, ts, stored_at from {_MONTHLY} m where level = 3 order by stored_at desc, text_hash limit 40",
+    "A5 F1 A8",
+)
+def history_newest_months(spark, sf_dir):
+    """The newest rows of a level, months read newest first until there are enough."""
+    return read_newest(open_history(spark, _monthly_loads(spark, sf_dir)), 40, level=3).select("text_hash", "level", "ts", "stored_at")
+
+
 @register(
     "stream_ingest",
     f"""select text_hash, cast(null as integer) as level, cast(null as timestamp) as ts,

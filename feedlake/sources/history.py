@@ -31,6 +31,8 @@ HISTORY_SCHEMA = T.StructType(
     ]
 )
 
+MOST_MONTHS = 12_000  # names of months that the driver reads at most
+
 
 def history_rows(df: DataFrame, stored_at: str, existing: DataFrame | None = None, order: str = "row_id") -> DataFrame:
     """Rows to append: non-blank texts, first row per text hash (in ``order``), minus hashes
@@ -86,6 +88,44 @@ def append_new_history(df: DataFrame, path: str, stored_at: str, order: str = "r
     return written.get["n"]
 
 
+def _wanted(hist: DataFrame, start: str | None, end: str | None, level: int | None, exact: bool) -> DataFrame:
+    out = two_clock_range(hist, start, end, "ts", "stored_at", exact)
+    return out if level is None else out.filter(F.col("level") == F.lit(level))
+
+
+def months_for(wanted: DataFrame, months: list[str], limit: int) -> str | None:
+    """The oldest of ``months`` (newest first) needed for ``limit`` rows of ``wanted``; None if
+    there are fewer rows.  Months are counted in steps that double (1, 2, 4, ...), and a count
+    ends at the rows still missing, so that few months are read twice."""
+    at, step, missing = 0, 1, limit
+    while at < len(months):
+        some = months[at : at + step]
+        missing -= wanted.filter(F.col("stored_month").between(some[-1], some[0])).limit(missing).count()
+        if missing <= 0:
+            return some[-1]
+        at, step = at + step, step * 2
+    return None
+
+
+def read_newest(
+    hist: DataFrame,
+    limit: int,
+    start: str | None = None,
+    end: str | None = None,
+    level: int | None = None,
+    exact: bool = False,
+) -> DataFrame:
+    """``read_history`` with a limit, descending through the months of a stored table: a row of a newer
+    month comes before every row of an older one, so months behind the limit are not read
+    (a partition filter).  The rows are those of ``read_history``."""
+    wanted = _wanted(hist, start, end, level, exact)
+    names = hist.select("stored_month").distinct().orderBy(F.desc("stored_month")).limit(MOST_MONTHS).collect()
+    oldest = months_for(wanted, [r.stored_month for r in names], limit)
+    if oldest is not None:
+        wanted = wanted.filter(F.col("stored_month") >= oldest)
+    return wanted.orderBy(F.col("stored_at").desc(), F.col("text_hash")).limit(limit)
+
+
 def read_history(
     hist: DataFrame,
     start: str | None = None,
@@ -100,10 +140,7 @@ def read_history(
 
     ``expand_json`` spreads the JSON record over columns; keys that a typed column already
     holds are left to that column."""
-    out = two_clock_range(hist, start, end, "ts", "stored_at", exact)
-    if level is not None:
-        out = out.filter(F.col("level") == F.lit(level))
-    out = out.orderBy(F.col("stored_at").desc(), F.col("text_hash"))
+    out = _wanted(hist, start, end, level, exact).orderBy(F.col("stored_at").desc(), F.col("text_hash"))
     if limit:
         out = out.limit(limit)
     if expand_json:
