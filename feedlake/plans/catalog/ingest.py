@@ -10,6 +10,7 @@ from feedlake.plans.catalog.views import FEEDBACK, NON_SPACE_SQL, hash_sql
 from feedlake.plans.registry import register
 from feedlake.session import scratch_path
 from feedlake.sources.csv import read_feedback_csv
+from feedlake.sources.csv_split import read_split_csv
 from feedlake.sources.embeddings import append_new_embeddings
 from feedlake.sources.history import HISTORY_SCHEMA, append_new_history, open_history, read_newest
 from feedlake.sources.reports import write_report
@@ -165,6 +166,19 @@ def csv_roundtrip(spark, sf_dir):
     return read_feedback_csv(spark, path)
 
 
+@register(
+    "csv_split_roundtrip",
+    """select doc_id, text, n_chars from documents where text is not null and trim(text) <> ''""",
+    "A1",
+)
+def csv_split_roundtrip(spark, sf_dir):
+    """Documents written as CSV, line breaks inside cells, and read back in splits."""
+    path = scratch_path(spark, "split-csv")
+    docs = table(spark, sf_dir, "documents").filter("text is not null and trim(text) <> ''").select("doc_id", "text", "n_chars")
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_split_csv(spark, path, docs.schema).select("doc_id", "text", "n_chars")
+
+
 @register(
     "attach_embeddings",
     f"select row_id, {hash_sql('text')} as text_hash, true as has_embedding from {FEEDBACK} f where regexp_matches(text, {NON_SPACE_SQL})",
