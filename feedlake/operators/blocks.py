@@ -2,13 +2,14 @@
 per-query top-k against a corpus.
 
 Exact all-pairs similarity is quadratic.  We bound the memory of every task instead of the
-work: rows are hashed into blocks of about ``rows_per_block``; one task handles one pair of
-blocks (two blocks of vectors and one tile of similarities) and emits only the pairs that
+work: rows are hashed into blocks; one task handles one pair of
+blocks (two blocks of vectors and one tile of similarities at a time) and emits only the pairs that
 pass the threshold, never all pairs.  Every unordered block pair is formed exactly once,
 so no pair is produced twice.
 
 Shuffle volume of the pair stage is ``rows x blocks`` (each row joins every block pair it
-belongs to).  That is the price of exactness; an approximate caller can pass its own
+belongs to); the number of blocks is bounded until blocks fill a task (``pivots.block_count``), so it
+grows with the rows.  The comparisons are quadratic, the price of exactness; an approximate caller can pass its own
 candidate pairs instead (see ``clusters.density_clusters(candidates=...)``).
 """
 
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of each side whose similarities a task holds at a time.
+HELD_ROWS = 1024
 PAIR_SCHEMA = "a long, b long, similarity double"
 
 
@@ -59,14 +62,18 @@ def _pair_task(threshold: float, metric: str, by_distance: bool):
         right = left if bi == bj else pdf[pdf["__blk"] == bj]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sims = similarity_matrix(_matrix(left["__vec"]), _matrix(right["__vec"]), metric)
-        ok = (1.0 - sims <= threshold) if by_distance else (sims >= threshold)
-        li, rj = np.nonzero(ok)
-        lid = left["__id"].to_numpy()[li]
-        rid = right["__id"].to_numpy()[rj]
-        keep = lid < rid if bi == bj else lid != rid
-        lid, rid, s = lid[keep], rid[keep], sims[li, rj][keep]
-        return pd.DataFrame({"a": np.minimum(lid, rid), "b": np.maximum(lid, rid), "similarity": s})
+        lm, rm = _matrix(left["__vec"]), _matrix(right["__vec"])
+        lids, rids, found = left["__id"].to_numpy(), right["__id"].to_numpy(), []
+        for x in range(0, len(lm), HELD_ROWS):
+            for y in range(0, len(rm), HELD_ROWS):
+                sims = similarity_matrix(lm[x : x + HELD_ROWS], rm[y : y + HELD_ROWS], metric)
+                ok = (1.0 - sims <= threshold) if by_distance else (sims >= threshold)
+                li, rj = np.nonzero(ok)
+                lid, rid = lids[x + li], rids[y + rj]
+                keep = lid < rid if bi == bj else lid != rid
+                lid, rid, s = lid[keep], rid[keep], sims[li, rj][keep]
+                found.append(pd.DataFrame({"a": np.minimum(lid, rid), "b": np.maximum(lid, rid), "similarity": s}))
+        return pd.concat(found)
 
     return run
 
@@ -83,7 +90,12 @@ def similar_pairs(
 ) -> DataFrame:
     """All unordered pairs ``(a < b, similarity)`` with similarity >= ``threshold``
     (or, with ``by_distance``, cosine distance ``1 - similarity <= threshold``)."""
-    nb = n_blocks or n_blocks_for(df, rows_per_block)
+    if not n_blocks:
+        from feedlake.operators.pivots import block_count
+
+        size = df.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
+        n_blocks = block_count(size["n"], size["dim"] or 1, rows_per_block)
+    nb = n_blocks
     blk = df.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__vec"))
     exploded = explode_block_pairs(blk, "__id", nb)
     return exploded.groupBy("__bi", "__bj").applyInPandas(_pair_task(threshold, metric, by_distance), PAIR_SCHEMA)
@@ -191,31 +203,35 @@ def _merge_topk(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int, metric: str, threshold: float | None, exclude_self: bool, rows_per_block: int) -> DataFrame:
-    """Many queries: block both sides and cogroup every (query block, corpus block) pair; each
-    task emits at most k hits per query."""
-    qb = n_blocks_for(queries, rows_per_block)
-    cb = n_blocks_for(corpus, rows_per_block)
+    """Many queries: block both sides and group every (query block, corpus block) pair; each
+    task compares ``rows_per_block`` queries with a bounded number of rows at a time and emits at most k hits per
+    query.  Blocks grow with the tables (see ``pivots.block_count``), so that the copies of a row stay few."""
+    from feedlake.operators.pivots import Side, block_count, hits_frame, top_hits
+
+    dim = corpus.select(F.max(F.size("embedding"))).first()[0] or 1
+    qb, cb = (block_count(rows.count(), dim, rows_per_block) for rows in (queries, corpus))
     q = queries.select(
-        F.col("query_id").cast("long").alias("query_id"),
-        F.col("embedding").alias("embedding"),
-        F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("__qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("__cb"),
+        F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("j"),
+        F.lit(True).alias("own"),
+        F.col("query_id").cast("long").alias("id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.lit(None).cast("int").alias("weight"),
     )
     c = _with_level(corpus).select(
-        "row_id",
-        "embedding",
-        "level",
-        F.pmod(F.xxhash64("row_id"), F.lit(cb)).cast("int").alias("__cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("__qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("i"),
+        F.pmod(F.xxhash64("row_id"), F.lit(cb)).cast("int").alias("j"),
+        F.lit(False).alias("own"),
+        F.col("row_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("level").alias("weight"),
     )
 
-    def tile(qpdf, cpdf):
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return _local_topk(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)), k, threshold, exclude_self)
-        sims = similarity_matrix(_matrix(qpdf["embedding"]), _matrix(cpdf["embedding"]), metric)
-        return _local_topk(qpdf["query_id"].to_numpy(np.int64), cpdf["row_id"].to_numpy(np.int64), sims, k, threshold, exclude_self, _levels(cpdf))
+    def top(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        q, c = Side(rows[rows["own"]]), Side(rows[~rows["own"]])
+        return hits_frame(q, c, top_hits(q, c, k, threshold, exclude_self, lambda x, y: similarity_matrix(x, y, metric), rows_per_block))
 
-    return q.groupBy("__qb", "__cb").cogroup(c.groupBy("__qb", "__cb")).applyInPandas(tile, HIT_SCHEMA)
+    return q.unionAll(c).groupBy("i", "j").applyInPandas(top, HIT_SCHEMA)
 
 
 def knn(
@@ -261,6 +277,11 @@ def vector_copies(df: DataFrame, id_col: str = "row_id", vec_col: str = "embeddi
     return rows.join(reps, "__vec", "left").select("row_id", F.coalesce("rep", "row_id").alias("rep"))
 
 
+def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(__vec, vid)``: every vector once, with the smallest id among its copies."""
+    return df.filter(F.col(vec_col).isNotNull()).groupBy(F.col(vec_col).alias("__vec")).agg(F.min(F.col(id_col).cast("long")).alias("vid"))
+
+
 def near_duplicate_vectors(
     df: DataFrame, threshold: float = 0.95, id_col: str = "row_id", vec_col: str = "embedding", metric: str = "cosine", rows_per_block: int = 2048
 ) -> DataFrame:
@@ -269,11 +290,7 @@ def near_duplicate_vectors(
     Identical vectors are collapsed first to their smallest id (see ``vector_copies``), so a
     large group of copies yields no pairs among itself.  Positive cosine thresholds join through
     pivots (``pivots.similar_points``), which leave out tiles that cannot hold a pair."""
-    points = (
-        df.filter(F.col(vec_col).isNotNull())
-        .groupBy(F.col(vec_col).alias("__vec"))
-        .agg(F.min(F.col(id_col).cast("long")).alias("vid"))
-    )
+    points = distinct_vectors(df, id_col, vec_col)
     if metric == "cosine" and threshold > 0:
         from feedlake.operators.pivots import similar_points
 
@@ -287,7 +304,12 @@ def best_earlier_match(df: DataFrame, threshold: float, id_col: str = "row_id",
 
     Pairs are formed over distinct vectors; a later copy of a vector is answered by its first
     copy, a perfect match.  Zero vectors match nothing."""
-    pairs = near_duplicate_vectors(df, threshold, id_col, vec_col, rows_per_block=rows_per_block)
+    if threshold > 0:
+        from feedlake.operators.pivots import best_earlier
+
+        pairs = best_earlier(distinct_vectors(df, id_col, vec_col).select(F.col("vid").alias("id"), F.col("__vec").alias("embedding")), threshold, rows_per_block, digits)
+    else:
+        pairs = near_duplicate_vectors(df, threshold, id_col, vec_col, rows_per_block=rows_per_block)
     best = pairs.groupBy(F.col("b").alias("query_id")).agg(F.max(F.struct(F.round("similarity", digits).alias("s"), (-F.col("a")).alias("m"))).alias("x"))
     first = best.select("query_id", (-F.col("x.m")).alias("match_id"), F.col("x.s").alias("similarity"))
     some = df.filter(F.exists(F.col(vec_col), lambda x: x != 0))

@@ -12,9 +12,9 @@ Labels equal those of a sequential DBSCAN that visits seeds in ``row_id`` order:
 Every row is clustered (repeated texts count towards ``min_size``).
 
 The neighbour pairs of a dense topic grow with the square of its size, so they never leave their task.
-Tiles of vectors (see ``pivots``) are visited twice: first they emit one neighbour count per member,
+Pairs of blocks of vectors (see ``pivots``) are visited twice: first they emit one neighbour count per member,
 then, knowing the core points, a spanning forest of their core points and the core neighbours of the
-others, of which a point that is not core has fewer than ``min_size``.  Both are linear in the tile.
+others, of which a point that is not core has fewer than ``min_size``.  Both are linear in the blocks.
 """
 
 from __future__ import annotations
@@ -26,26 +26,38 @@ from pyspark.sql import functions as F
 
 from feedlake.operators.blocks import similar_pairs
 from feedlake.operators.components import connected_components
-from feedlake.operators.pivots import PointGrid, tile_sides
+from feedlake.operators.pivots import PointGrid, compared, sides, tiles
 from feedlake.operators.ranking import dense_index
 from feedlake.session import ensure_checkpoint_dir
 
 NOISE = -1
 
 
-def _neighbour_counts(eps: float):
+#: Share of near pairs of a tile from which it is handled as a matrix, not pair by pair.
+DENSE = 1 / 16
+
+
+def _neighbour_counts(eps: float, reach: float = 2.0, pivots=None, height: int = 2048):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """``(id, n)``: weight of the neighbours that each member has in the tile, itself left out."""
-        left, right, sims, one = tile_sides(key, rows)
-        near = 1.0 - sims <= eps
-        if one:
-            np.fill_diagonal(near, False)
-        ids, n = [left["id"].to_numpy()], [near @ right["weight"].to_numpy()]
-        if not one:
-            ids.append(right["id"].to_numpy())
-            n.append(left["weight"].to_numpy() @ near)
-        out = pd.DataFrame({"id": np.concatenate(ids), "n": np.concatenate(n)})
-        return out[out["n"] > 0]
+        """``(id, n)``: weight of the neighbours that each member has in the pair of blocks, itself left out."""
+        counts: dict[int, tuple] = {}
+        for left, right, x, y, sims in compared(key, rows, reach, pivots and pivots.value, height):
+            for side in (left, right):
+                counts.setdefault(id(side), (side, side.weight.to_numpy(np.float64), np.zeros(len(side))))
+            (_, lw, ln), (_, rw, rn) = counts[id(left)], counts[id(right)]
+            near = np.subtract(1.0, sims, out=sims) <= eps
+            hits = np.flatnonzero(near)
+            if len(hits) > DENSE * near.size:
+                near = near.astype(np.float64)
+                ln[x] += near @ rw[y]
+                rn[y] += lw[x] @ near
+            elif len(hits):
+                at, to = np.divmod(hits, len(y))
+                ln[x] += np.bincount(at, rw[y[to]], len(x))
+                rn[y] += np.bincount(to, lw[x[at]], len(y))
+        found = [pd.DataFrame({"id": side.id, "n": n}) for side, _, n in counts.values()]
+        out = pd.concat(found) if found else pd.DataFrame({"id": [], "n": []})
+        return out[out["n"] > 0].astype({"n": np.int64})
 
     return run
 
@@ -70,22 +82,66 @@ def _spanning_stars(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tu
     return np.concatenate(a), np.concatenate(b)
 
 
-def _core_edges(eps: float):
+def _joined(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``label`` (a member of its set for every member) after the sets of ``p`` and ``q`` are joined."""
+    a, b = label[p], label[q]
+    ties = np.unique((np.minimum(a, b) * len(label) + np.maximum(a, b))[a != b])
+    if not len(ties):
+        return label
+    to = np.arange(len(label))
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in parent:
+            if parent[v] in parent:
+                parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for one, other in zip((ties // len(label)).tolist(), (ties % len(label)).tolist(), strict=True):
+        one, other = root(one), root(other)
+        if one != other:
+            parent[max(one, other)] = min(one, other)
+    for v in list(parent):
+        to[v] = root(v)
+    return to[label]
+
+
+def _core_edges(eps: float, reach: float = 2.0, pivots=None, height: int = 2048):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """``(p, q, border)``: stars of connected core points (weight 1); and for each other member its
-        core neighbours ``q``."""
-        left, right, sims, one = tile_sides(key, rows)
-        near = 1.0 - sims <= eps
-        lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-        lcore, rcore = left["weight"].to_numpy() > 0, right["weight"].to_numpy() > 0
-        p, q = _spanning_stars(near[np.ix_(lcore, rcore)], lid[lcore], rid[rcore])
-        parts = [pd.DataFrame({"p": p, "q": q, "border": False})]
-        x, y = np.nonzero(near[np.ix_(~lcore, rcore)])
-        parts.append(pd.DataFrame({"p": lid[~lcore][x], "q": rid[rcore][y], "border": True}))
-        if not one:
-            x, y = np.nonzero(near[np.ix_(lcore, ~rcore)])
-            parts.append(pd.DataFrame({"p": rid[~rcore][y], "q": lid[lcore][x], "border": True}))
-        return pd.concat(parts)
+        core neighbours ``q``.  Core points that are connected already are not compared again."""
+        left, right, one = sides(key, rows)
+        lcore, rcore = left.weight.to_numpy() > 0, right.weight.to_numpy() > 0
+        ids, core, second = (left.id, lcore, 0) if one else (np.concatenate([left.id, right.id]), np.concatenate([lcore, rcore]), len(left))
+        label = np.arange(len(ids))
+        border = [np.zeros((2, 0), np.int64)]
+
+        def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return 1.0 - left.matrix[x] @ right.matrix[y].T <= eps
+
+        for x, y in tiles(left, right, one, reach, pivots and pivots.value, height):
+            xc, yc, xb, yb = x[lcore[x]], y[rcore[y]], x[~lcore[x]], y[~rcore[y]]
+            if len(xc) and len(yc) and not ((label[xc] == label[xc[0]]).all() and (label[second + yc] == label[xc[0]]).all()):
+                close = near(xc, yc)
+                hits = np.flatnonzero(close)
+                if len(hits) > DENSE * close.size:
+                    label = _joined(label, *_spanning_stars(close, xc, second + yc))
+                else:
+                    at, to = np.divmod(hits, len(yc))
+                    label = _joined(label, xc[at], second + yc[to])
+            if len(xb) and len(yc):
+                at, to = np.nonzero(near(xb, yc))
+                border.append(np.stack([left.id[xb[at]], right.id[yc[to]]]))
+            if len(xc) and len(yb):
+                at, to = np.nonzero(near(xc, yb))
+                border.append(np.stack([right.id[yb[to]], left.id[xc[at]]]))
+        members = np.flatnonzero(core)
+        smallest = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, label[members], ids[members])
+        p, q = ids[members], smallest[label[members]]
+        b = np.unique(np.concatenate(border, axis=1), axis=1)
+        return pd.concat([pd.DataFrame({"p": p[p != q], "q": q[p != q], "border": False}), pd.DataFrame({"p": b[0], "q": b[1], "border": True})])
 
     return run
 
@@ -93,19 +149,21 @@ def _core_edges(eps: float):
 def tile_edges(points: DataFrame, eps: float, min_size: int, rows_per_block: int) -> tuple[DataFrame, DataFrame]:
     """(core points ``row_id``, edges ``(p, q, border)``) of points ``(vid, embedding, mult)``, for ``eps`` under 1, where
     a zero vector is a neighbour of its own copies only."""
-    some = points.filter(F.exists("embedding", lambda x: x != 0))
-    grid = PointGrid(some.select(F.col("vid").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("mult").alias("weight")), 1.0 - eps, rows_per_block)
+    grid = PointGrid(points.select(F.col("vid").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("mult").alias("weight")), 1.0 - eps, rows_per_block)
     spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(grid.pivots)
     if grid.n:
-        counts = grid.tiles().applyInPandas(_neighbour_counts(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
+        counts = grid.tiles().applyInPandas(_neighbour_counts(eps, grid.reach, shared, rows_per_block), "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
     else:
         counts = spark.createDataFrame([], "id long, others long")
     degree = points.select(F.col("vid").alias("id"), "mult").join(counts, "id", "left")
-    flagged = degree.select("id", (F.col("mult") + F.coalesce("others", F.lit(0)) >= min_size).cast("long").alias("weight")).checkpoint()
+    known = (F.col("mult") + F.coalesce("others", F.lit(0)) >= min_size).cast("long")
+    flagged = degree.select("id", known.alias("weight"), F.coalesce("others", F.lit(0)).alias("others")).checkpoint()
     core = flagged.filter("weight = 1").select(F.col("id").alias("row_id"))
     if not grid.n:
         return core, spark.createDataFrame([], "p long, q long, border boolean")
-    return core, grid.tiles(flagged).applyInPandas(_core_edges(eps), "p long, q long, border boolean").checkpoint()
+    linked = flagged.filter("others > 0").select("id", "weight")  # the rest has no neighbour
+    return core, grid.tiles(linked).applyInPandas(_core_edges(eps, grid.reach, shared, rows_per_block), "p long, q long, border boolean").checkpoint()
 
 
 def pair_edges(points: DataFrame, pairs: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
