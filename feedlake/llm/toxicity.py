@@ -81,23 +81,41 @@ def presence(texts: list[str], selected: np.ndarray | None = None) -> tuple[np.n
 
 
 def fit(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Model:
-    """Ratios, then the logistic fit by Newton-like steps with a per-feature curvature bound."""
+    """The model of (text, bucket) pairs, texts in ascending order, and the label of each text."""
+    return fit_parts([(np.bincount(owner, minlength=len(label)), bucket)], label)
+
+
+def fit_parts(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Model:
+    """Ratios, then the logistic fit by Newton-like steps with a per-feature curvature bound.
+
+    ``parts`` hold consecutive texts: (number of buckets of each, the buckets).  Only pairs of chosen buckets are held
+    together, so what a part needs besides its buckets is bounded by the part."""
     n_toxic, n_rest = int(label.sum()), int((1 - label).sum())
     nothing = np.zeros(0, np.int64)
     if not n_toxic or not n_rest:
         share = n_toxic / max(1, n_toxic + n_rest)
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(nothing, np.zeros(0), float(np.log(share / (1 - share))))
-    toxic = np.bincount(bucket[label[owner] == 1], minlength=1 << BITS)
-    rest = np.bincount(bucket[label[owner] == 0], minlength=1 << BITS)
+    toxic, rest, at = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
+    for sizes, bucket in parts:
+        is_toxic = np.repeat(label[at : at + len(sizes)] == 1, sizes)
+        toxic += np.bincount(bucket[is_toxic], minlength=1 << BITS)
+        rest += np.bincount(bucket[~is_toxic], minlength=1 << BITS)
+        at += len(sizes)
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((rest + 1) / (n_rest + 2))
     strong = np.flatnonzero((toxic + rest >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO))
     strength = np.abs(ratio[strong]) * np.sqrt((toxic + rest)[strong])
     strong = np.sort(strong[np.argsort(-strength, kind="stable")[:MAX_FEATURES]])
-    number = np.full(1 << BITS, -1)
+    number = np.full(1 << BITS, -1, np.int32)
     number[strong] = np.arange(len(strong))
-    keep = number[bucket] >= 0
-    row, col = owner[keep], number[bucket[keep]]
+    kept, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for sizes, bucket in parts:
+        found = number[bucket]
+        keep = found >= 0
+        kept.append((np.repeat(np.arange(at, at + len(sizes)), sizes)[keep], found[keep].astype(np.int64)))
+        at += len(sizes)
+    row, col = (np.concatenate(v) for v in zip(*kept, strict=True))
+    kept.clear()
     value = ratio[strong][col]
     rows, cols = len(label), len(strong)
     share = np.where(label == 1, rows / (2 * n_toxic), rows / (2 * n_rest))  # both classes weigh the same
@@ -149,15 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("label", "place", "mark")), lists], ["label", "place", "mark", "bucket"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, owner, bucket, at = [], [], [], 0
+        label, parts = [], []
         for batch in batches:
-            lists = column(batch, "bucket")
-            owner.append(np.repeat(np.arange(at, at + batch.num_rows, dtype=np.int32), lists.value_lengths().to_numpy()))
-            bucket.append(lists.flatten().to_numpy())
-            label.append(column(batch, "label").to_numpy())
-            at += batch.num_rows
-        if at:
-            m = fit(np.concatenate(owner), np.concatenate(bucket), np.concatenate(label).astype(np.int64))
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                lists = column(some, "bucket")
+                parts.append((lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+                label.append(column(some, "label").to_numpy())
+        if label:
+            m = fit_parts(parts, np.concatenate(label).astype(np.int64))
             yield pa.RecordBatch.from_pylist([{"bucket": m.bucket.tolist(), "weight": m.weight.tolist(), "intercept": m.intercept}], schema=pa.schema([("bucket", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("intercept", pa.float64())]))
 
     found = rows.mapInArrow(features, "label int, place long, mark long, bucket array<int>")
