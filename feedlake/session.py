@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "feedlake") -> SparkSession:
@@ -73,3 +73,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/feedlake-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again, for rows that several jobs use: each
+    then reads the columns it needs and repeats none of the work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

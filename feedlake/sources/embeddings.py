@@ -16,6 +16,7 @@ from feedlake.functions.timeparts import parse_ts
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
 from feedlake.operators.encode import Encoder, encode
 from feedlake.operators.filters import non_blank
+from feedlake.session import written_once
 from feedlake.sources.roles import quoted, resolve_roles
 
 EMBEDDING_SCHEMA = T.StructType(
@@ -45,11 +46,11 @@ def embedding_rows(df: DataFrame, existing: DataFrame | None, encoder: Encoder |
     base = with_hash(non_blank(df, roles.text), roles.text)
     cols = ["text_hash", order, roles.text] + [c for c in (roles.level, roles.timestamp) if c]
     first = first_per_key(base.select(*[quoted(c) for c in dict.fromkeys(cols)]), "text_hash", order)
-    if existing is not None:
-        first = new_rows(first, existing, "text_hash", probe=True)
     level = lenient_int(quoted(roles.level)) if roles.level else F.lit(None).cast("int")
     ts = parse_ts(quoted(roles.timestamp), df.schema[roles.timestamp].dataType.simpleString()) if roles.timestamp else F.lit(None).cast("timestamp_ntz")
     shaped = first.select("text_hash", quoted(roles.text).alias("__text"), snippet(quoted(roles.text), 500).alias("snippet"), level.alias("level"), ts.alias("ts"))
+    if existing is not None and not existing.isEmpty():  # the probe and the anti join both use the rows
+        shaped = new_rows(written_once(shaped, "first-rows"), existing, "text_hash", probe=True)
     return encode(shaped, "__text", "embedding", encoder).select("text_hash", "snippet", "level", "ts", "embedding")
 
 

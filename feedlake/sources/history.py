@@ -17,6 +17,7 @@ from feedlake.functions.numbers import lenient_int
 from feedlake.functions.timeparts import parse_ts
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
 from feedlake.operators.filters import non_blank, two_clock_range
+from feedlake.session import written_once
 from feedlake.sources.roles import quoted, resolve_roles
 
 HISTORY_SCHEMA = T.StructType(
@@ -82,7 +83,9 @@ def append_new_history(df: DataFrame, path: str, stored_at: str, order: str = "r
     the anti join sees the hashes written by the first run."""
     spark = df.sparkSession
     existing = open_history(spark, path)
-    rows = history_rows(df, stored_at, existing, order)
+    rows = history_rows(df, stored_at, None, order)
+    if not existing.isEmpty():  # the probe and the anti join both use the rows
+        rows = new_rows(written_once(rows, "first-rows"), existing, "text_hash", probe=True)
     written = Observation()
     rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("stored_month").parquet(path)
     return written.get["n"]

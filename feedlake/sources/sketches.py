@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.operators.dedupe import new_rows
-from feedlake.session import scratch_path
+from feedlake.session import scratch_path, written_once
 from feedlake.sources.history import MOST_MONTHS, history_rows, open_history
 from feedlake.sources.roles import quoted
 
@@ -113,7 +113,7 @@ def new_rows_by_sketch(df: DataFrame, history: DataFrame, sketches: DataFrame, b
 def append_new_sketched(df: DataFrame, history_path: str, sketch_path: str, stored_at: str, order: str = "row_id", buckets: int = BUCKETS) -> int:
     """``append_new_history`` through the sketches; returns how many rows were appended."""
     spark = df.sparkSession
-    first = history_rows(df, stored_at, None, order)
+    first = written_once(history_rows(df, stored_at, None, order), "first-rows")  # several jobs ask for its keys
     fresh = new_rows_by_sketch(first, open_history(spark, history_path), open_sketches(spark, sketch_path, buckets), buckets)
     path = scratch_path(spark, "fresh-rows")
     written = Observation()
