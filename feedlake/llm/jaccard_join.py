@@ -54,7 +54,9 @@ LARGE = 64
 PROPOSALS, ROUNDS = 8, 2
 DENSE, PART = 8, 1024
 COLUMNS = 2048
-BUFFER_ROWS = 100_000
+BUFFER_ROWS, BUFFER_BYTES = 100_000, 16 << 20
+CHUNK_PAIRS = 1 << 19
+MOST_COPIES = 4_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +135,29 @@ def _signature_rows(ids, n, s1, s2, vector, parity) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), vector, parity], ["doc_id", "n", "s1", "s2", "vector", "parity"])
 
 
-def keys(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+def copies(vectors: DataFrame, same: DataFrame, most: int = MOST_COPIES) -> np.ndarray | None:
+    """The ids, ascending, that have the set of a smaller id in all their rows, if there are at most ``most``
+    (32 MB)."""
+    ends = [f(c).alias(f"{c}_{name}") for c in ("n", "s1", "s2") for name, f in (("min", F.min), ("max", F.max))]
+    mixed = vectors.groupBy("doc_id").agg(*ends).filter("n_min != n_max or s1_min != s1_max or s2_min != s2_max").select(F.col("doc_id").alias("a"))
+    found = same.select("a").join(mixed, "a", "leftanti").limit(most + 1).toArrow()["a"].to_numpy()
+    return np.sort(found) if len(found) <= most else None
+
+
+def keys(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, later: np.ndarray | None = None) -> DataFrame:
     """``(key, n, s1, doc_id)``: the rarest shingles of each set, enough that linked sets share
-    one.  ``heavy`` are common shingles, ascending, and their ranks (1: the least common)."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries
+    one.  ``heavy`` are common shingles, ascending, and their ranks (1: the least common).  With the ids ``later`` of all
+    copies, these have no keys, and ``s1``, which tells copies in a block, is left out."""
+    shared = docs.sparkSession.sparkContext.broadcast((*heavy, later))  # at most HEAVY and MOST_COPIES entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
+        common, rank, later = shared.value
         for batch in text_slices(batches, limit=2 << 20):
+            if later is not None and len(later):
+                own = column(batch, "doc_id").to_numpy()
+                batch = batch.filter(pa.array(later[np.minimum(np.searchsorted(later, own), len(later) - 1)] != own))
+                if not batch.num_rows:
+                    continue
             code, first = shingle_sets(column(batch, "text"), k)
             n = np.diff(first)
             owner = np.repeat(np.arange(batch.num_rows), n)
@@ -160,10 +177,11 @@ def keys(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent:
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (n[of[1:]] != n[of[:-1]]) | (s1[of[1:]] != s1[of[:-1]])
             key, of = key[new], of[new]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[of].astype(np.int32)), pa.array(s1[of].view(np.int64)), pa.array(doc[of])], ["key", "n", "s1", "doc_id"])
+            sets = {} if later is not None else {"s1": pa.array(s1[of].view(np.int64))}
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(n[of].astype(np.int32)), **sets, "doc_id": pa.array(doc[of])})
 
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return known.mapInArrow(run, "key long, n int, s1 long, doc_id long")
+    return known.mapInArrow(run, f"key long, n int, {'' if later is not None else 's1 long, '}doc_id long")
 
 
 def blocks(postings: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +227,9 @@ def blocks(postings: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (key, doc, n, before, before_n, leader, leader_n)], names)
             open_ = [key[-1], n[-1], s1[-1], doc[-1], leader[-1], leader_n[-1], bool(shown[-1]) or (had and len(key) == 1)]
 
-    turned = postings.repartition("key").withColumn("turn", F.xxhash64("key", "s1"))  # after the shuffle
+    dealt = postings.repartition("key")
+    dealt = dealt if "s1" in dealt.columns else dealt.withColumn("s1", F.col("doc_id"))  # without copies
+    turned = dealt.withColumn("turn", F.xxhash64("key", "s1"))  # after the shuffle
     ordered = turned.sortWithinPartitions("key", "turn", "n", "s1", "doc_id").drop("turn")
     return ordered.mapInArrow(run, "key long, doc_id long, n long, before long, before_n long, leader long, leader_n long")
 
@@ -339,7 +359,7 @@ def block_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[bytes], percent:
 def small_block_pairs(group: np.ndarray, size: np.ndarray, n: np.ndarray, comp: np.ndarray, point: np.ndarray, percent: int) -> np.ndarray:
     """Pairs ``(x, y)`` of points, each once, of different components and fitting sizes in blocks
     of at most ``LARGE`` members; all blocks at a time."""
-    found = [np.zeros((0, 2), np.int64)]
+    found = [np.zeros(0, np.int64)]
     small = size[group] <= LARGE
     for ahead in range(1, LARGE):
         i = np.flatnonzero((group[ahead:] == group[:-ahead]) & small[ahead:])
@@ -348,26 +368,20 @@ def small_block_pairs(group: np.ndarray, size: np.ndarray, n: np.ndarray, comp:
         j = i + ahead
         keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         x, y = point[i[keep]], point[j[keep]]
-        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-    return np.unique(np.concatenate(found), axis=0)
+        found.append(np.minimum(x, y) << 32 | np.maximum(x, y))
+    return pairs_of(np.unique(np.concatenate(found)))
 
 
-def bounded_points(pairs: np.ndarray, n: np.ndarray, vectors: list[bytes], percent: int) -> np.ndarray:
-    """The pairs of points whose vectors allow a link."""
-    width = group_count(n)
-    least = np.minimum(width[pairs[:, 0]], width[pairs[:, 1]])
-    out = [np.zeros((0, 2), np.int64)]
-    for w in np.unique(least).tolist():
-        some = pairs[least == w]
-        used, place = np.unique(some, return_inverse=True)
-        place = place.reshape(-1, 2)
-        rows = folded([vectors[i] for i in used], w)
-        step = max(1, (1 << 22) // w)
-        for at in range(0, len(some), step):
-            x, y = place[at : at + step].T
-            ok = _bound_ok(rows[x], rows[y], n[used[x]], n[used[y]], percent)
-            out.append(some[at : at + step][ok])
-    return np.concatenate(out)
+def pairs_of(codes: np.ndarray) -> np.ndarray:
+    """Pairs ``(x, y)`` from ``x << 32 | y``."""
+    return np.stack([codes >> 32, codes & 0xFFFFFFFF], 1)
+
+
+def chunks_of_blocks(size: np.ndarray, most: int = CHUNK_PAIRS) -> list[tuple[int, int]]:
+    """Ranges of consecutive blocks that make about ``most`` pairs each."""
+    part = np.cumsum(size * (size - 1) // 2) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def parity_allows(pairs: np.ndarray, n: np.ndarray, parities: list[bytes], percent: int) -> np.ndarray:
@@ -389,38 +403,63 @@ def parity_allows(pairs: np.ndarray, n: np.ndarray, parities: list[bytes], perce
     return np.concatenate(out)
 
 
-def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, dense)``: pairs of different components in a block that both bounds let through, or,
+def with_vectors(members: DataFrame, own: DataFrame) -> DataFrame:
+    """``(home, key, doc_id, n, comp, vector, parity)`` from ``(home, large, key, doc_id, comp)``: the members of blocks, and
+    without key the parities of a home's documents, once for all its blocks; count vectors only for large blocks."""
+    once = members.select("home", "large", "doc_id", "comp").distinct().join(own.select("doc_id", "n", "vector", "parity"), "doc_id")
+    vector = F.when(F.col("large"), F.col("vector")).alias("vector")
+    wide = once.select("home", F.lit(None).cast("long").alias("key"), "doc_id", "n", "comp", vector, "parity")
+    none = [F.lit(None).cast(wide.schema[c].dataType).alias(c) for c in ("n", "comp", "vector", "parity")]
+    return wide.unionAll(members.select("home", "key", "doc_id", *none))
+
+
+def rest_pairs(members: DataFrame, percent: int, own: DataFrame | None = None) -> DataFrame:
+    """``(a, b, dense)``: pairs of different components in a block that the parities (in a large block both bounds) let through, or,
     where a large block has more than ``DENSE`` of them for a member, one row per member ``b`` that is in
-    any, under the name ``a`` of the least of these.  ``members``: ``(key, doc_id, n, comp, vector,
-    parity)``.  Small blocks are paired many at a time, and a pair that
-    several blocks propose is bounded once; large ones get trees."""
+    any, under the name ``a`` of the least of these.  ``members``: ``(home, large, key, doc_id, comp)``, vectors from ``own``, or
+    ``(key, doc_id, n, comp, vector, parity)``, every block its own home.  Blocks of one home meet in one
+    task; small blocks are paired many at a time, but at most about ``CHUNK_PAIRS`` pairs, and a pair that
+    several of these propose is bounded once; large ones get trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= BUFFER_ROWS:
+            if sum(b.num_rows for b in held) >= BUFFER_ROWS or sum(b.nbytes for b in held) >= BUFFER_BYTES:
                 table = pa.Table.from_batches(held)
-                key = table["key"].to_numpy()
-                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                home = table["home"].to_numpy()
+                last = int(np.flatnonzero(home != home[-1])[-1]) + 1 if (home != home[-1]).any() else 0
                 yield from found(table.slice(0, last))
                 held = table.slice(last).combine_chunks().to_batches()
+                del table
+                pa.default_memory_pool().release_unused()
         if held:
             yield from found(pa.Table.from_batches(held))
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        key, doc, n, comp = (table[c].to_numpy().astype(np.int64) for c in ("key", "doc_id", "n", "comp"))
-        names, first, point = np.unique(doc, return_index=True, return_inverse=True)
-        vectors, parities = (table[c].take(pa.array(first)).to_pylist() for c in ("vector", "parity"))
-        size_of = n[first]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        wide, blocked = table.filter(table["key"].is_null()), table.filter(table["key"].is_valid())
+        wide = wide.take(pa.array(np.argsort(wide["vector"].is_null().to_numpy(), kind="stable")))  # a row with vector first
+        names, first = np.unique(wide["doc_id"].to_numpy().astype(np.int64), return_index=True)
+        wide = wide.take(pa.array(first))
+        size_of, comp_of = (wide[c].to_numpy().astype(np.int64) for c in ("n", "comp"))
+        vectors, parities = (wide[c].to_pylist() for c in ("vector", "parity"))
+        key, doc = (blocked[c].to_numpy().astype(np.int64) for c in ("key", "doc_id"))
+        point = np.searchsorted(names, doc)
+        n, comp = size_of[point], comp_of[point]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([begin, [len(key)]]))
-        group = np.repeat(np.arange(len(begin)), size)
-        small = bounded_points(small_block_pairs(group, size, n, comp, point, percent), size_of, vectors, percent)
-        pairs, dense = [parity_allows(small, size_of, parities, percent)], [np.zeros((0, 2), np.int64)]
+        pairs, dense = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        is_small = size <= LARGE
+        rows = np.repeat(is_small, size)
+        small_size, small_end = size[is_small], np.cumsum(size[is_small])
+        n_, comp_, point_ = n[rows], comp[rows], point[rows]
+        for i, j in chunks_of_blocks(small_size):
+            at = slice(int(small_end[i] - small_size[i]), int(small_end[j - 1]))
+            some = small_size[i:j]
+            small = small_block_pairs(np.repeat(np.arange(j - i), some), some, n_[at], comp_[at], point_[at], percent)
+            pairs.append(parity_allows(small, size_of, parities, percent))
         for a, m in zip(begin[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
             own, some, many = point[a : a + m], [np.zeros((0, 2), np.int64)], 0
             in_any = np.zeros(m, bool)
@@ -445,8 +484,10 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
             if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(names[both[:, 0]]), pa.array(names[both[:, 1]]), pa.array(np.full(len(both), is_dense))], ["a", "b", "dense"])
 
-    ordered = members.repartition("key").sortWithinPartitions("key", "n", "doc_id")
-    return ordered.select("key", "doc_id", "n", "comp", "vector", "parity").mapInArrow(run, "a long, b long, dense boolean")
+    if own is None:
+        members, own = members.withColumn("home", F.col("key")).withColumn("large", F.lit(True)), members.dropDuplicates(["doc_id"])
+    ordered = with_vectors(members, own).repartition("home").sortWithinPartitions("home", "key", "doc_id")  # nulls first
+    return ordered.select("home", "key", "doc_id", "n", "comp", "vector", "parity").mapInArrow(run, "a long, b long, dense boolean")
 
 
 def tiles(groups: DataFrame, percent: int, part: int = PART) -> DataFrame:
@@ -538,32 +579,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = own.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size")
     same = own.select(F.col("doc_id").alias("a"), "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).filter("a != b").select("a", "b")
 
-    block = _written(blocks(keys(docs, heavy, k, percent), percent), "blocks")
+    block = _written(blocks(keys(docs, heavy, k, percent, copies(vectors, same)), percent), "blocks")
     fits = lambda other: (F.col(other) > 0) & (100 * F.least("n", other) >= percent * F.greatest("n", other))
     ask = lambda other: block.filter(fits(f"{other}_n")).select("doc_id", F.col(other).alias("other"))
     links = verified(_written(bounded(proposed(ask("before").unionAll(ask("leader"))), own, percent), "pairs"), docs, k, percent)
     near = _written(connected_components(links.unionAll(same)), "components")
 
-    def members(once: bool = False) -> DataFrame:
-        """Members of the blocks that hold several components; with ``once``, one of the blocks that
-        hold the same documents (by number and a 128-bit hash of the ids)."""
+    def members(placed: DataFrame, once: bool = False) -> DataFrame:
+        """``(home, large, key, doc_id, n, comp)`` of those among the blocks that hold several components; with ``once``, one of
+        the blocks that hold the same documents (by number and a 128-bit hash of the ids).  Small blocks with the same first
+        document have one home.  The rows go to their blocks once: what is asked of a block is asked over windows."""
         comp = F.coalesce("root", "doc_id").alias("comp")
-        placed = block.select("key", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", comp)
-        ids = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)] if once else []
-        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), *ids).filter("x != y")
-        split = split.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key") if once else split.select("key")
-        return placed.join(split, "key")
-
+        placed = placed.select("key", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", comp)
+        block_of = Window.partitionBy("key")
+        asked = {"x": F.min("comp"), "y": F.max("comp"), "size": F.count("*"), "least": F.min("doc_id")}
+        asked |= {f"h{seed}": F.bit_xor(F.xxhash64("doc_id", F.lit(seed))) for seed in (1, 2)} if once else {}
+        split = placed.select("*", *(value.over(block_of).alias(name) for name, value in asked.items())).filter("x != y")
+        if once:
+            split = split.withColumn("first", F.min("key").over(Window.partitionBy("size", "h1", "h2"))).filter("key = first")
+        large = F.col("size") > LARGE
+        return split.select(F.when(large, F.col("key")).otherwise(F.col("least")).alias("home"), large.alias("large"), "key", "doc_id", "n", "comp")
+
+    open_ = block
     for number in range(ROUNDS):
         turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", F.lit(number)))
-        placed = members().select("key", "doc_id", "n", "comp", *(F.lag(c).over(turn).alias(f"{c}_before") for c in ("doc_id", "n", "comp")))
+        placed = members(open_).select("key", "doc_id", "n", "comp", *(F.lag(c).over(turn).alias(f"{c}_before") for c in ("doc_id", "n", "comp")))
+        open_ = placed = _written(placed, "open")  # components only grow, so no other block opens again
         asks = placed.filter((F.col("comp") != F.col("comp_before")) & fits("n_before")).select("doc_id", F.col("doc_id_before").alias("other"))
         more = verified(_written(bounded(proposed(asks), own, percent), "pairs"), docs, k, percent)
         known = near.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")
         near = _written(connected_components(known.unionAll(more)), "components")
 
-    left = members(once=True).join(own.select("doc_id", "vector", "parity"), "doc_id")
-    pairs = _written(rest_pairs(left, percent).distinct(), "pairs")
+    left = _written(members(open_, once=True), "left")
+    pairs = _written(rest_pairs(left, percent, own).distinct(), "pairs")
     rest = verified(pairs.filter("not dense").select("a", "b"), docs, k, percent)
     hot = pairs.filter("dense").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
     if not hot.isEmpty():

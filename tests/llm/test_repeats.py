@@ -194,3 +194,40 @@ def test_columns_with_clashing_names(copies):
         assert hashlib.sha256(" ".join(brute.WORD.findall(r["text"])).encode()).hexdigest() == want[r["doc_id"]][2]
     assert jaccard_join.keep_one(df).columns == df.columns
     assert suffix_index.removed_bytes(df).select("row.*").columns == df.columns
+
+
+def test_small_blocks_send_a_parity_once_for_their_home(shipped):
+    """Documents that meet in many blocks: a home gets one parity of each, no count vector, and the pairs are
+    those of the blocks; a document that a large block holds as well still has its vector there."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, *(f"own{i}x{j}" for j in range(rng.randrange(3, 9)))])) for i in range(70)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string")
+    own = jaccard_join.signatures(df, 5).filter("vector is not null")
+    member = "home long, large boolean, key long, doc_id long, comp long"
+    small = [(0, False, key, doc, doc) for key in range(20) for doc in range(5)]
+    left = shipped.createDataFrame(small, member)
+    wide = jaccard_join.with_vectors(left, own).filter("parity is not null").collect()
+    assert sorted(r["doc_id"] for r in wide) == list(range(5)) and {r["vector"] for r in wide} == {None}
+    got = sorted(tuple(r) for r in jaccard_join.rest_pairs(left, 80, own).collect())
+    assert got == [(a, b, False) for a in range(5) for b in range(a + 1, 5)]
+    both = left.unionAll(shipped.createDataFrame([(99, True, 99, doc, doc) for doc in range(70)], member))
+    got = {r["b"] for r in jaccard_join.rest_pairs(both, 80, own).collect() if r["dense"]}
+    assert got == set(range(70))
+
+
+def test_copies_have_no_keys(shipped):
+    """Copies are left out of the blocks, but not an id that repeats with another text."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (2, text), (3, text), (3, text), (4, text), (4, "other " + text), (5, text + " x")]
+    df = shipped.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    vectors = jaccard_join.signatures(df, 5).filter("vector is not null")
+    same = shipped.createDataFrame([(2, 1), (3, 1), (4, 1)], "a long, b long")
+    later = jaccard_join.copies(vectors, same)
+    assert later.tolist() == [2, 3] and jaccard_join.copies(vectors, same, most=1) is None
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keyed = jaccard_join.keys(df, none, 5, 80, later)
+    assert "s1" not in keyed.columns and {r["doc_id"] for r in keyed.collect()} == {1, 4, 5}
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(df).collect()} == {1}
+    blocked = jaccard_join.blocks(keyed, 80).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "n").alias("members"))
+    assert blocked.filter("n != members").isEmpty()
