@@ -8,7 +8,8 @@ nothing; vectors of two sizes meet by folding the longer one.  The join links ev
 have a Jaccard similarity of ``percent`` or more, and returns the components of the links:
 
 1. Documents with equal sets are one class, linked to its smallest id; classes never meet pair
-   by pair.
+   by pair.  Up to ``MOST_COPIES`` other ids of classes are sent to the tasks, and these have no keys; with more of
+   them, a hash of the set tells the copies in a block.
 2. Blocks: each set is ordered by how common its shingles are, rare ones first, and its first
    ``n - ceil(percent * n) + 1`` shingles are its keys.  Two sets that link share a key.  The order
    by corpus counts of heavy shingles keeps a passage that many documents share out of the keys
@@ -20,7 +21,8 @@ have a Jaccard similarity of ``percent`` or more, and returns the components of
    an R-tree over the count vectors (leaves packed by set size, nodes with coordinate maxima) finds every
    pair of different components that the bound lets through.  A second bound, the bits in which the
    parities of finer group counts differ, never more than the elements that only one set holds, leaves
-   the pairs near the threshold, and these are compared.
+   the pairs near the threshold, and these are compared.  Blocks of at most ``LARGE`` members are bounded by parities
+   alone, without trees; those with the same first document are one task's, which gets each parity once.
 5. A large block in which more than ``DENSE`` pairs a member are left (pages of one template, just under
    the threshold) hands on its members instead of its pairs.  They are dealt by size band and salt into parts of
    about ``PART`` sets; each pair of parts that may link is a tile, compared whole in one task, and
