@@ -8,12 +8,15 @@ packed into one row, so that no task reads half a piece.  One level:
 
 1. merge-join: a row of ``Rk`` and the row of the next place make a longer row (for the first level, every
    word of the texts is one);
-2. group-count: ``Ck+1`` holds the codes that occur ``least`` times or more.  Each task counts its own codes
-   and deals them by code to buckets, whose number grows with the relation; Spark shuffles the buckets and a
-   bucket of bounded size is added up at a time;
-3. semi-join: the longer rows whose code is in ``Ck+1`` are written as ``Rk+1``.  If a count shows that ``Ck+1`` has at
-   most ``MOST_BROADCAST`` codes (8 MB), each task gets them and looks its rows up where they are; otherwise both
-   sides are shuffled by code and the rows go back to their blocks, in order.
+2. group-count: each task counts its own codes, cut to their first ``SHORT_BITS`` bits, and deals them by code to
+   buckets, whose number grows with the relation; Spark shuffles the buckets, as steps from code to code, and a
+   bucket of bounded size is added up at a time.  A short code counts at least as often as each of its codes, so those
+   that occur ``least`` times or more miss no frequent code.  Words are dealt as texts, which names the frequent ones;
+3. semi-join: the longer rows whose short code was kept are written as ``Rk+1``, with exact counts by task, and
+   ``Ck+1`` holds the codes whose sum is ``least`` or more.  A rare code among the rows does no harm: whatever holds
+   a rare sequence is rare.  If a count shows that at most ``MOST_BROADCAST`` codes (8 MB) were kept, each task gets
+   them and looks its rows up where they are; otherwise both sides are shuffled by code and the rows go back to
+   their blocks, in order.
 
 The longer rows are joined once to be counted and once to be written, because most of them are rare
 and are never stored.
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +50,7 @@ from feedlake.session import scratch_path
 BLOCK_BYTES = 1 << 17
 MOST_DISTINCT = 100_000
 BUCKET_CODES, WORD_BYTES = 500_000, 6
+SHORT_BITS = 44
 MOST_BROADCAST = 1_000_000
 CUT_SCALE = 2_000_000
 COVER_PERCENT = 80
@@ -56,7 +61,7 @@ _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _TEXT[_PIECE_END] = 0x0A
 
-RELATION = "block long, place binary, codes binary, code long, head long, tail long"
+RELATION = "block long, place binary, codes binary, code long, head long, tail long, times long"
 
 
 def _slices_of(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -138,22 +143,36 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of the numbers, then the next ones: equal bytes stand together and cost little to send."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _of_planes(cell: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cell.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values that stand together."""
+    cuts = [*(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return [*zip([0, *cuts[:-1]], cuts, strict=True)] if len(values) else []
+
+
 def _dealt(slices: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """``(bucket, codes, times)``: counts of the codes, dealt by code to buckets."""
+    """``(bucket, codes, times)``: counts of the short codes, dealt by range to buckets; a cell holds their ascending
+    steps."""
     tally = Tally()
 
     def out() -> Iterator[pa.RecordBatch]:
         for code, times, _ in tally.rows():
             code, times = code.to_numpy().view(np.uint64), times.to_numpy()
-            bucket = (code % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(code) else np.zeros(0, np.int64)
-            ends = [*new[1:].tolist(), len(code)] if len(code) else []
-            cells = ([x[order][i:j].tobytes() for i, j in zip(new.tolist(), ends, strict=True)] for x in (code, times))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][new]), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "codes", "times"])
+            bucket = (code * np.uint64(buckets) >> np.uint64(SHORT_BITS)).astype(np.int64)
+            runs = _runs(bucket)
+            cells = [[_planes(x) for x in (np.diff(code[i:j], prepend=np.uint64(0)), times[i:j])] for i, j in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[[i for i, _ in runs]]), *(pa.array([c[k] for c in cells], pa.binary()) for k in (0, 1))], ["bucket", "codes", "times"])
 
     for code in slices:
-        distinct, _, times = _tallied(code, np.ones(len(code), np.int64))
+        distinct, _, times = _tallied(_short(code), np.ones(len(code), np.int64))
         tally.add(distinct, times, [])
         if tally.full():
             yield from out()
@@ -161,7 +180,7 @@ def _dealt(slices: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatc
 
 
 def _counted(cells: DataFrame, least: int) -> DataFrame:
-    """``(code, a)`` of the codes that occur ``least`` times or more: a task adds up bucket by bucket."""
+    """``short`` codes that occur ``least`` times or more: a task adds up bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, last = Tally(), None
@@ -170,18 +189,22 @@ def _counted(cells: DataFrame, least: int) -> DataFrame:
                 if last is not None and bucket.as_py() != last:
                     yield from frequent(tally)
                 last = bucket.as_py()
-                tally.add(np.frombuffer(codes.as_buffer(), "<u8"), np.frombuffer(times.as_buffer(), "<i8"), [])
+                tally.add(np.cumsum(_of_planes(codes), dtype=np.uint64), _of_planes(times).view(np.int64), [])
         yield from frequent(tally)
 
     def frequent(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, a, _ in tally.rows():
-            many = pa.array(a.to_numpy() >= least)
-            yield pa.RecordBatch.from_arrays([code.filter(many), a.filter(many)], ["code", "a"])
+        for code, times, _ in tally.rows():
+            yield pa.RecordBatch.from_arrays([code.filter(pa.array(times.to_numpy() >= least))], ["short"])
 
-    return cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "code long, a long")
+    return cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "short long")
 
 
 CELLS = "bucket long, codes binary, times binary"
+WORD_CELLS = "bucket long, langs array<string>, sizes array<int>, words binary, times binary"
+
+
+def _short(code: np.ndarray) -> np.ndarray:
+    return code >> np.uint64(64 - SHORT_BITS)
 
 
 def buckets_for(codes: int) -> int:
@@ -190,44 +213,70 @@ def buckets_for(codes: int) -> int:
 
 
 def word_counts(docs: DataFrame, least: int) -> DataFrame:
-    """``(code, a)`` of the frequent words."""
+    """``(code, lang, word, a)``: every frequent word, and without code and word the numbers ``a`` of words of a
+    language, in parts.  A word is dealt as its text and not as its code, so that frequent ones have names."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = buckets_for(size // WORD_BYTES)
-    cells = _texts(docs).mapInArrow(lambda batches: _dealt((code for _, _, code, _, _ in _word_slices(batches)), buckets), CELLS)
-    return _counted(cells, least)
-
-
-def word_names(docs: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
-    """``(code, lang, word, n)``: every frequent word, and without code the number ``n`` of all words
-    of a language."""
-    few = few_codes(frequent, most)
-    shared = docs.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes, or None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, totals = Tally(), Counter()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for flat, span, code, _, langs in _word_slices(batches):
-            totals.update({v["values"]: v["counts"] for v in langs.value_counts().to_pylist()})
             distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
-            if shared.value is not None:
-                known = _known(distinct, shared.value)
-                distinct, at, times = distinct[known], at[known], times[known]
             tally.add(distinct, times, [langs.take(pa.array(at)), _slices_of(flat, *span[:, at])])
             if tally.full():
-                yield from out(tally)
-        yield from out(tally)
-        n = len(totals)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(totals), pa.string()), pa.nulls(n, pa.string()), pa.array(list(totals.values()), pa.int64())], names)
-
-    def out(tally: Tally) -> Iterator[pa.RecordBatch]:
-        for code, times, more in tally.rows():
-            yield pa.RecordBatch.from_arrays([code, *more, times], names)
-
-    names = ["code", "lang", "word", "n"]
-    found = _texts(docs).mapInArrow(run, "code long, lang string, word string, n long")
-    if few is None:
-        asked = frequent.select("code").unionAll(frequent.sparkSession.createDataFrame([(None,)], "code long"))
-        found = found.join(asked.withColumnRenamed("code", "c"), F.col("code").eqNullSafe(F.col("c")), "leftsemi")
-    return found.groupBy("code", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+                yield from cells(tally)
+        yield from cells(tally)
+
+    def cells(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, times, (langs, found) in tally.rows():
+            code, times, coded = code.to_numpy().view(np.uint64), times.to_numpy(), langs.dictionary_encode()
+            bucket, lang = (code % np.uint64(buckets)).astype(np.int64), coded.indices.to_numpy()
+            order = np.lexsort((code, lang, bucket))
+            bucket, lang, runs = bucket[order], lang[order], _runs(bucket[order])
+            flat, offsets = text_bytes(pc.binary_join_element_wise(found.take(pa.array(order)), "", " "))
+            parts = _runs(bucket * len(coded.dictionary) + lang)
+            first = np.array([a for a, _ in parts], np.int64)
+            of = pa.array(np.searchsorted(first, [*(a for a, _ in runs), len(order)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[[a for a, _ in runs]]),
+                    pa.ListArray.from_arrays(of, coded.dictionary.take(pa.array(lang[first]))),
+                    pa.ListArray.from_arrays(of, pa.array([b - a for a, b in parts], pa.int32())),
+                    pa.array([flat[offsets[a] : offsets[b]].tobytes() for a, b in runs], pa.binary()),
+                    pa.array([_planes(times[order[a:b]]) for a, b in runs], pa.binary()),
+                ],
+                ["bucket", "langs", "sizes", "words", "times"],
+            )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, totals, last = [], Counter(), None
+        for batch in _freeing(batches):
+            for bucket, *cell in zip(*(column(batch, c) for c in ("bucket", "langs", "sizes", "words", "times")), strict=True):
+                if last is not None and bucket.as_py() != last:
+                    yield from frequent(held, totals)
+                    held = []
+                last = bucket.as_py()
+                held.append((cell[0].as_py(), cell[1].as_py(), cell[2].as_py(), _of_planes(cell[3]).view(np.int64)))
+        if held:
+            yield from frequent(held, totals)
+        none = pa.nulls(len(totals))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(list(totals), pa.string()), none.cast(pa.string()), pa.array(list(totals.values()), pa.int64())], names)
+
+    def frequent(held: list[tuple], totals: Counter) -> Iterator[pa.RecordBatch]:
+        """Of one bucket, of bounded size."""
+        flat = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
+        coded = pa.array([x for h in held for x in h[0]], pa.string()).dictionary_encode()
+        lang = np.repeat(coded.indices.to_numpy(), [x for h in held for x in h[1]])
+        n = np.concatenate([h[3] for h in held])
+        known = coded.dictionary.to_pylist()
+        totals.update(dict(zip(known, np.bincount(lang, n, len(known)).astype(np.int64).tolist(), strict=True)))
+        found = words(flat, np.array([0, len(flat)]))
+        code, at, a = _tallied(mix(found.code ^ _language_codes(coded.dictionary)[lang]), n)
+        code, at, a = code[a >= least], at[a >= least], a[a >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), coded.dictionary.take(pa.array(lang[at])), _slices_of(flat, found.start[at], found.end[at]), pa.array(a)], names)
+
+    names = ["code", "lang", "word", "a"]
+    return _texts(docs).mapInArrow(deal, WORD_CELLS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "code long, lang string, word string, a long")
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
@@ -258,7 +307,8 @@ def _blocks(relation: DataFrame) -> DataFrame:
 
 
 def longer_counts(relation: DataFrame, least: int) -> DataFrame:
-    """``(code, a)`` of the frequent sequences that are a word longer than those of the relation."""
+    """``short``: the first bits of the codes of all frequent sequences that are a word longer than those of the
+    relation, and perhaps of a few others."""
     blocks = _blocks(relation)
     size = blocks.agg(F.sum(F.octet_length("codes")).alias("n")).first()["n"] or 0
     buckets = buckets_for(size // 8)
@@ -275,10 +325,10 @@ def longer_rows(relation: DataFrame) -> DataFrame:
     return _blocks(relation).mapInArrow(run, "block long, place int, code long, head long, tail long")
 
 
-def few_codes(counts: DataFrame, most: int) -> np.ndarray | None:
-    """The codes, ascending, if there are at most ``most``."""
-    codes = counts.select("code").limit(most + 1).toArrow()["code"].to_numpy()
-    return np.sort(codes.view(np.uint64)) if len(codes) <= most else None
+def few_codes(codes: DataFrame, most: int) -> np.ndarray | None:
+    """The codes of the only column, ascending, if there are at most ``most``."""
+    found = codes.limit(most + 1).toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64)) if len(found) <= most else None
 
 
 def _known(code: np.ndarray, sorted_codes: np.ndarray) -> np.ndarray:
@@ -290,9 +340,9 @@ def _known(code: np.ndarray, sorted_codes: np.ndarray) -> np.ndarray:
 
 class Packer:
     """Rows of a relation as record batches: a row per block with the steps from place to place and the
-    codes; and, without block, the heads and tails of every code, where the rows have them."""
+    codes; and, without block, the heads, tails and times of every code, where the rows have heads."""
 
-    SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
+    SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("times", pa.int64())])
 
     def __init__(self):
         self.tally = Tally()
@@ -302,7 +352,7 @@ class Packer:
         if not len(code):
             return
         steps = np.diff(place, prepend=0).astype("<i4")
-        none = [pa.nulls(1, pa.int64())] * 3
+        none = [pa.nulls(1, pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([steps.tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()), *none], schema=self.SCHEMA)
         if parts:
             distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
@@ -311,9 +361,9 @@ class Packer:
                 yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        for code, _, more in self.tally.rows():
+        for code, times, more in self.tally.rows():
             none = [pa.nulls(len(code), self.SCHEMA.field(i).type) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*none, code, *more], schema=self.SCHEMA)
+            yield pa.RecordBatch.from_arrays([*none, code, *more, times], schema=self.SCHEMA)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -346,11 +396,16 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def _shuffled(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    return rows.join(counts.select("code"), "code", "leftsemi").repartition("block").sortWithinPartitions("block", "place")
+    """The rows whose code, or the ``short`` one, is among the counted, in order."""
+    by = counts.columns[0]
+    if by == "short":
+        rows = rows.withColumn("short", F.shiftrightunsigned("code", 64 - SHORT_BITS))
+    return rows.join(counts, by, "leftsemi").drop("short").repartition("block").sortWithinPartitions("block", "place")
 
 
 def word_relation(docs: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     """``R1``: the occurrences of frequent words."""
+    counts = counts.select("code")
     few = few_codes(counts, most)
     if few is None:
         return packed(_shuffled(word_rows(docs), counts))
@@ -367,7 +422,8 @@ def word_relation(docs: DataFrame, counts: DataFrame, most: int) -> DataFrame:
 
 
 def longer_relation(relation: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """``Rk+1``: the occurrences of frequent sequences that are a word longer than those of ``relation``."""
+    """``Rk+1``: the occurrences of the sequences, a word longer than those of ``relation``, whose short code is in
+    ``counts``: all frequent ones, and perhaps a few others, which ``next_level`` leaves out by their exact counts."""
     few = few_codes(counts, most)
     if few is None:
         return packed(_shuffled(longer_rows(relation), counts))
@@ -376,7 +432,7 @@ def longer_relation(relation: DataFrame, counts: DataFrame, most: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer()
         for block, place, code, head, tail in _joined(batches):
-            at = _known(code, shared.value)
+            at = _known(_short(code), shared.value)
             yield from packer.add(block, place[at], code[at], (head[at], tail[at]))
         yield from packer.end()
 
@@ -389,19 +445,18 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def first_level(counts: DataFrame, names: DataFrame) -> DataFrame:
+def first_level(frequent: DataFrame) -> DataFrame:
     """``C1``: frequent words ``(code, a, lang, phrase, last, heads, tails)``."""
-    found = counts.select("code", "a").join(names.drop("n"), "code")
-    return found.select("code", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
+    return frequent.select("code", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
 
 
-def next_level(counts: DataFrame, relation: DataFrame, shorter: DataFrame) -> DataFrame:
-    """``Ck+1`` from its counts, its relation and ``Ck``.  ``heads`` and ``tails`` hold the counts
+def next_level(relation: DataFrame, shorter: DataFrame, least: int) -> DataFrame:
+    """``Ck+1``, counted exactly, from its relation and ``Ck``.  ``heads`` and ``tails`` hold the counts
     of the first and last 1, 2, ... words; ``head`` and ``tail`` are the codes of the parts in ``Ck``."""
-    parts = relation.filter(F.col("block").isNull()).groupBy("code").agg(F.min("head").alias("head"), F.min("tail").alias("tail"))
+    counts = relation.filter(F.col("block").isNull()).groupBy("code").agg(F.sum("times").alias("a"), F.min("head").alias("head"), F.min("tail").alias("tail"))
     front = shorter.select(F.col("code").alias("head"), "lang", F.col("phrase").alias("front"), F.col("heads").alias("front_heads"))
     back = shorter.select(F.col("code").alias("tail"), "last", F.col("tails").alias("back_tails"))
-    return counts.join(parts, "code").join(front, "head").join(back, "tail").select(
+    return counts.filter(F.col("a") >= least).join(front, "head").join(back, "tail").select(
         "code", "a", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "last",
         F.concat("front_heads", F.array("a")).alias("heads"), F.concat("back_tails", F.array("a")).alias("tails"), "head", "tail",
     )
@@ -421,15 +476,15 @@ def scored(counts: DataFrame, length: int) -> DataFrame:
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, most: int = MOST_BROADCAST) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``first`` phrases of each language."""
-    words_of = _written(word_counts(docs, least), "words")
-    names = _written(word_names(docs, words_of, most), "names")
-    total = names.filter(F.col("code").isNull()).select("lang", "n")
-    counts = [_written(first_level(words_of, names), "level")]
+    counted = _written(word_counts(docs, least), "words")
+    words_of = counted.filter(F.col("code").isNotNull())
+    total = counted.filter(F.col("code").isNull()).groupBy("lang").agg(F.sum("a").alias("n"))
+    counts = [first_level(words_of)]
     relation = _written(word_relation(docs, words_of, most), "occurrences")
     for _ in range(2, longest + 1):
         frequent = _written(longer_counts(relation, least), "frequent")
         relation = _written(longer_relation(relation, frequent, most), "occurrences")
-        counts.append(_written(next_level(frequent, relation, counts[-1]), "level"))
+        counts.append(_written(next_level(relation, counts[-1], least), "level"))
     found = None
     for length in range(2, longest + 1):
         level = scored(counts[length - 1], length)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +157,38 @@ def test_phrases_of_tricky_and_empty_tables(shipped, empty, docs):
     assert P.phrases(empty).collect() == []
 
 
+def test_words_are_named_once(shipped, speech):
+    """However many tasks hold a word; the language totals come along."""
+    df = shipped.createDataFrame(speech, DOC_SCHEMA).repartition(9)
+    rows = P.word_counts(df, 5).collect()
+    named = [(r.lang, r.word) for r in rows if r.code is not None]
+    assert len(named) == len(set(named)) > 10 and all(r.a >= 5 for r in rows if r.code is not None)
+    totals = Counter()
+    for r in rows:
+        totals[r.lang] += r.a if r.code is None else 0
+    want = Counter()
+    for _, text, lang in speech:
+        want["und" if lang is None else lang] += len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", text or ""))
+    assert {k: v for k, v in totals.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_cells_of_short_codes_cost_few_bytes():
+    rng = np.random.default_rng(1)
+    code = rng.integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2)
+    batch = next(P._dealt(iter([code]), 3))
+    back = [np.cumsum(P._of_planes(c), dtype=np.uint64) for c in batch.column(1)]
+    assert np.array_equal(np.concatenate(back), np.unique(P._short(code)))
+    assert sum(int(P._of_planes(c).sum()) for c in batch.column(2)) == len(code)
+    sent = sum(len(pa.compress(c.as_py(), "lz4", asbytes=True)) for i in (1, 2) for c in batch.column(i))
+    assert sent < 5 * len(code)
+
+
+def test_rare_codes_of_a_relation_are_left_out(shipped):
+    words = shipped.createDataFrame([(i, 9, "en", w, w, [9], [9]) for i, w in enumerate("ab")], "code long, a long, lang string, phrase string, last string, heads array<long>, tails array<long>")
+    relation = shipped.createDataFrame([(None, None, None, 7, 0, 1, 2), (None, None, None, 7, 0, 1, 3), (None, None, None, 8, 1, 0, 4)], P.RELATION)
+    assert [(r.code, r.a, r.phrase) for r in P.next_level(relation, words, 5).collect()] == [(7, 5, "a b")]
+
+
 def test_scores_past_64_bits(shipped):
     big = 6 * 10**12  # times 2,000,000 is more than a long holds
     df = shipped.createDataFrame([(1, big, "en", "a b", "b", [big + 1, big], [big + 3, big], 0, 0)], "code long, a long, lang string, phrase string, last string, heads array<long>, tails array<long>, head long, tail long")
