@@ -17,7 +17,7 @@ from feedlake.llm.quality import keep_good
 from feedlake.llm.queries import table
 from feedlake.llm.substring_dedup import drop_repeats
 from feedlake.llm.toxicity import drop_toxic
-from feedlake.session import ensure_checkpoint_dir, scratch_path, ship_package
+from feedlake.session import bound_batches, ensure_checkpoint_dir, scratch_path, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    bound_batches(spark)
 
 
 STAGES = [

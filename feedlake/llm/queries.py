@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
-from feedlake.session import ensure_checkpoint_dir, scratch_path, ship_package
+from feedlake.session import bound_batches, ensure_checkpoint_dir, scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,6 +24,7 @@ def query(fn):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
