@@ -440,8 +440,10 @@ def longer_relation(relation: DataFrame, counts: DataFrame, most: int) -> DataFr
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table written and read again.  A row of a relation is a block of some hundred KB; a page, which is compressed
+    and read as one, ends with the row that fills it, and not with the hundredth at the earliest."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.page.size.row.check.min", 1).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,6 +184,23 @@ def test_cells_of_short_codes_cost_few_bytes():
     assert sent < 5 * len(code)
 
 
+def test_pages_of_a_relation_hold_few_blocks(shipped):
+    """The first page of a column with blocks of 256 KB, by its header: its kind and its size as variable-length numbers."""
+    rows = [(bytearray(np.random.default_rng(i).bytes(1 << 18)),) for i in range(40)]
+    written = P._written(shipped.createDataFrame(rows, "codes binary").coalesce(1), "pages")
+    assert sorted(bytes(r[0]) for r in written.collect()) == sorted(bytes(r[0]) for r in rows)
+    path = written.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    with open(path, "rb") as f:
+        f.seek(pq.ParquetFile(path).metadata.row_group(0).column(0).data_page_offset)
+        head = f.read(16)
+    size, at, shift = 0, 3, 0  # after the mark and the number of the kind, and the mark of the size
+    while True:
+        size, shift, at = size | (head[at] & 127) << shift, shift + 7, at + 1
+        if head[at - 1] < 128:
+            break
+    assert 0 < size >> 1 < 4 << 20
+
+
 def test_rare_codes_of_a_relation_are_left_out(shipped):
     words = shipped.createDataFrame([(i, 9, "en", w, w, [9], [9]) for i, w in enumerate("ab")], "code long, a long, lang string, phrase string, last string, heads array<long>, tails array<long>")
     relation = shipped.createDataFrame([(None, None, None, 7, 0, 1, 2), (None, None, None, 7, 0, 1, 3), (None, None, None, 8, 1, 0, 4)], P.RELATION)
