@@ -4,22 +4,24 @@ An occurrence relation ``Rk`` holds a row ``(block, place, code)`` for every fre
 of the corpus.  ``code`` is a hash of the language and the words; consecutive words of a piece have
 consecutive places, and a piece is followed by a gap, so "same piece, next position" is "same block, next
 place".  Each relation is written to the shared folder, sorted by block and place, with a block's rows
-packed into one row, so that no task reads half a piece.  One level:
+packed into one row, so that no task reads half a piece.  A packed row holds the words that its sequences cover, each
+once and as its number in the order of falling frequency, and marks where a sequence begins; codes are formed from the
+words where they are needed.  So a relation costs one or two bytes a word, however long and however many its sequences.
+The ``most`` most frequent words have numbers, in a broadcast; other frequent ones stand with their codes.  One level:
 
 1. merge-join: a row of ``Rk`` and the row of the next place make a longer row (for the first level, every
    word of the texts is one);
 2. group-count: each task counts its own codes, cut to their first ``SHORT_BITS`` bits, and deals them by code to
    buckets, whose number grows with the relation; Spark shuffles the buckets, as steps from code to code, and a
    bucket of bounded size is added up at a time.  A short code counts at least as often as each of its codes, so those
-   that occur ``least`` times or more miss no frequent code.  Words are dealt as texts, which names the frequent ones;
-3. semi-join: the longer rows whose short code was kept are written as ``Rk+1``, with exact counts by task, and
-   ``Ck+1`` holds the codes whose sum is ``least`` or more.  A rare code among the rows does no harm: whatever holds
-   a rare sequence is rare.  If a count shows that at most ``MOST_BROADCAST`` codes (8 MB) were kept, each task gets
-   them and looks its rows up where they are; otherwise both sides are shuffled by code and the rows go back to
-   their blocks, in order.
-
-The longer rows are joined once to be counted and once to be written, because most of them are rare
-and are never stored.
+   that occur ``least`` times or more miss no frequent code.  They are kept as a Bloom filter, bucket by bucket, of at
+   most ``FILTER_BYTES``.  Words are dealt as texts, which names the frequent ones;
+3. semi-join: each task gets the filter, and the longer rows that pass it are written as ``Rk+1``.  A rare code among
+   them does no harm: whatever holds a rare sequence is rare.  The same rows are counted exactly: each task counts its
+   own, deals them to buckets as the numbers of their words, and ``Ck+1`` holds the codes whose sum is ``least`` or more.
+
+The longer rows are formed to be counted, to be written and to be counted exactly, because most of them are rare
+and are never stored; the longest are not written, as nothing is joined to them.
 The count tables carry the phrase and the counts of its
 beginnings and ends, handed on from the shorter phrases, so the scores need no look at the corpus.
 A phrase lies inside a longer candidate only if it lies inside one that is a single word longer and
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,11 @@ BLOCK_BYTES = 1 << 17
 MOST_DISTINCT = 100_000
 BUCKET_CODES, WORD_BYTES = 500_000, 6
 SHORT_BITS = 44
+#: Words with a number, in a broadcast of 12 bytes each.
 MOST_BROADCAST = 1_000_000
+#: A filter has so many bits a code, and bytes at most; above that more rare codes pass.
+FILTER_BITS, PROBES, FILTER_BYTES = 12, 3, 24 << 20
+_SEEDS = np.arange(1, PROBES + 1, dtype=np.uint64) * MULT
 CUT_SCALE = 2_000_000
 COVER_PERCENT = 80
 
@@ -62,6 +68,7 @@ _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _TEXT[_PIECE_END] = 0x0A
 
 RELATION = "block long, place binary, codes binary, code long, head long, tail long, times long"
+SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("times", pa.int64())])
 
 
 def _slices_of(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -144,12 +151,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """The lowest bytes of the numbers, then the next ones: equal bytes stand together and cost little to send."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """How many bytes the largest number needs, the lowest bytes of the numbers, then the next ones: equal bytes stand
+    together and cost little to send."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
 
 
 def _of_planes(cell: pa.Scalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(cell.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    data = np.frombuffer(cell.as_buffer(), np.uint8)
+    planes = data[1:].reshape(int(data[0]), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").reshape(-1)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -158,6 +171,10 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return [*zip([0, *cuts[:-1]], cuts, strict=True)] if len(values) else []
 
 
+def _bucket(short: np.ndarray, buckets: int) -> np.ndarray:
+    return (short * np.uint64(buckets) >> np.uint64(SHORT_BITS)).astype(np.int64)
+
+
 def _dealt(slices: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """``(bucket, codes, times)``: counts of the short codes, dealt by range to buckets; a cell holds their ascending
     steps."""
@@ -166,7 +183,7 @@ def _dealt(slices: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatc
     def out() -> Iterator[pa.RecordBatch]:
         for code, times, _ in tally.rows():
             code, times = code.to_numpy().view(np.uint64), times.to_numpy()
-            bucket = (code * np.uint64(buckets) >> np.uint64(SHORT_BITS)).astype(np.int64)
+            bucket = _bucket(code, buckets)
             runs = _runs(bucket)
             cells = [[_planes(x) for x in (np.diff(code[i:j], prepend=np.uint64(0)), times[i:j])] for i, j in runs]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[[i for i, _ in runs]]), *(pa.array([c[k] for c in cells], pa.binary()) for k in (0, 1))], ["bucket", "codes", "times"])
@@ -179,24 +196,63 @@ def _dealt(slices: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatc
     yield from out()
 
 
-def _counted(cells: DataFrame, least: int) -> DataFrame:
-    """``short`` codes that occur ``least`` times or more: a task adds up bucket by bucket."""
+def _probe(short: np.ndarray, size: np.ndarray | np.uint64, i: int) -> np.ndarray:
+    """The ``i``-th place of codes in segments of so many bits."""
+    return ((mix(short + _SEEDS[i]) >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+
+
+def _segment(short: np.ndarray, most_bits: int) -> bytes:
+    """The bits of some codes of one bucket."""
+    bits = np.zeros(-(-max(64, min(most_bits, FILTER_BITS * len(short))) // 8) * 8, bool)
+    for i in range(PROBES):
+        bits[_probe(short, np.uint64(len(bits)), i)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Filter:
+    """Bloom filter of short codes in segments, one a bucket of codes."""
+
+    def __init__(self, segments: pa.Table, buckets: int):
+        segments = segments.sort_by("bucket")
+        cells = segments["bits"].to_pylist()
+        self.buckets, self.size, self.first = buckets, np.zeros(buckets, np.uint64), np.zeros(buckets, np.int64)
+        self.size[segments["bucket"].to_numpy()] = size = np.array([8 * len(c) for c in cells], np.uint64)
+        self.first[segments["bucket"].to_numpy()] = np.cumsum(size, dtype=np.int64) - size.astype(np.int64)
+        self.bits = np.frombuffer(b"".join(cells), np.uint8)
+
+    def places(self, short: np.ndarray) -> np.ndarray:
+        """Places of the codes that pass: all that were put in, and few others."""
+        bucket = _bucket(short, self.buckets)
+        at = np.flatnonzero(self.size[bucket] > 0)
+        for i in range(PROBES):
+            of = bucket[at]
+            place = self.first[of] + _probe(short[at], self.size[of], i)
+            at = at[(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+        return at
+
+
+def _counted(cells: DataFrame, least: int, buckets: int) -> Filter:
+    """Of the ``short`` codes that occur ``least`` times or more: a task adds up bucket by bucket."""
+    most_bits = 8 * FILTER_BYTES // buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, last = Tally(), None
         for batch in _freeing(batches):
             for bucket, codes, times in zip(*(column(batch, c) for c in ("bucket", "codes", "times")), strict=True):
                 if last is not None and bucket.as_py() != last:
-                    yield from frequent(tally)
+                    yield from frequent(last, tally)
                 last = bucket.as_py()
                 tally.add(np.cumsum(_of_planes(codes), dtype=np.uint64), _of_planes(times).view(np.int64), [])
-        yield from frequent(tally)
+        yield from frequent(last, tally)
 
-    def frequent(tally: Tally) -> Iterator[pa.RecordBatch]:
+    def frequent(bucket: int, tally: Tally) -> Iterator[pa.RecordBatch]:
         for code, times, _ in tally.rows():
-            yield pa.RecordBatch.from_arrays([code.filter(pa.array(times.to_numpy() >= least))], ["short"])
+            kept = code.to_numpy().view(np.uint64)[times.to_numpy() >= least]
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([_segment(kept, most_bits)])], ["bucket", "bits"])
 
-    return cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "short long")
+    segments = cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, bits binary")
+    return Filter(segments.toArrow(), buckets)
 
 
 CELLS = "bucket long, codes binary, times binary"
@@ -279,171 +335,160 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
     return _texts(docs).mapInArrow(deal, WORD_CELLS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "code long, lang string, word string, a long")
 
 
-def word_rows(docs: DataFrame) -> DataFrame:
-    """``(block, place, code)`` of every word; a block's rows stand together, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for _, _, code, place, _ in _word_slices(batches):
-            block += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(place.astype(np.int32)), pa.array(code.view(np.int64))], ["block", "place", "code"])
-
-    return _texts(docs).mapInArrow(run, "block long, place int, code long")
+def ranked_codes(words_of: DataFrame, most: int) -> np.ndarray:
+    """The codes of the most frequent words, by falling frequency; at most ``most``."""
+    return words_of.orderBy(F.desc("a"), "code").limit(most).select("code").toArrow()["code"].to_numpy().view(np.uint64)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Merge-join of the packed blocks of a relation with themselves by the next place: (block,
-    places, codes of the longer sequences, of their heads and of their tails)."""
-    for batch in _freeing(batches):
-        for block, steps, codes in zip(*(column(batch, c) for c in ("block", "place", "codes")), strict=True):
-            place, code = np.cumsum(np.frombuffer(steps.as_buffer(), "<i4"), dtype=np.int32), np.frombuffer(codes.as_buffer(), "<u8")
-            at = np.flatnonzero(place[1:] == place[:-1] + 1)
-            head, tail = code[at], code[at + 1]
-            yield block.as_py(), place[at], mix(mix(head) * MULT + tail), head, tail
+def word_filter(words_of: DataFrame, n: int) -> Filter:
+    """Of the ``n`` frequent words."""
+    buckets = buckets_for(n)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _dealt((column(batch, "code").to_numpy().view(np.uint64) for batch in batches), buckets)
 
-def _blocks(relation: DataFrame) -> DataFrame:
-    return relation.filter(F.col("block").isNotNull()).select("block", "place", "codes")
+    return _counted(words_of.select("code").mapInArrow(run, CELLS), 1, buckets)
 
 
-def longer_counts(relation: DataFrame, least: int) -> DataFrame:
-    """``short``: the first bits of the codes of all frequent sequences that are a word longer than those of the
-    relation, and perhaps of a few others."""
-    blocks = _blocks(relation)
-    size = blocks.agg(F.sum(F.octet_length("codes")).alias("n")).first()["n"] or 0
-    buckets = buckets_for(size // 8)
-    return _counted(blocks.mapInArrow(lambda batches: _dealt((code for _, _, code, _, _ in _joined(batches)), buckets), CELLS), least)
+def _pack(block: int, place: np.ndarray, number: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One block of a relation: the steps from word to word, with a bit for those that begin a sequence, the numbers of the
+    words, and in ``times`` how many sequences there are."""
+    if start.any():
+        steps = np.diff(place, prepend=0).astype(np.uint64) << np.uint64(1) | start.astype(np.uint64)
+        none = [pa.nulls(1, pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_planes(steps)]), pa.array([_planes(number)]), *none, pa.array([np.count_nonzero(start)], pa.int64())], schema=SCHEMA)
 
 
-def longer_rows(relation: DataFrame) -> DataFrame:
-    """``(block, place, code, head, tail)`` of these sequences, in order."""
+def word_relation(docs: DataFrame, ranked: np.ndarray, rest: Filter | None) -> DataFrame:
+    """``R1``: the occurrences of frequent words, those of ``ranked`` as their places there, those of ``rest`` as codes."""
+    order = np.argsort(ranked)
+    shared = docs.sparkSession.sparkContext.broadcast((ranked[order], order.astype(np.int32), rest))  # at most ``most`` codes, ``FILTER_BYTES``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, place, *codes in _joined(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), *(pa.array(c.view(np.int64)) for c in codes)], ["block", "place", "code", "head", "tail"])
-
-    return _blocks(relation).mapInArrow(run, "block long, place int, code long, head long, tail long")
-
-
-def few_codes(codes: DataFrame, most: int) -> np.ndarray | None:
-    """The codes of the only column, ascending, if there are at most ``most``."""
-    found = codes.limit(most + 1).toArrow().column(0).to_numpy()
-    return np.sort(found.view(np.uint64)) if len(found) <= most else None
-
-
-def _known(code: np.ndarray, sorted_codes: np.ndarray) -> np.ndarray:
-    """Places of the codes that are among ``sorted_codes``."""
-    if not len(sorted_codes):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(sorted_codes[np.minimum(np.searchsorted(sorted_codes, code), len(sorted_codes) - 1)] == code)
+        block = TaskContext.get().partitionId() << 32
+        known, number_of, others = shared.value
+        for _, _, code, place, _ in _word_slices(batches):
+            block += 1
+            keep, number = np.zeros(len(code), bool), code.copy()
+            if len(known):
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                keep = known[at] == code
+                number[keep] = number_of[at[keep]]
+            if others is not None:
+                more = np.flatnonzero(~keep)
+                keep[more[others.places(_short(code[more]))]] = True
+            yield from _pack(block, place[keep], number[keep], np.ones(np.count_nonzero(keep), bool))
 
+    return _texts(docs).mapInArrow(run, RELATION)
 
-class Packer:
-    """Rows of a relation as record batches: a row per block with the steps from place to place and the
-    codes; and, without block, the heads, tails and times of every code, where the rows have heads."""
 
-    SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("codes", pa.binary()), ("code", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("times", pa.int64())])
+def _codes(number: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """The codes of words from their numbers."""
+    return np.where(number < len(ranked), ranked[np.minimum(number, np.uint64(len(ranked) - 1))], number) if len(ranked) else number
 
-    def __init__(self):
-        self.tally = Tally()
-
-    def add(self, block: int, place: np.ndarray, code: np.ndarray, parts: tuple[np.ndarray, ...] = ()) -> Iterator[pa.RecordBatch]:
-        """One block."""
-        if not len(code):
-            return
-        steps = np.diff(place, prepend=0).astype("<i4")
-        none = [pa.nulls(1, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([steps.tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()), *none], schema=self.SCHEMA)
-        if parts:
-            distinct, at, times = _tallied(code, np.ones(len(code), np.int64))
-            self.tally.add(distinct, times, [pa.array(x[at].view(np.int64)) for x in parts])
-            if self.tally.full():
-                yield from self.end()
 
-    def end(self) -> Iterator[pa.RecordBatch]:
-        for code, times, more in self.tally.rows():
-            none = [pa.nulls(len(code), self.SCHEMA.field(i).type) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*none, code, *more, times], schema=self.SCHEMA)
+def _of_parts(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The codes of sequences whose first words but one have the code ``head`` and the last ones ``tail``."""
+    return mix(mix(head) * MULT + tail)
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """The relation of rows whose blocks stand together, in order."""
-    names = ["head", "tail"] if "head" in rows.columns else []
+def _joined(batches: Iterator[pa.RecordBatch], ranked: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Merge-join of the packed blocks of ``Rk`` with themselves by the next place: (block, places and numbers of
+    the words, which of them begin a longer sequence, codes of these)."""
+    for batch in _freeing(batches):
+        for block, steps, numbers in zip(*(column(batch, c) for c in ("block", "place", "codes")), strict=True):
+            steps, number = _of_planes(steps), _of_planes(numbers)
+            place, start = np.cumsum(steps >> np.uint64(1), dtype=np.int64), (steps & np.uint64(1)).astype(bool)
+            at = np.flatnonzero(start[1:] & start[:-1] & (place[1:] == place[:-1] + 1))
+            if len(at):
+                code = _codes(number, ranked)
+                for _ in range(k - 1):
+                    code = _of_parts(code[:-1], code[1:])
+                yield block.as_py(), place, number, at, _of_parts(code[at], code[at + 1])
+
+
+def longer_filter(relation: DataFrame, ranked: Broadcast, k: int, n: int, least: int) -> Filter:
+    """Of the first bits of the codes of all frequent sequences that are a word longer than the ``n`` of ``Rk``, and
+    perhaps of a few others."""
+    buckets = buckets_for(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, held, last = Packer(), [], None
-        for batch in batches:
-            block = column(batch, "block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if held and block[a] != last:
-                    yield from one(packer, last, held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = int(block[a])
-        if held:
-            yield from one(packer, last, held)
-        yield from packer.end()
+        return _dealt((code for *_, code in _joined(batches, ranked.value, k)), buckets)
 
-    def one(packer: Packer, block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        place, code, *parts = (table[c].to_numpy() for c in ["place", "code", *names])
-        yield from packer.add(block, place, code.view(np.uint64), tuple(parts))
+    return _counted(relation.mapInArrow(run, CELLS), least, buckets)
 
-    return rows.mapInArrow(run, RELATION)
 
+def longer_relation(relation: DataFrame, ranked: Broadcast, kept: Broadcast, k: int) -> DataFrame:
+    """``Rk+1``: the occurrences of the sequences, a word longer than those of ``Rk``, that pass the filter."""
 
-def _shuffled(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rows whose code, or the ``short`` one, is among the counted, in order."""
-    by = counts.columns[0]
-    if by == "short":
-        rows = rows.withColumn("short", F.shiftrightunsigned("code", 64 - SHORT_BITS))
-    return rows.join(counts, by, "leftsemi").drop("short").repartition("block").sortWithinPartitions("block", "place")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, place, number, at, code in _joined(batches, ranked.value, k):
+            start = np.zeros(len(place), bool)
+            start[at[kept.value.places(_short(code))]] = True
+            cover = start.copy()
+            for j in range(1, k + 1):
+                cover[j:] |= start[:-j]
+            yield from _pack(block, place[cover], number[cover], start[cover])
 
+    return relation.mapInArrow(run, RELATION)
 
-def word_relation(docs: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """``R1``: the occurrences of frequent words."""
-    counts = counts.select("code")
-    few = few_codes(counts, most)
-    if few is None:
-        return packed(_shuffled(word_rows(docs), counts))
-    shared = docs.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, packer = TaskContext.get().partitionId() << 32, Packer()
-        for _, _, code, place, _ in _word_slices(batches):
-            block += 1
-            at = _known(code, shared.value)
-            yield from packer.add(block, place[at], code[at])
+def longer_counts(relation: DataFrame, ranked: Broadcast, kept: Broadcast, k: int, n: int, least: int) -> DataFrame:
+    """``(code, head, tail, times)`` of the frequent ones among these sequences, with their exact counts.  They are dealt
+    to buckets as the numbers of their words: steps of the first, which ascends, and the others."""
+    buckets = buckets_for(n)
 
-    return _texts(docs).mapInArrow(run, RELATION)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for _, _, number, at, code in _joined(batches, ranked.value, k):
+            some = kept.value.places(_short(code))
+            distinct, first, times = _tallied(code[some], np.ones(len(some), np.int64))
+            tally.add(distinct, times, [pa.array(number[at[some[first]] + j]) for j in range(k + 1)])
+            if tally.full():
+                yield from cells(tally)
+        yield from cells(tally)
 
+    def cells(tally: Tally) -> Iterator[pa.RecordBatch]:
+        for code, times, numbers in tally.rows():
+            bucket, number = _bucket(_short(code.to_numpy().view(np.uint64)), buckets), np.stack([x.to_numpy() for x in numbers])
+            order = np.lexsort((*number[::-1], bucket))
+            bucket, number, times = bucket[order], number[:, order], times.to_numpy()[order]
+            runs = _runs(bucket)
+            found = [np.concatenate([np.diff(number[0, a:b], prepend=np.uint64(0)), *number[1:, a:b]]) for a, b in runs]
+            columns = [[_planes(x) for x in found], [_planes(times[a:b]) for a, b in runs]]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in runs]]), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "codes", "times"])
 
-def longer_relation(relation: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """``Rk+1``: the occurrences of the sequences, a word longer than those of ``relation``, whose short code is in
-    ``counts``: all frequent ones, and perhaps a few others, which ``next_level`` leaves out by their exact counts."""
-    few = few_codes(counts, most)
-    if few is None:
-        return packed(_shuffled(longer_rows(relation), counts))
-    shared = relation.sparkSession.sparkContext.broadcast(few)  # at most ``most`` codes
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in _freeing(batches):
+            for bucket, numbers, times in zip(*(column(batch, c) for c in ("bucket", "codes", "times")), strict=True):
+                if last is not None and bucket.as_py() != last:
+                    yield from frequent(held)
+                    held = []
+                last = bucket.as_py()
+                number = _of_planes(numbers).reshape(k + 1, -1)
+                held.append((np.concatenate([np.cumsum(number[:1], axis=1, dtype=np.uint64), number[1:]]), _of_planes(times).view(np.int64)))
+        if held:
+            yield from frequent(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer()
-        for block, place, code, head, tail in _joined(batches):
-            at = _known(_short(code), shared.value)
-            yield from packer.add(block, place[at], code[at], (head[at], tail[at]))
-        yield from packer.end()
+    def frequent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Of one bucket, of bounded size."""
+        code = _codes(np.concatenate([x for x, _ in held], axis=1), ranked.value)
+        while len(code) > 2:
+            code = _of_parts(code[:-1], code[1:])
+        distinct, at, times = _tallied(_of_parts(*code), np.concatenate([x for _, x in held]))
+        often = times >= least
+        at, none = at[often], [pa.nulls(np.count_nonzero(often), SCHEMA.field(i).type) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*none, *(pa.array(x.view(np.int64)) for x in (distinct[often], code[0, at], code[1, at])), pa.array(times[often])], schema=SCHEMA)
 
-    return _blocks(relation).mapInArrow(run, RELATION)
+    return relation.mapInArrow(deal, CELLS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, RELATION)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The table written and read again.  A row of a relation is a block of some hundred KB; a page, which is compressed
     and read as one, ends with the row that fills it, and not with the hundredth at the earliest."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("parquet.page.size.row.check.min", 1).parquet(path)
+    df.write.option("parquet.page.size.row.check.min", 1).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -482,11 +527,16 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 200
     words_of = counted.filter(F.col("code").isNotNull())
     total = counted.filter(F.col("code").isNull()).groupBy("lang").agg(F.sum("a").alias("n"))
     counts = [first_level(words_of)]
-    relation = _written(word_relation(docs, words_of, most), "occurrences")
-    for _ in range(2, longest + 1):
-        frequent = _written(longer_counts(relation, least), "frequent")
-        relation = _written(longer_relation(relation, frequent, most), "occurrences")
-        counts.append(_written(next_level(relation, counts[-1], least), "level"))
+    known, context = ranked_codes(words_of, most), docs.sparkSession.sparkContext
+    frequent = words_of.count()
+    relation = _written(word_relation(docs, known, word_filter(words_of, frequent) if frequent > len(known) else None), "occurrences")
+    ranked = context.broadcast(known)  # at most ``most``
+    for k in range(1, longest):
+        n = relation.agg(F.sum("times").alias("n")).first()["n"] or 0
+        kept = context.broadcast(longer_filter(relation, ranked, k, n, least))  # at most ``FILTER_BYTES``
+        counts.append(_written(next_level(longer_counts(relation, ranked, kept, k, n, least), counts[-1], least), "level"))
+        if k + 1 < longest:
+            relation = _written(longer_relation(relation, ranked, kept, k), "occurrences")
     found = None
     for length in range(2, longest + 1):
         level = scored(counts[length - 1], length)

@@ -201,6 +201,35 @@ def test_pages_of_a_relation_hold_few_blocks(shipped):
     assert 0 < size >> 1 < 4 << 20
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_relations_are_blocks_of_few_bytes_a_word(shipped, monkeypatch, most):
+    """However many codes are frequent: no row is stored for a sequence, and the longest are not stored."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=400)), "en") for i in range(60)]
+    df = shipped.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    stored, written = [], P._written
+    monkeypatch.setattr(P, "_written", lambda table, name: stored.append((name, written(table, name))) or stored[-1][1])
+    found = P.phrases(df, least=3, most=most)
+    relations = [t for name, t in stored if name == "occurrences"]
+    assert len(relations) == 3
+    for t in relations:
+        assert t.count() <= 60 and t.filter("block is null").count() == 0
+        assert t.selectExpr("sum(octet_length(place) + octet_length(codes)) as n").first()["n"] <= (3 if most else 9) * 60 * 400 + 2 * 60
+    assert phrase_rows(found) == plain_phrases(rows, 3)
+
+
+def test_a_filter_passes_all_its_codes_and_few_others(shipped):
+    rng = np.random.default_rng(2)
+    code = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2))
+    often, rare = code[:2000], code[2000:]
+    cells = shipped.createDataFrame(pa.Table.from_batches([*P._dealt(iter([often, rare, often]), 5)]).to_pandas(), P.CELLS)
+    found = P._counted(cells, 2, 5)
+    assert len(found.places(P._short(often))) == len(often)
+    assert len(found.places(P._short(rare))) < 100
+    assert len(P.Filter(pa.table({"bucket": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())}), 3).places(P._short(rare))) == 0
+
+
 def test_rare_codes_of_a_relation_are_left_out(shipped):
     words = shipped.createDataFrame([(i, 9, "en", w, w, [9], [9]) for i, w in enumerate("ab")], "code long, a long, lang string, phrase string, last string, heads array<long>, tails array<long>")
     relation = shipped.createDataFrame([(None, None, None, 7, 0, 1, 2), (None, None, None, 7, 0, 1, 3), (None, None, None, 8, 1, 0, 4)], P.RELATION)
