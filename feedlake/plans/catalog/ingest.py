@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedlake.operators.filters import fresh, keep_newest
 from feedlake.plans.catalog.views import FEEDBACK, NON_SPACE_SQL, hash_sql
 from feedlake.plans.registry import register
-from feedlake.session import scratch_path
+from feedlake.session import scratch_path, written_once
 from feedlake.sources.csv import read_feedback_csv
 from feedlake.sources.csv_split import read_split_csv
 from feedlake.sources.embeddings import append_new_embeddings
@@ -90,10 +90,10 @@ def _monthly_loads(spark, sf_dir) -> str:
     """English rows are loaded in February, German ones in March, all rows in April and again in
     May; every load asks the sketches of the months before.  Returns the table's path."""
     path, sketches = scratch_path(spark, "monthly-history"), scratch_path(spark, "monthly-sketches")
-    f = feedback(spark, sf_dir)
+    f = written_once(feedback(spark, sf_dir), "feedback", "zstd")  # one join for the four loads
     loads = [(f.filter("lang = 'en'"), "2024-02-01"), (f.filter("lang = 'de'"), "2024-03-01"), (f, "2024-04-01"), (f, "2024-05-01")]
     for rows, day in loads:
-        append_new_sketched(rows, path, sketches, f"{day} 00:00:00")
+        append_new_sketched(rows, path, sketches, f"{day} 00:00:00", stored=True)
     return path
 
 

@@ -91,9 +91,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/feedlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
+def written_once(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read again, for rows that several jobs use: each
     then reads the columns it needs and repeats none of the work."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from feedlake.functions.timeparts import parse_ts
 from feedlake.operators.dedupe import first_per_key, new_rows, with_hash
 from feedlake.operators.filters import non_blank, two_clock_range
 from feedlake.session import written_once
-from feedlake.sources.roles import quoted, resolve_roles
+from feedlake.sources.roles import Roles, quoted, resolve_roles
 
 HISTORY_SCHEMA = T.StructType(
     [
@@ -40,11 +40,16 @@ def history_rows(df: DataFrame, stored_at: str, existing: DataFrame | None = Non
     already in ``existing``; projected to the history layout."""
     roles = resolve_roles(df)
     roles.require("text")
-    src_cols = [c for c in df.columns if c != order]
     base = with_hash(non_blank(df, roles.text), roles.text)
     first = first_per_key(base, "text_hash", order)
     if existing is not None:
         first = new_rows(first, existing, "text_hash", probe=True)
+    return history_layout(first, df, roles, stored_at, order)
+
+
+def history_layout(first: DataFrame, df: DataFrame, roles: Roles, stored_at: str, order: str) -> DataFrame:
+    """Rows of ``df`` with their ``text_hash`` as rows of the history table."""
+    src_cols = [c for c in df.columns if c != order]
     level = lenient_int(quoted(roles.level)) if roles.level else F.lit(None).cast("int")
     if roles.timestamp:
         ts = parse_ts(quoted(roles.timestamp), df.schema[roles.timestamp].dataType.simpleString())

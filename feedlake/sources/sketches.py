@@ -21,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.operators.dedupe import new_rows
+from feedlake.operators.dedupe import new_rows, with_hash
+from feedlake.operators.filters import non_blank
 from feedlake.session import scratch_path, written_once
-from feedlake.sources.history import MOST_MONTHS, history_rows, open_history
-from feedlake.sources.roles import quoted
+from feedlake.sources.history import MOST_MONTHS, history_layout, open_history
+from feedlake.sources.roles import quoted, resolve_roles
 
 SKETCH_SCHEMA = "stored_month string, bucket int, bits binary"
 BUCKETS = 1024  # blocks of 4 KiB a month; about 8 bits a hash at 4 million hashes
 BITS = 4
+MOST_BITMAPS = 8192  # of 4 KiB, in a broadcast: places in up to 268 million rows
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -71,12 +73,16 @@ def compact_sketches(spark: SparkSession, path: str, target: str, buckets: int =
     merged(open_sketches(spark, path, buckets), "stored_month", "bucket").write.parquet(f"{target.rstrip('/')}/buckets={buckets}")
 
 
+def _is_set(place: Column, bits: str = "bits") -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+
 def _may_hold(key: Column) -> Column:
     """All bits of ``key`` are set in the column ``bits``."""
     found = F.lit(True)
     for place in _places(key):
-        byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found = found & (F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1)
+        found = found & _is_set(place)
     return found
 
 
@@ -110,15 +116,40 @@ def new_rows_by_sketch(df: DataFrame, history: DataFrame, sketches: DataFrame, b
     return new_rows(df, history.filter(F.col("stored_month").isin(months)), key, probe=True)
 
 
-def append_new_sketched(df: DataFrame, history_path: str, sketch_path: str, stored_at: str, order: str = "row_id", buckets: int = BUCKETS) -> int:
-    """``append_new_history`` through the sketches; returns how many rows were appended."""
+def _located(df: DataFrame, stored: bool) -> DataFrame:
+    """``df`` with the place of every row, ``(__file, __row)``; rows that are not stored are written first."""
+    if stored:
+        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return written_once(df.select("*", F.lit("").alias("__file"), F.monotonically_increasing_id().alias("__row")), "load", "zstd")
+
+
+def _rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows that stand at ``places``.  These are sent as bitmaps of 32,768 rows each, so that no row is shuffled."""
+    bits = places.groupBy("__file", F.shiftright("__row", 15).alias("__part")).agg(F.bitmap_construct_agg(F.col("__row").bitwiseAND(F.lit(32767))).alias("__bits"))
+    bits = written_once(bits, "places")
+    if bits.count() <= MOST_BITMAPS:
+        bits = F.broadcast(bits)
+    found = rows.withColumn("__part", F.shiftright("__row", 15)).join(bits, ["__file", "__part"])
+    return found.filter(_is_set(F.col("__row").bitwiseAND(F.lit(32767)), "__bits")).drop("__file", "__row", "__part", "__bits")
+
+
+def append_new_sketched(df: DataFrame, history_path: str, sketch_path: str, stored_at: str, order: str = "row_id", buckets: int = BUCKETS, stored: bool = False) -> int:
+    """``append_new_history`` through the sketches; returns how many rows were appended.
+
+    Only hashes are shuffled and compared; the rows are read where they stand, once more, if their hash is new.  ``stored``
+    says that ``df`` selects rows and columns of a Parquet table that stays as it is; any other is written as it comes."""
     spark = df.sparkSession
-    first = written_once(history_rows(df, stored_at, None, order), "first-rows")  # several jobs ask for its keys
+    roles = resolve_roles(df)
+    roles.require("text")
+    rows = _located(non_blank(df, roles.text), stored)
+    first = with_hash(rows, roles.text).groupBy("text_hash").agg(F.min_by(F.struct("__file", "__row"), quoted(order)).alias("__at"))
+    first = written_once(first, "first-keys", "zstd")  # several jobs ask for them
     fresh = new_rows_by_sketch(first, open_history(spark, history_path), open_sketches(spark, sketch_path, buckets), buckets)
-    path = scratch_path(spark, "fresh-rows")
+    fresh = written_once(fresh, "fresh-keys", "zstd")
+    found = with_hash(_rows_at(rows, fresh.filter("__at is not null").select("__at.*")), roles.text)
+    bare = fresh.filter("__at is null").select("text_hash", *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != "text_hash"))
+    new = history_layout(found.unionByName(bare), df, roles, stored_at, order)  # a hash of rows without order has no row
+    append_sketches(fresh.withColumn("stored_month", F.date_format(F.lit(stored_at).cast("timestamp_ntz"), "yyyy-MM")), sketch_path, buckets)
     written = Observation()
-    fresh.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    fresh = spark.read.schema(fresh.schema).parquet(path)
-    append_sketches(fresh, sketch_path, buckets)
-    fresh.write.mode("append").partitionBy("stored_month").parquet(history_path)
+    new.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("stored_month").parquet(history_path, compression="zstd")
     return written.get["n"]

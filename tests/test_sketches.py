@@ -1,5 +1,8 @@
 """Month sketches of the history and the descent through its months."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +89,56 @@ def test_newest_rows_without_old_months(spark, stored):
     assert read_newest(history, 4, level=2, end="2024-02-10").collect() == read_history(history, None, "2024-02-10", 2, 4).collect()
     assert read_newest(history.limit(0), 3).count() == 0
     assert months_for(history, ["2024-03", "2024-02", "2024-01"], 31) == "2024-01"
+
+
+ODD = [
+    (1, "Same text", 4, "a"), (1, "Same text", 4, "a"), (0, "same  text!", 3, "b"), (None, "no place", 1, "c"), (None, "no place", 2, "d"),
+    (None, "one place", 1, "e"), (7, "one place", 5, "f"), (8, " ", 1, "g"), (9, None, 1, "h"), (10, "!!", None, None), (11, "É é", 2, None),
+]
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_odd_rows_are_loaded_as_by_the_plain_ingest(spark, kept):
+    """Repeated rows, places and hashes, rows without a place, names that a load uses itself."""
+    df = spark.createDataFrame(ODD, "row_id long, text string, level int, bits string").withColumn("text_hash", F.lit("x")).repartition(3)
+    path = scratch_path(spark, "odd")
+    df.write.parquet(path)
+    df = spark.read.parquet(path).filter("row_id is null or row_id < 11")
+    plain, sketched, sketches = (scratch_path(spark, f"odd-{k}") for k in ("plain", "sketched", "sketches"))
+    for rows, day in ((df.filter("level < 4"), "2024-02-01"), (df, "2024-03-01"), (df, "2024-04-01")):
+        n = append_new_history(rows, plain, f"{day} 00:00:00")
+        assert append_new_sketched(rows, sketched, sketches, f"{day} 00:00:00", stored=kept) == n
+    got, want = (sorted(map(str, open_history(spark, p).collect())) for p in (sketched, plain))
+    assert got == want and len(got) == 4
+
+
+@pytest.mark.parametrize(("kept", "most"), [(True, 0.2), (False, 1.2)])
+def test_a_load_writes_no_text_twice(spark, kept, most):
+    """Besides the history, a load of texts that are held already keeps hashes only, and the rows once if they are not stored."""
+    rng = random.Random(4)
+    rows = [(i, f"{rng.getrandbits(8000):x}", 1) for i in range(300)]
+    path = scratch_path(spark, "long")
+    spark.createDataFrame(rows, "row_id long, text string, level int").repartition(2).write.parquet(path)
+    df = spark.read.parquet(path)
+    history, sketches = scratch_path(spark, "long-history"), scratch_path(spark, "long-sketches")
+    folder = os.path.dirname(path).removeprefix("file:")
+
+    def size():
+        return sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names)
+
+    assert append_new_sketched(df, history, sketches, "2024-02-01 00:00:00", buckets=4, stored=kept) == 300
+    before = size()
+    assert append_new_sketched(df, history, sketches, "2024-03-01 00:00:00", buckets=4, stored=kept) == 0
+    assert size() - before < most * sum(len(t) for _, t, _ in rows)
+
+
+def test_rows_are_not_shuffled(spark):
+    """A load finds its rows by bitmaps: above the scan that reads them is no exchange."""
+    from feedlake.sources.sketches import _located, _rows_at
+
+    path = scratch_path(spark, "places")
+    spark.range(0, 100_000, 1, 3).selectExpr("id as row_id", "cast(id as string) as text").write.parquet(path)
+    rows = _located(spark.read.parquet(path).filter("row_id % 3 > 0"), True)
+    found = _rows_at(rows, rows.filter("row_id % 1000 = 1").select("__file", "__row"))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.row_id for r in found.collect()) == [i for i in range(1, 100_000, 1000) if i % 3]
